@@ -7,11 +7,14 @@ from lapwise.sources.dims import WET_COMPOUNDS
 
 
 def round_half_even(value: Column, places: int = 0) -> Column:
-    """Half-to-even rounding on doubles, far cheaper than the decimal route of ``bround``."""
-    if places == 0:
-        return F.rint(value)
+    """Half-to-even rounding on doubles, far cheaper than the decimal route of ``bround``.
+
+    Six more places are settled first, so a tie blurred by the order in which partitions were
+    summed is still a tie, and the result does not depend on that order.
+    """
     scale = float(10**places)
-    return F.rint(value * scale) / F.lit(scale)
+    near = F.rint(value * F.lit(scale * 1e6)) / F.lit(1e6)
+    return F.rint(near) if places == 0 else F.rint(near) / F.lit(scale)
 
 
 def clamp_at_zero(value: Column) -> Column:

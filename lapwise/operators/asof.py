@@ -42,33 +42,37 @@ def asof_backward(
     left_columns = left.columns
     cell = [*by, "_slice"]
     slice_of = F.floor(F.col(on) / F.lit(float(slice_width))).cast("long")
+    timed = F.col(on).isNotNull()
+    for key in by:
+        timed = timed & F.col(key).isNotNull()
 
     points = (
-        right.where(F.col(on).isNotNull())
+        right.where(timed)
         .groupBy(*by, slice_of.alias("_slice"), F.col(on).alias("_at"))
         .agg(F.max(F.struct(F.col(tie), *fields)).alias("_last"))
         .select(*cell, "_at", F.struct(*[F.col(f"_last.{f}") for f in fields]).alias("_point"))
     )
 
+    # Keys that cannot be null keep both uses of this count one and the same exchange.
     load = (
-        left.where(F.col(on).isNotNull())
-        .groupBy(*by, slice_of.alias("_slice"))
+        left.where(timed)
+        .groupBy(*by, F.coalesce(slice_of, F.lit(0)).alias("_slice"))
         .agg(F.count(F.lit(1)).alias("_rows"))
+        .select(*cell, F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("long").alias("_splits"))
     )
-    hot = load.where(F.col("_rows") > hot_rows).select(
-        *[F.col(c).alias(f"_hot_{c}") for c in cell],
-        F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("long").alias("_splits"),
+    hot = F.broadcast(
+        load.where(F.col("_splits") > 1).select(*[F.col(c).alias(f"_hot_{c}") for c in cell], "_splits")
     )
-    hot = F.broadcast(hot)
 
     def with_splits(df: DataFrame) -> DataFrame:
         match = [F.col(c) == F.col(f"_hot_{c}") for c in cell]
-        return df.join(hot, match, "left").drop(*[f"_hot_{c}" for c in cell])
+        joined = df.join(hot, match, "left").drop(*[f"_hot_{c}" for c in cell])
+        return joined.withColumn("_splits", F.coalesce("_splits", F.lit(1)))
 
     # Last right row of every slice, seen from the later slices that have left rows.
     ends = points.groupBy(*cell).agg(F.max_by("_point", "_at").alias("_point"))
-    marks = load.select(*cell, F.lit(0).alias("_end")).unionByName(
-        ends.select(*cell, "_point", F.lit(1).alias("_end")), allowMissingColumns=True
+    marks = load.withColumn("_end", F.lit(0)).unionByName(
+        ends.withColumn("_end", F.lit(1)), allowMissingColumns=True
     )
     earlier = Window.partitionBy(*by).orderBy("_slice", "_end").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -76,32 +80,26 @@ def asof_backward(
     carried = (
         marks.withColumn("_point", F.last("_point", ignorenulls=True).over(earlier))
         .where((F.col("_end") == 0) & F.col("_point").isNotNull())
-        .select(*cell, F.lit(None).cast("double").alias("_at"), "_point")
+        .select(*cell, F.lit(None).cast("double").alias("_at"), "_point", "_splits")
     )
 
-    # A task re-run after a loss gives a row the same split: the hash is of the row's content and
-    # of its partition number.  The partition number keeps exact copies from meeting in one split.
-    spread = F.xxhash64(*left_columns, F.spark_partition_id())
+    # Same split when a task is run again: the hash is of the time and the task's own partition.
+    # The partition number keeps copies with equal times from all meeting in one split.
+    spread = F.xxhash64(F.col(on), F.spark_partition_id())
     rows = (
         with_splits(left.withColumn("_slice", slice_of))
         .withColumn(
             "_split",
-            F.pmod(
-                spread,
-                F.when(F.col(on).isNull(), F.lit(SPLITS_FOR_UNTIMED)).otherwise(
-                    F.coalesce("_splits", F.lit(1))
-                ),
-            ),
+            F.pmod(spread, F.when(F.col(on).isNull(), F.lit(SPLITS_FOR_UNTIMED)).otherwise(F.col("_splits"))),
         )
         .drop("_splits")
         .withColumn("_at", F.col(on).cast("double"))
         .withColumn("_side", F.lit(1))
     )
     known = (
-        with_splits(points.unionByName(carried))
-        .withColumn(
-            "_split", F.explode(F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - F.lit(1)))
-        )
+        with_splits(points)
+        .unionByName(carried)
+        .withColumn("_split", F.explode(F.sequence(F.lit(0), F.col("_splits") - F.lit(1))))
         .select(*cell, "_split", F.col("_at").cast("double").alias("_at"), "_point")
         .withColumn("_side", F.lit(0))
     )

@@ -99,10 +99,8 @@ def scoped_slices(profiles: DataFrame, slices: DataFrame, tracks: DataFrame) ->
     return scopes.join(typed, schemas.TARGET_RACE)
 
 
-def fit_scopes(
-    tyre_ages: DataFrame, lap_times: DataFrame, scoped: DataFrame, strict: bool = False
-) -> DataFrame:
-    """Line, quantiles, fresh lap and row count per target race, scope and compound.
+def fit_lines(tyre_ages: DataFrame, scoped: DataFrame, strict: bool = False) -> DataFrame:
+    """Line, tyre-age quantiles and row count per target race, scope and compound.
 
     Both row sets, all tracks and the target's kind of track, are summed in one pass and the
     choice is made on the sums.  ``strict`` makes one lap without a delta zero the line, else such
@@ -141,7 +139,7 @@ def fit_scopes(
     slope, intercept = line_from_moments({name: F.col(name) for name in MOMENTS})
     fitted = (F.col("rows") >= MIN_FIT_ROWS) & (F.col("most") > F.col("least"))
     unusable = F.lit(strict) & (F.col("deltas") < F.col("rows"))
-    lines = chosen.select(
+    return chosen.select(
         *FIT, "same_track", (F.col("fresh") > 0).alias("fresh_only"),
         F.when(~fitted, F.lit(DEFAULT_SLOPE)).when(unusable, F.lit(0.0))
         .otherwise(clamp_at_zero(slope)).alias("slope"),
@@ -151,21 +149,30 @@ def fit_scopes(
         F.col("rows").alias("sample_size"),
     )
 
-    # Only rows a fit wants are paired with target races: fresh laps, unless there are none.
+
+def fresh_laps(lap_times: DataFrame, scoped: DataFrame, lines: DataFrame) -> DataFrame:
+    """Weighted median lap on fresh tyres per target race, scope and compound.
+
+    Only rows a fit wants are paired with target races: laps on the chosen tracks, and fresh ones
+    unless there are none.
+    """
     wanted = lines.select(*FIT, "same_track", "fresh_only").join(
         scoped, [*schemas.TARGET_RACE, *SCOPE]
     )
+    same = F.col("TrackType") == F.col("target_type")
     times = lap_times.join(wanted, [*schemas.RACE, *SCOPE, "Compound"]).where(
         (~F.col("same_track") | same) & (~F.col("fresh_only") | F.col("fresh"))
     )
-    medians = weighted_median(
+    return weighted_median(
         times, FIT, "LapTimeSeconds", F.col("n") * F.col("weight"), "fresh_lap_time_sec"
     )
-    return lines.join(medians, FIT)
 
 
 def compound_models(
-    profiles: DataFrame, fits: DataFrame, lap_delta_window_sec: float = LAP_DELTA_WINDOW_SEC
+    profiles: DataFrame,
+    lines: DataFrame,
+    medians: DataFrame,
+    lap_delta_window_sec: float = LAP_DELTA_WINDOW_SEC,
 ) -> DataFrame:
     """One row per target and compound: slope, intercept, window, fresh lap, sample size.
 
@@ -189,7 +196,8 @@ def compound_models(
     )
     laps = round_half_even(F.col("window_km") / F.col("track_length_km"))
     return (
-        scoped.join(fits, [*schemas.TARGET_RACE, *SCOPE])
+        scoped.join(lines, [*schemas.TARGET_RACE, *SCOPE])
+        .join(medians, FIT)
         .withColumn("slope_sec_per_km", slope)
         .withColumn("window_km", window)
         .select(

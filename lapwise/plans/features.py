@@ -20,9 +20,9 @@ def with_weather(laps: DataFrame, weather: DataFrame, **options) -> DataFrame:
     )
 
 
-def session_laps(laps: DataFrame, teams: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Clean laps with team names, track and tyre age in km."""
-    return add_track_features(normalize_team(clean_laps(laps), teams), tracks)
+def session_laps(laps: DataFrame, teams: DataFrame) -> DataFrame:
+    """Clean laps with team names."""
+    return normalize_team(clean_laps(laps), teams)
 
 
 def lap_features(
@@ -36,12 +36,17 @@ def lap_features(
     """One row per usable lap: session key, ``keep``, categoricals, numeric features, lap time.
 
     Baselines use every clean lap, including those dropped later for a missing value.  Laps before
-    the first weather sample are dropped; with ``strict`` their whole session is.
+    the first weather sample are dropped; with ``strict`` their whole session is.  Look-ups come
+    after the as-of join, so its shuffle carries only what the laps bring.
     """
-    prepared = session_laps(laps, teams, tracks)
-    joined = pace_baselines(with_weather(prepared, weather), session_paces(prepared))
-    featured = joined.withColumn("IsWet", wet_flag(F.col("Compound"), F.col("Rainfall"))).withColumn(
-        "Rainfall", F.col("Rainfall").cast("int")
+    clean = clean_laps(laps)
+    joined = pace_baselines(
+        normalize_team(with_weather(clean, weather), teams), session_paces(session_laps(laps, teams))
+    )
+    featured = (
+        add_track_features(joined, tracks)
+        .withColumn("IsWet", wet_flag(F.col("Compound"), F.col("Rainfall")))
+        .withColumn("Rainfall", F.col("Rainfall").cast("int"))
     )
     complete = featured.select(
         *schemas.SESSION, "EventName", *keep, *schemas.CATEGORICAL, *schemas.NUMERIC, schemas.TARGET

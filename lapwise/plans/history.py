@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lapwise import schemas
 from lapwise.functions.expressions import wet_flag
-from lapwise.operators.lookups import add_track, normalize_team
-from lapwise.plans.features import session_laps, with_weather
+from lapwise.operators.filters import clean_laps
+from lapwise.operators.lookups import add_track, add_track_features, normalize_team
+from lapwise.plans.features import with_weather
 from lapwise.sources.tables import season_schedule
 
 # Slice weights and lengths.
@@ -121,15 +122,16 @@ def history_laps(
 ) -> DataFrame:
     """Clean laps of all sessions with weather and wet flag, computed once for all slices.
 
-    Rows that lack a required value go before the shuffle, not after it.
+    Rows that lack a required value go before the shuffle, not after it, and look-ups come after.
     """
     usable = (
-        session_laps(laps, teams, tracks)
+        clean_laps(laps)
         .withColumn("Driver", F.coalesce(F.col("Driver").cast("string"), F.lit("None")))
         .dropna(subset=schemas.HISTORY_REQUIRED)
     )
+    joined = normalize_team(with_weather(usable, weather), teams)
     return (
-        with_weather(usable, weather)
+        add_track_features(joined, tracks)
         .withColumn("Rainfall", F.coalesce("Rainfall", F.lit(False)).cast("int"))
         .withColumn("IsWet", wet_flag(F.col("Compound"), F.col("Rainfall")))
     )

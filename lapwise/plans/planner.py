@@ -8,53 +8,75 @@ from pyspark.sql import functions as F
 from lapwise.functions.expressions import round_half_even
 from lapwise.plans import degradation, history, strategy
 from lapwise.sources import dims
+from lapwise.sources.staging import Staging
 
 
 @dataclass(frozen=True)
 class Planning:
-    """The lazy tables of one planning job; each can be read on its own."""
+    """The tables of one planning job; each can be read on its own."""
 
-    races: DataFrame
-    slices: DataFrame
-    per_entrant: DataFrame
     profiles: DataFrame
-    scoped: DataFrame
-    tyre_ages: DataFrame
-    lap_times: DataFrame
-    fits: DataFrame
+    lines: DataFrame
+    medians: DataFrame
     models: DataFrame
     scored: DataFrame
     best: DataFrame
     overstay: DataFrame
 
 
+def target_tables(
+    counts: DataFrame,
+    schedule: DataFrame,
+    targets: DataFrame,
+    teams: DataFrame,
+    tracks: DataFrame,
+    staging: Staging,
+) -> tuple[DataFrame, DataFrame]:
+    """(profiles, scoped slices), the two tables that tie targets to history; both staged.
+
+    ``schedule`` and ``targets`` are read several times; stage them if they are costly to make.
+    """
+    races = history.target_races(targets, schedule)
+    entrants = staging.table(history.entrant_counts(counts), "entrants")
+    slices = staging.table(
+        history.history_slices(races, schedule, history.races_with_laps(entrants)), "slices"
+    )
+    per_entrant = staging.table(history.entrant_history(entrants, slices, tracks), "per_entrant")
+    context = history.target_context(targets, schedule, tracks)
+    profiles = staging.table(
+        history.target_profiles(context, races, per_entrant, teams), "profiles"
+    )
+    scoped = staging.table(degradation.scoped_slices(profiles, slices, tracks), "scoped")
+    return profiles, scoped
+
+
 def plan_targets(
     counts: DataFrame,
     schedule: DataFrame,
     targets: DataFrame,
     teams: DataFrame,
     tracks: DataFrame,
+    staging: Staging,
     strict: bool = False,
     max_stops: int = 2,
     top_k: int = strategy.TOP_K,
 ) -> Planning:
-    """``counts`` is ``history.lap_counts``: write it once and plan any number of targets from it."""
-    races = history.target_races(targets, schedule)
-    entrants = history.entrant_counts(counts)
-    slices = history.history_slices(races, schedule, history.races_with_laps(entrants))
-    per_entrant = history.entrant_history(entrants, slices, tracks)
-    profiles = history.target_profiles(
-        history.target_context(targets, schedule, tracks), races, per_entrant, teams
+    """Plans for every target.
+
+    ``counts`` is a staged ``history.lap_counts``, the only large table here: it is read once for
+    entrants, once for tyre ages and once for lap times, each time by the columns needed.  All
+    later tables are small and staged, so no step plans or repeats the ones before it.
+    """
+    profiles, scoped = target_tables(counts, schedule, targets, teams, tracks, staging)
+    lines = staging.table(
+        degradation.fit_lines(degradation.tyre_age_sums(counts), scoped, strict), "lines"
     )
-    scoped = degradation.scoped_slices(profiles, slices, tracks)
-    tyre_ages = degradation.tyre_age_sums(counts)
-    lap_times = degradation.lap_time_counts(counts)
-    fits = degradation.fit_scopes(tyre_ages, lap_times, scoped, strict)
-    models = degradation.compound_models(profiles, fits)
+    medians = degradation.fresh_laps(degradation.lap_time_counts(counts), scoped, lines)
+    models = staging.table(degradation.compound_models(profiles, lines, medians), "models")
     sequences = dims.stint_sequences(counts.sparkSession, max_stops)
     scored = strategy.score_plans(strategy.candidate_plans(models, profiles, sequences))
     return Planning(
-        races, slices, per_entrant, profiles, scoped, tyre_ages, lap_times, fits, models, scored,
+        profiles, lines, medians, models, scored,
         strategy.best_plans(scored, top_k), degradation.overstay_table(models, profiles),
     )
 

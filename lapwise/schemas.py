@@ -66,4 +66,5 @@ HISTORY_COLUMNS = [
     "TrackLengthKM", "Compound", "Stint", "TrackType", "IsWet", "AirTemp", "TrackTemp", "Humidity",
     "Rainfall", "LapTimeSeconds",
 ]
-HISTORY_REQUIRED = ["LapTimeSeconds", "TyreLifeKM", "Compound", "Driver", "Team"]
+# Tyre age in km is missing exactly when TyreLife is.
+HISTORY_REQUIRED = ["LapTimeSeconds", "TyreLife", "Compound", "Driver", "Team"]
