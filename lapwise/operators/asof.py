@@ -29,7 +29,7 @@ def asof_backward(
     on: str,
     fields: Sequence[str],
     tie: str,
-    slice_width: float = 600.0,
+    slice_width: float = 3600.0,
     hot_rows: int = 5_000_000,
 ) -> DataFrame:
     """Left rows, each with ``fields`` of the last right row at or before its time.
