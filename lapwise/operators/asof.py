@@ -40,7 +40,8 @@ def asof_backward(
     """
     by, fields = list(by), list(fields)
     left_columns = left.columns
-    cell = [*by, "_slice"]
+    # The slice leads: sorting compares it first, and it tells rows apart best.
+    cell = ["_slice", *by]
     slice_of = F.floor(F.col(on) / F.lit(float(slice_width))).cast("long")
     timed = F.col(on).isNotNull()
     for key in by:

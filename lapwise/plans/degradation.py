@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lapwise import schemas
 from lapwise.functions.expressions import clamp_at_zero, round_half_even
 from lapwise.functions.weighted import MOMENTS, line_from_moments, line_moments, weighted_median
-from lapwise.operators.lookups import add_track
+from lapwise.operators.lookups import add_track, add_track_features
 from lapwise.sources.dims import WET_COMPOUNDS
 
 # Fixed values of the wear model.
@@ -42,47 +42,40 @@ def _to_scopes(df: DataFrame) -> DataFrame:
     return df.select("*", F.inline(levels))
 
 
-def tyre_age_sums(counts: DataFrame) -> DataFrame:
+def tyre_age_sums(counts: DataFrame, tracks: DataFrame) -> DataFrame:
     """Per race, scope, compound and tyre age: rows, rows with a lap delta, and their delta sum.
 
     A stint's fastest lap is found on rows already summed per stint and tyre age.  The delta sum is
     sum(lap time) - rows x fastest, so no lap is ever joined to its baseline.  Laps without a stint
     have no delta but count as rows.
     """
-    per_age = counts.groupBy(*schemas.STINT, "TrackType", "TrackLengthKM", "TyreLife").agg(
+    per_age = counts.groupBy(*schemas.STINT, "TyreLife").agg(
         F.sum("n").alias("n"),
         F.sum(F.col("n") * F.col("LapTimeSeconds")).alias("_time"),
         F.min("LapTimeSeconds").alias("_fastest"),
     )
     fastest = F.min("_fastest").over(Window.partitionBy(*schemas.STINT))
     has_delta = F.col("Stint").isNotNull()
-    return (
-        _to_scopes(
-            per_age.withColumn("_base", fastest)
-            .withColumn("n_delta", F.when(has_delta, F.col("n")).otherwise(F.lit(0)))
-            .withColumn(
-                "delta_sum",
-                F.when(has_delta, F.col("_time") - F.col("n") * F.col("_base")).otherwise(F.lit(0.0)),
-            )
-        )
-        .groupBy("Year", "EventName", "TrackType", "TrackLengthKM", *SCOPE, "Compound", "TyreLife")
-        .agg(F.sum("n").alias("n"), F.sum("n_delta").alias("n_delta"), F.sum("delta_sum").alias("delta_sum"))
-        .withColumn("TyreLifeKM", F.col("TyreLife") * F.col("TrackLengthKM"))
+    per_stint = per_age.withColumn("_base", fastest).select(
+        *schemas.RACE, "Driver", "Team", "Compound", "TyreLife", "n",
+        F.when(has_delta, F.col("n")).otherwise(F.lit(0)).alias("n_delta"),
+        F.when(has_delta, F.col("_time") - F.col("n") * F.col("_base")).otherwise(F.lit(0.0)).alias("delta_sum"),
+    )
+    sums = _to_scopes(per_stint).groupBy(*schemas.RACE, *SCOPE, "Compound", "TyreLife").agg(
+        F.sum("n").alias("n"), F.sum("n_delta").alias("n_delta"), F.sum("delta_sum").alias("delta_sum")
     )
+    return add_track_features(sums, tracks)
 
 
-def lap_time_counts(counts: DataFrame) -> DataFrame:
+def lap_time_counts(counts: DataFrame, tracks: DataFrame) -> DataFrame:
     """Per race, scope, compound, tyre freshness and lap time: rows."""
     fresh = (F.col("TyreLife") <= FRESH_LAPS).alias("fresh")
-    keys = ["Year", "EventName", "TrackType"]
-    per_entrant = counts.groupBy(*keys, "Driver", "Team", "Compound", fresh, "LapTimeSeconds").agg(
-        F.sum("n").alias("n")
-    )
-    return (
-        _to_scopes(per_entrant)
-        .groupBy(*keys, *SCOPE, "Compound", "fresh", "LapTimeSeconds")
+    per_scope = (
+        _to_scopes(counts.select(*schemas.RACE, "Driver", "Team", "Compound", fresh, "LapTimeSeconds", "n"))
+        .groupBy(*schemas.RACE, *SCOPE, "Compound", "fresh", "LapTimeSeconds")
         .agg(F.sum("n").alias("n"))
     )
+    return add_track(per_scope, tracks)
 
 
 def scoped_slices(profiles: DataFrame, slices: DataFrame, tracks: DataFrame) -> DataFrame:

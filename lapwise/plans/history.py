@@ -129,12 +129,9 @@ def history_laps(
         .withColumn("Driver", F.coalesce(F.col("Driver").cast("string"), F.lit("None")))
         .dropna(subset=schemas.HISTORY_REQUIRED)
     )
-    joined = normalize_team(with_weather(usable, weather), teams)
-    return (
-        add_track_features(joined, tracks)
-        .withColumn("Rainfall", F.coalesce("Rainfall", F.lit(False)).cast("int"))
-        .withColumn("IsWet", wet_flag(F.col("Compound"), F.col("Rainfall")))
-    )
+    joined = add_track_features(normalize_team(with_weather(usable, weather), teams), tracks)
+    rain = F.coalesce("Rainfall", F.lit(False)).cast("int")
+    return joined.withColumns({"Rainfall": rain, "IsWet": wet_flag(F.col("Compound"), F.col("Rainfall"))})
 
 
 def races_with_laps(history: DataFrame) -> DataFrame:
@@ -160,21 +157,20 @@ def lap_counts(history: DataFrame) -> DataFrame:
     """History laps as counted values: the one table every degradation step reads.
 
     A single shuffle with map-side combine; laps alike in all that matters become one row, so a
-    race, driver or stint with a third of all laps does not stay a third of the work.
+    race, driver or stint with a third of all laps does not stay a third of the work.  What
+    follows from the race (track, length) is left out and looked up again on the sums.
     """
     return history.groupBy(
-        "Year", "EventName", "TrackType", "TrackLengthKM", "Driver", "Team", "Compound", "Stint",
-        "TyreLife", "LapTimeSeconds", "IsWet",
+        *schemas.STINT, "TyreLife", "LapTimeSeconds", "IsWet"
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def entrant_counts(counts: DataFrame) -> DataFrame:
+def entrant_counts(counts: DataFrame, tracks: DataFrame) -> DataFrame:
     """Laps, wet laps and wet km per race, driver and team."""
-    return counts.groupBy("Year", "EventName", "TrackType", "Driver", "Team").agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("n") * F.col("IsWet")).alias("n_wet"),
-        F.sum(F.col("n") * F.col("IsWet") * F.col("TrackLengthKM")).alias("wet_km"),
+    totals = counts.groupBy(*schemas.RACE, "Driver", "Team").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("IsWet")).alias("n_wet")
     )
+    return add_track(totals, tracks).withColumn("wet_km", F.col("n_wet") * F.col("TrackLengthKM"))
 
 
 def entrant_history(entrants: DataFrame, slices: DataFrame, tracks: DataFrame) -> DataFrame:

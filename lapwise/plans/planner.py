@@ -37,7 +37,7 @@ def target_tables(
     ``schedule`` and ``targets`` are read several times; stage them if they are costly to make.
     """
     races = history.target_races(targets, schedule)
-    entrants = staging.table(history.entrant_counts(counts), "entrants")
+    entrants = staging.table(history.entrant_counts(counts, tracks), "entrants")
     slices = staging.table(
         history.history_slices(races, schedule, history.races_with_laps(entrants)), "slices"
     )
@@ -58,7 +58,7 @@ def plan_targets(
     tracks: DataFrame,
     staging: Staging,
     strict: bool = False,
-    max_stops: int = 2,
+    max_stops: int = strategy.MAX_STOPS,
     top_k: int = strategy.TOP_K,
 ) -> Planning:
     """Plans for every target.
@@ -69,12 +69,13 @@ def plan_targets(
     """
     profiles, scoped = target_tables(counts, schedule, targets, teams, tracks, staging)
     lines = staging.table(
-        degradation.fit_lines(degradation.tyre_age_sums(counts), scoped, strict), "lines"
+        degradation.fit_lines(degradation.tyre_age_sums(counts, tracks), scoped, strict), "lines"
     )
-    medians = degradation.fresh_laps(degradation.lap_time_counts(counts), scoped, lines)
+    medians = degradation.fresh_laps(degradation.lap_time_counts(counts, tracks), scoped, lines)
     models = staging.table(degradation.compound_models(profiles, lines, medians), "models")
     sequences = dims.stint_sequences(counts.sparkSession, max_stops)
-    scored = strategy.score_plans(strategy.candidate_plans(models, profiles, sequences))
+    candidates = strategy.candidate_plans(models, profiles, sequences, max_stops)
+    scored = strategy.score_plans(candidates, max_stops)
     return Planning(
         profiles, lines, medians, models, scored,
         strategy.best_plans(scored, top_k), degradation.overstay_table(models, profiles),

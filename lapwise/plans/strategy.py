@@ -10,6 +10,7 @@ SHORTEST_STINT = 5
 WINDOW_MARGIN = 6
 LENGTH_STEP = 2
 TOP_K = 5
+MAX_STOPS = 2
 
 
 def _stint_choices(compounds, models):
@@ -29,65 +30,69 @@ def _stint_choices(compounds, models):
     return F.transform(compounds, choice)
 
 
-def candidate_plans(models: DataFrame, profiles: DataFrame, sequences: DataFrame) -> DataFrame:
+def candidate_plans(
+    models: DataFrame, profiles: DataFrame, sequences: DataFrame, max_stops: int = MAX_STOPS
+) -> DataFrame:
     """target, seq_no, compounds, stint lengths: every plan within the compounds' windows.
 
     A target's models (five at most) travel as one map, and the admissible compound orders come
-    from a fixed table, so nothing is joined with itself.  All stints but the last step through
-    their range; the last takes the remaining laps if its own range allows.
+    from a fixed table, ``sources.dims.stint_sequences`` with the same ``max_stops``, so nothing is
+    joined with itself.  All stints but the last step through their range; the last takes the
+    remaining laps if its own range allows.
     """
     by_compound = F.map_from_entries(
         F.collect_list(
-            F.struct(
-                "Compound", F.struct("window_laps", "fresh_lap_time_sec", "slope_sec_per_km")
-            )
+            F.struct("Compound", F.struct("window_laps", "fresh_lap_time_sec", "slope_sec_per_km"))
         )
     )
-    per_target = models.groupBy("target_id").agg(by_compound.alias("_models"))
     # One target yields thousands of plans, so partitions are counted in targets and not in bytes:
-    # a fixed number keeps adaptive execution from packing many small targets into few tasks.
+    # a fixed number keeps adaptive execution from packing many small targets into few tasks.  The
+    # grouping, the generator and the ranking all use this one shuffle.
     tasks = int(models.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    planned = (
-        profiles.select("target_id", "condition", "race_laps", "track_length_km", "pit_loss_sec")
-        .join(per_target, "target_id")
-        .repartition(tasks, "target_id")
+    per_target = (
+        models.repartition(tasks, "target_id").groupBy("target_id").agg(by_compound.alias("_models"))
+    )
+    plans = (
+        per_target.join(
+            profiles.select("target_id", "condition", "race_laps", "track_length_km", "pit_loss_sec"),
+            "target_id",
+        )
         .join(sequences, "condition")
         .where(F.forall("compounds", lambda c: F.map_contains_key("_models", c)))
-        .withColumn("_stints", _stint_choices(F.col("compounds"), F.col("_models")))
+        .withColumn("stint_models", _stint_choices(F.col("compounds"), F.col("_models")))
+        .withColumn("_left", F.col("race_laps"))
     )
-
-    def lengths(place):
-        stint = F.col("_stints")[place]
-        return F.sequence(stint["low"], stint["high"], F.lit(LENGTH_STEP))
-
-    three = F.col("stints") == 3
-    no_stint = F.array(F.lit(0))
-    last = F.element_at("_stints", -1)
-    return (
-        planned.select("*", F.explode(lengths(0)).alias("_first"))
-        .where(F.col("_first") < F.col("race_laps"))
-        .select("*", F.explode(F.when(three, lengths(1)).otherwise(no_stint)).alias("_second"))
-        .withColumn("_last", F.col("race_laps") - F.col("_first") - F.col("_second"))
-        .where((F.col("_last") > 0) & F.col("_last").between(last["low"], last["high"]))
-        .select(
-            "target_id", "seq_no", "stints", "compounds",
-            F.when(three, F.array("_first", "_second", "_last"))
-            .otherwise(F.array("_first", "_last")).alias("stint_laps"),
-            "pit_loss_sec", F.col("_stints").alias("stint_models"),
+    taken = []
+    for place in range(max_stops):
+        stint = F.get("stint_models", F.lit(place))
+        lengths = F.sequence(stint["low"], stint["high"], F.lit(LENGTH_STEP))
+        # A sequence with fewer stints takes no laps here.
+        chosen = F.when(F.col("stints") > place + 1, lengths).otherwise(F.array(F.lit(0)))
+        plans = (
+            plans.select("*", F.explode(chosen).alias(f"_laps{place}"))
+            .withColumn("_left", F.col("_left") - F.col(f"_laps{place}"))
+            .where(F.col("_left") > 0)
         )
+        taken.append(f"_laps{place}")
+    last = F.element_at("stint_models", -1)
+    before_last = F.slice(F.array(*taken), F.lit(1), F.col("stints") - 1)
+    return plans.where(F.col("_left").between(last["low"], last["high"])).select(
+        "target_id", "seq_no", "stints", "compounds",
+        F.concat(before_last, F.array("_left")).alias("stint_laps"),
+        "pit_loss_sec", "stint_models",
     )
 
 
-def score_plans(candidates: DataFrame) -> DataFrame:
+def score_plans(candidates: DataFrame, max_stops: int = MAX_STOPS) -> DataFrame:
     """Adds the predicted race time, rounded to milliseconds.
 
     Each stint is n fresh laps plus wear x (0 + 1 + ... + n-1), in closed form.
     """
-    stint_times = F.zip_with(
-        "stint_models", "stint_laps",
-        lambda model, laps: laps * model["fresh"] + model["wear"] * (laps * (laps - 1)) / F.lit(2.0),
-    )
-    driving = F.aggregate(stint_times, F.lit(0.0), lambda total, time: total + time)
+    driving = F.lit(0.0)
+    for place in range(max_stops + 1):
+        model, laps = F.get("stint_models", F.lit(place)), F.get("stint_laps", F.lit(place))
+        time = laps * model["fresh"] + model["wear"] * (laps * (laps - 1)) / F.lit(2.0)
+        driving = driving + F.coalesce(time, F.lit(0.0))
     stops = F.col("stints") - 1
     return candidates.select(
         "target_id", "seq_no", "compounds", "stint_laps", stops.alias("stops"),

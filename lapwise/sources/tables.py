@@ -79,11 +79,12 @@ def load_session(
 def write_sessions(df: DataFrame, path: str, max_rows_per_file: int = 5_000_000) -> None:
     """One folder per session, so race and season filters prune files.
 
-    No shuffle by session first: a session holding a third of the rows keeps all the tasks that
-    produced it, and long files are cut by row count.
+    Rows are rebalanced by session: adaptive execution gathers small sessions and divides a session
+    that holds a third of the rows among many tasks.  Long files are cut by row count.
     """
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", *schemas.SESSION)
+        .write.mode("overwrite")
         .option("maxRecordsPerFile", max_rows_per_file)
         .partitionBy(*schemas.SESSION)
         .parquet(path)

@@ -13,7 +13,7 @@ from lapwise.sources import dims
 from lapwise.sources.documents import write_json
 from lapwise.sources.staging import Staging
 from lapwise.sources.tables import schema_profile
-from testbed.tables import LAP_KEYS, TEST_AS_OF, Tables, load
+from testbed.tables import LAP_KEYS, TEST_AS_OF, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -21,7 +21,7 @@ REGISTRY: dict[str, Query] = {}
 
 def query(build: Callable[[Tables], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(load(spark, sf_dir))
+        return build(Tables(spark, sf_dir))
 
     REGISTRY[build.__name__] = run
     return run
@@ -199,7 +199,7 @@ def weighted_history(t: Tables) -> DataFrame:
 def _per_entrant(t: Tables) -> tuple[DataFrame, DataFrame]:
     staging = Staging(t.spark)
     schedule, targets = staged_calendar(t, staging)
-    entrants = staging.table(history.entrant_counts(history.lap_counts(history_table(t))), "entrants")
+    entrants = staging.table(history.entrant_counts(history.lap_counts(history_table(t)), t.tracks), "entrants")
     races = history.target_races(targets, schedule)
     slices = history.history_slices(races, schedule, history.races_with_laps(entrants))
     return races, history.entrant_history(entrants, staging.table(slices, "slices"), t.tracks)
@@ -235,7 +235,7 @@ def lap_delta(t: Tables) -> DataFrame:
 @query
 def wls_degradation(t: Tables) -> DataFrame:
     counts, _, scoped = target_steps(t, Staging(t.spark))
-    lines = degradation.fit_lines(degradation.tyre_age_sums(counts), scoped)
+    lines = degradation.fit_lines(degradation.tyre_age_sums(counts, t.tracks), scoped)
     return rounded(lines.select(*degradation.FIT, "slope", "intercept", "sample_size"), "slope", "intercept")
 
 
@@ -243,8 +243,8 @@ def wls_degradation(t: Tables) -> DataFrame:
 def fresh_lap_weighted_median(t: Tables) -> DataFrame:
     staging = Staging(t.spark)
     counts, _, scoped = target_steps(t, staging)
-    lines = staging.table(degradation.fit_lines(degradation.tyre_age_sums(counts), scoped), "lines")
-    medians = degradation.fresh_laps(degradation.lap_time_counts(counts), scoped, lines)
+    lines = staging.table(degradation.fit_lines(degradation.tyre_age_sums(counts, t.tracks), scoped), "lines")
+    medians = degradation.fresh_laps(degradation.lap_time_counts(counts, t.tracks), scoped, lines)
     return rounded(medians, "fresh_lap_time_sec")
 
 
@@ -364,13 +364,13 @@ def _one_lap_per_target(t: Tables) -> DataFrame:
 
 
 def score_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = load(spark, sf_dir)
+    t = Tables(spark, sf_dir)
     scored = scoring.score_laps(_saved_model(t, sf_dir), _all_laps_to_score(t), t.teams, t.tracks)
     return scored.select(*LAP_KEYS, "Driver", "Team", "Compound", "TrackType", "TyreLifeKM", "prediction")
 
 
 def lap_and_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = load(spark, sf_dir)
+    t = Tables(spark, sf_dir)
     predictions = scoring.score_laps(_saved_model(t, sf_dir), _one_lap_per_target(t), t.teams, t.tracks)
     documents = planner.plan_documents(planning(t, Staging(spark)))
     both = planner.laps_and_plans(predictions, documents)

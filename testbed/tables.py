@@ -4,7 +4,7 @@ The same SQL runs in Spark and in DuckDB; ``@secs`` and ``@k`` are the two place
 dialects differ.  ``FIXTURES.md`` describes the shapes.  Nothing here is part of the engine.
 """
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -102,43 +102,53 @@ def localized(name: str, words: dict[str, str]) -> str:
     return text
 
 
-@dataclass(frozen=True)
 class Tables:
-    spark: SparkSession
-    teams: DataFrame
-    tracks: DataFrame
-    laps: DataFrame
-    weather: DataFrame
-    schedule: DataFrame
-    targets: DataFrame
-    eras: DataFrame
+    """Lazy lap-data tables over the Parquet files in one folder, each made when first asked for."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir
+        self._made: dict[str, DataFrame] = {}
 
-def load(spark: SparkSession, sf_dir: str) -> Tables:
-    """Lazy lap-data tables over the Parquet files in ``sf_dir``."""
-    made: dict[str, DataFrame] = {}
+    def table(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._make(name)
+        return self._made[name]
 
-    def table(name: str) -> DataFrame:
+    def _make(self, name: str) -> DataFrame:
         if name not in SQL:
-            return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        if name not in made:
-            inputs = {n: table(n) for n in GIVEN.get(name, [])}
-            text = localized(name, SPARK_WORDS)
-            for given in inputs:
-                for before in ("FROM ", "JOIN "):
-                    text = text.replace(f"{before}{given}", f"{before}{{{given}}}")
-            made[name] = spark.sql(text, **inputs) if inputs else spark.sql(text)
-        return made[name]
-
-    laps = table("laps_raw")
-    keys = laps.select(*LAP_KEYS).columns
-    return Tables(
-        spark=spark,
-        teams=dims.team_names(spark),
-        tracks=table("dim_track"),
-        laps=laps.select(*[f.name for f in schemas.LAPS.fields], *keys),
-        weather=conform(table("weather"), schemas.WEATHER),
-        schedule=conform(table("schedule"), schemas.SCHEDULE),
-        targets=conform(table("targets"), schemas.TARGETS),
-        eras=dims.literal_table(spark, TEST_ERAS, ["era", "start_year", "end_year"]),
-    )
+            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        inputs = {given: self.table(given) for given in GIVEN.get(name, [])}
+        text = localized(name, SPARK_WORDS)
+        for given in inputs:
+            for before in ("FROM ", "JOIN "):
+                text = text.replace(f"{before}{given}", f"{before}{{{given}}}")
+        return self.spark.sql(text, **inputs) if inputs else self.spark.sql(text)
+
+    @cached_property
+    def teams(self) -> DataFrame:
+        return dims.team_names(self.spark)
+
+    @cached_property
+    def tracks(self) -> DataFrame:
+        return self.table("dim_track")
+
+    @cached_property
+    def laps(self) -> DataFrame:
+        return self.table("laps_raw").select(*schemas.LAPS.names, *LAP_KEYS)
+
+    @cached_property
+    def weather(self) -> DataFrame:
+        return conform(self.table("weather"), schemas.WEATHER)
+
+    @cached_property
+    def schedule(self) -> DataFrame:
+        return conform(self.table("schedule"), schemas.SCHEDULE)
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        return conform(self.table("targets"), schemas.TARGETS)
+
+    @cached_property
+    def eras(self) -> DataFrame:
+        return dims.literal_table(self.spark, TEST_ERAS, ["era", "start_year", "end_year"])

@@ -9,29 +9,29 @@ from lapwise.plans import degradation, history
 from lapwise.sources import dims
 
 COUNTS = (
-    "Year int, EventName string, TrackType string, TrackLengthKM double, Driver string, Team string,"
-    " Compound string, Stint double, TyreLife double, LapTimeSeconds double, IsWet int, n long"
+    "Year int, EventName string, Driver string, Team string, Compound string, Stint double,"
+    " TyreLife double, LapTimeSeconds double, IsWet int, n long"
 )
 PROFILE = (
     "target_id long, target_year int, target_round int, driver string, team string, level string,"
     " track_length_km double, wet_experience_km double, track_type string"
 )
 SLICE = "target_year int, target_round int, target_event string, Year int, EventName string, weight double, source string"
-NO_TRACKS = "name string, track_type string, length_km double"
+TRACKS = "name string, track_type string, length_km double"
 
 
-def lap(event="E1", kind="Medium", km=5.0, driver="A", team="T", compound="SOFT", stint=1.0, life=1.0, time=90.0, n=1):
-    return (2024, event, kind, km, driver, team, compound, stint, life, time, 0, n)
+def lap(event="E1", driver="A", team="T", compound="SOFT", stint=1.0, life=1.0, time=90.0, n=1):
+    return (2024, event, driver, team, compound, stint, life, time, 0, n)
 
 
-def models(spark, laps, weights={"E1": 3.0}, level="driver", wet_km=0.0, strict=False, driver="A", team="T"):
+def models(spark, laps, weights={"E1": 3.0}, level="driver", wet_km=0.0, strict=False, driver="A", team="T", kinds={}):
     counts = spark.createDataFrame(laps, COUNTS)
     profiles = spark.createDataFrame([(1, 2024, 9, driver, team, level, 5.0, wet_km, "Medium")], PROFILE)
     slices = spark.createDataFrame([(2024, 9, "E9", 2024, e, w, "s") for e, w in weights.items()], SLICE)
-    tracks = spark.createDataFrame([("E9", "Medium", 5.0)], NO_TRACKS)
+    tracks = spark.createDataFrame([("E9", "Medium", 5.0), *[(e, k, 5.0) for e, k in kinds.items()]], TRACKS)
     scoped = degradation.scoped_slices(profiles, slices, tracks)
-    lines = degradation.fit_lines(degradation.tyre_age_sums(counts), scoped, strict)
-    medians = degradation.fresh_laps(degradation.lap_time_counts(counts), scoped, lines)
+    lines = degradation.fit_lines(degradation.tyre_age_sums(counts, tracks), scoped, strict)
+    medians = degradation.fresh_laps(degradation.lap_time_counts(counts, tracks), scoped, lines)
     return {r["Compound"]: r for r in degradation.compound_models(profiles, lines, medians).collect()}
 
 
@@ -76,8 +76,8 @@ def test_scope_is_chosen_before_compounds(spark):
 def test_same_kind_of_track_needs_twelve_rows(spark):
     def mixed(count):
         near = [lap(life=float(i + 1), time=90.0 + 0.1 * i) for i in range(count)]
-        far = [lap(event="E2", kind="High", life=float(i + 1), time=95.0 + i) for i in range(20)]
-        return models(spark, near + far, {"E1": 1.0, "E2": 1.0})["SOFT"]
+        far = [lap(event="E2", life=float(i + 1), time=95.0 + i) for i in range(20)]
+        return models(spark, near + far, {"E1": 1.0, "E2": 1.0}, kinds={"E2": "High"})["SOFT"]
 
     assert mixed(12)["sample_size"] == 12.0
     assert mixed(11)["sample_size"] == 31.0
@@ -115,23 +115,23 @@ def test_agrees_with_a_lap_by_lap_restatement(spark):
     rng = random.Random(11)
     events = {"E1": ("Medium", 3.0), "E2": ("High", 2.5), "E3": ("Medium", 1.0)}
     laps = [
-        lap(event=e, kind=kind, driver=rng.choice("AB"), compound=rng.choice(dims.VALID_COMPOUNDS),
+        lap(event=e, driver=rng.choice("AB"), compound=rng.choice(dims.VALID_COMPOUNDS),
             stint=float(rng.choice([1, 2])), life=float(rng.randrange(1, 30)),
             time=round(90 + rng.random() * 5, 3), n=rng.choice([1, 1, 2]))
-        for e, (kind, _) in events.items() for _ in range(120)
+        for e in events for _ in range(120)
     ]
-    found = models(spark, laps, {e: w for e, (_, w) in events.items()})
-    rows = [l for l in laps if l[4] == "A" for _ in range(l[11])]
+    found = models(spark, laps, {e: w for e, (_, w) in events.items()}, kinds={"E2": "High"})
+    rows = [l for l in laps if l[2] == "A" for _ in range(l[9])]
     for compound, model in found.items():
-        mine = [r for r in rows if r[6] == compound]
-        near = [r for r in mine if r[2] == "Medium"]
+        mine = [r for r in rows if r[4] == compound]
+        near = [r for r in mine if events[r[1]][0] == "Medium"]
         used = near if len(near) >= 12 else mine
         best = {}
         for r in rows:
-            key = (r[1], r[6], r[7])
-            best[key] = min(best.get(key, 1e9), r[9])
-        x = np.array([r[8] * 5.0 for r in used])
-        y = np.array([r[9] - best[(r[1], r[6], r[7])] for r in used])
+            key = (r[1], r[4], r[5])
+            best[key] = min(best.get(key, 1e9), r[7])
+        x = np.array([r[6] * 5.0 for r in used])
+        y = np.array([r[7] - best[(r[1], r[4], r[5])] for r in used])
         w = np.array([events[r[1]][1] for r in used])
         slope = max(0.0, np.polyfit(x, y, 1, w=w)[0])
         assert model["slope_sec_per_km"] == pytest.approx(slope, abs=1e-9)
@@ -139,8 +139,8 @@ def test_agrees_with_a_lap_by_lap_restatement(spark):
         window = min(window, np.quantile(x, 0.9))
         assert model["window_km"] == pytest.approx(window)
         assert model["window_laps"] == max(1, round(window / 5.0))
-        fresh = [r for r in used if r[8] <= 2] or used
-        order = sorted((r[9], events[r[1]][1]) for r in fresh)
+        fresh = [r for r in used if r[6] <= 2] or used
+        order = sorted((r[7], events[r[1]][1]) for r in fresh)
         total, running = sum(o[1] for o in order), np.cumsum([o[1] for o in order])
         assert model["fresh_lap_time_sec"] == order[int(np.searchsorted(running, total / 2))][0]
 
@@ -154,11 +154,11 @@ def test_overstay_adds_up(spark):
 
 
 def test_counts_keep_every_lap(spark):
-    columns = "Year int, EventName string, TrackType string, TrackLengthKM double, Driver string, Team string, Compound string, Stint double, TyreLife double, LapTimeSeconds double, IsWet int"
-    rows = [(2024, "E1", "Low", 4.0, "A", "T", "WET", 1.0, 1.0, 90.0, 1)] * 5 + [
-        (2024, "E1", "Low", 4.0, "A", "T", "SOFT", None, 1.0, 91.0, 0)
+    columns = "Year int, EventName string, Driver string, Team string, Compound string, Stint double, TyreLife double, LapTimeSeconds double, IsWet int"
+    rows = [(2024, "E1", "A", "T", "WET", 1.0, 1.0, 90.0, 1)] * 5 + [
+        (2024, "E1", "A", "T", "SOFT", None, 1.0, 91.0, 0)
     ]
     counts = history.lap_counts(spark.createDataFrame(rows, columns))
     assert sorted(r["n"] for r in counts.collect()) == [1, 5]
-    entrant = history.entrant_counts(counts).collect()[0]
+    entrant = history.entrant_counts(counts, spark.createDataFrame([("E1", "Low", 4.0)], TRACKS)).collect()[0]
     assert (entrant["n"], entrant["n_wet"], entrant["wet_km"]) == (6, 5, 20.0)

@@ -15,16 +15,17 @@ def search(spark, models, condition="dry", laps=57, max_stops=2):
         spark.createDataFrame(models, MODEL),
         spark.createDataFrame([(1, condition, laps, 5.0, 21.0)], PROFILE),
         dims.stint_sequences(spark, max_stops),
+        max_stops,
     )
-    return strategy.score_plans(found)
+    return strategy.score_plans(found, max_stops)
 
 
-def restated(models, condition, laps):
+def restated(models, condition, laps, max_stops=2):
     """Every plan, lap by lap, in generation order."""
     known = {m[1]: m for m in models}
     pool = [c for c in dims.POOLS[condition] if c in known]
     plans = []
-    for stints in (2, 3):
+    for stints in range(2, max_stops + 2):
         for seq in product(pool, repeat=stints):
             if condition == "dry" and len(set(seq)) < 2:
                 continue
@@ -52,14 +53,16 @@ def test_known_dry_race(spark):
     assert {r["predicted_total_time_sec"] for r in best[:3]} == {5227.8}
 
 
-@pytest.mark.parametrize("condition,models,laps", [
-    ("dry", DRY, 57),
-    ("wet", [(1, "INTERMEDIATE", 13.0, 100.0, 0.03), (1, "WET", 24.0, 104.0, 0.01)], 40),
-    ("mixed", [*DRY[:2], (1, "WET", 2.0, 104.0, 0.01)], 44),
+@pytest.mark.parametrize("condition,models,laps,stops", [
+    ("dry", DRY, 57, 2),
+    ("dry", DRY, 57, 1),
+    ("dry", DRY[:2], 70, 3),
+    ("wet", [(1, "INTERMEDIATE", 13.0, 100.0, 0.03), (1, "WET", 24.0, 104.0, 0.01)], 40, 2),
+    ("mixed", [*DRY[:2], (1, "WET", 2.0, 104.0, 0.01)], 44, 2),
 ])
-def test_agrees_with_enumeration(spark, condition, models, laps):
-    scored = search(spark, models, condition, laps)
-    wanted = restated(models, condition, laps)
+def test_agrees_with_enumeration(spark, condition, models, laps, stops):
+    scored = search(spark, models, condition, laps, stops)
+    wanted = restated(models, condition, laps, stops)
     found = [(r["compounds"], r["stint_laps"], r["predicted_total_time_sec"]) for r in scored.collect()]
     assert sorted((c, l) for c, l, _ in found) == sorted((c, l) for c, l, _ in wanted)
     times = {(tuple(c), tuple(l)): t for c, l, t in wanted}
