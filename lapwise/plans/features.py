@@ -13,10 +13,15 @@ from lapwise.operators.filters import clean_laps, completed_events
 from lapwise.operators.lookups import add_track_features, normalize_team
 
 
-def with_weather(laps: DataFrame, weather: DataFrame, **options) -> DataFrame:
+def with_weather(
+    laps: DataFrame,
+    weather: DataFrame,
+    fields: Sequence[str] = schemas.WEATHER_FIELDS,
+    **options,
+) -> DataFrame:
     """Laps with the weather as of the end of each lap."""
     return asof_backward(
-        laps, weather, by=schemas.SESSION, on="Time", fields=schemas.WEATHER_FIELDS, tie="seq", **options
+        laps, weather, by=schemas.SESSION, on="Time", fields=fields, tie="seq", **options
     )
 
 
@@ -41,7 +46,8 @@ def lap_features(
     """
     clean = clean_laps(laps)
     joined = pace_baselines(
-        normalize_team(with_weather(clean, weather), teams), session_paces(session_laps(laps, teams))
+        normalize_team(with_weather(clean, weather, schemas.WEATHER_FEATURES), teams),
+        session_paces(session_laps(laps, teams)),
     )
     featured = (
         add_track_features(joined, tracks)

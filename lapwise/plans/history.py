@@ -117,10 +117,10 @@ def history_slices(races: DataFrame, schedule: DataFrame, raced: DataFrame) -> D
     return slices.unionByName(fallback_slices(races, slices, schedule, raced))
 
 
-def history_laps(
-    laps: DataFrame, weather: DataFrame, teams: DataFrame, tracks: DataFrame
+def wet_flagged_laps(
+    laps: DataFrame, weather: DataFrame, teams: DataFrame, fields: Sequence[str]
 ) -> DataFrame:
-    """Clean laps of all sessions with weather and wet flag, computed once for all slices.
+    """Usable laps with team names, the weather ``fields`` and the wet flag.
 
     Rows that lack a required value go before the shuffle, not after it, and look-ups come after.
     """
@@ -129,11 +129,19 @@ def history_laps(
         .withColumn("Driver", F.coalesce(F.col("Driver").cast("string"), F.lit("None")))
         .dropna(subset=schemas.HISTORY_REQUIRED)
     )
-    joined = add_track_features(normalize_team(with_weather(usable, weather), teams), tracks)
+    joined = normalize_team(with_weather(usable, weather, fields), teams)
     rain = F.coalesce("Rainfall", F.lit(False)).cast("int")
     return joined.withColumns({"Rainfall": rain, "IsWet": wet_flag(F.col("Compound"), F.col("Rainfall"))})
 
 
+def history_laps(
+    laps: DataFrame, weather: DataFrame, teams: DataFrame, tracks: DataFrame
+) -> DataFrame:
+    """History laps of all sessions, computed once for all slices."""
+    flagged = wet_flagged_laps(laps, weather, teams, schemas.WEATHER_FIELDS)
+    return add_track_features(flagged, tracks)
+
+
 def races_with_laps(history: DataFrame) -> DataFrame:
     return history.select(*schemas.RACE).distinct()
 
@@ -153,16 +161,21 @@ def weighted_history(history: DataFrame, slices: DataFrame, keep: Sequence[str]
     )
 
 
-def lap_counts(history: DataFrame) -> DataFrame:
+def lap_counts(laps: DataFrame, weather: DataFrame, teams: DataFrame) -> DataFrame:
     """History laps as counted values: the one table every degradation step reads.
 
     A single shuffle with map-side combine; laps alike in all that matters become one row, so a
-    race, driver or stint with a third of all laps does not stay a third of the work.  What
-    follows from the race (track, length) is left out and looked up again on the sums.
+    race, driver or stint with a third of all laps does not stay a third of the work.  Of the
+    weather only rain matters here, and what follows from the race (track, length) is looked up
+    on the sums.
     """
-    return history.groupBy(
-        *schemas.STINT, "TyreLife", "LapTimeSeconds", "IsWet"
-    ).agg(F.count(F.lit(1)).alias("n"))
+    return count_laps(wet_flagged_laps(laps, weather, teams, ["Rainfall"]))
+
+
+def count_laps(flagged: DataFrame) -> DataFrame:
+    return flagged.groupBy(*schemas.STINT, "TyreLife", "LapTimeSeconds", "IsWet").agg(
+        F.count(F.lit(1)).alias("n")
+    )
 
 
 def entrant_counts(counts: DataFrame, tracks: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def plan_targets(
 ) -> Planning:
     """Plans for every target.
 
-    ``counts`` is a staged ``history.lap_counts``, the only large table here: it is read once for
+    ``counts`` is a staged ``history.lap_counts`` table, the only large table here: it is read once for
     entrants, once for tyre ages and once for lap times, each time by the columns needed.  All
     later tables are small and staged, so no step plans or repeats the ones before it.
     """

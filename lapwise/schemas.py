@@ -53,6 +53,7 @@ STINT = ["Year", "EventName", "Driver", "Team", "Stint", "Compound"]
 TARGET_RACE = ["target_year", "target_round"]
 
 WEATHER_FIELDS = ["AirTemp", "TrackTemp", "Humidity", "Rainfall", "WindSpeed", "WindDirection"]
+WEATHER_FEATURES = ["AirTemp", "TrackTemp", "Humidity", "Rainfall"]
 
 CATEGORICAL = ["Driver", "Team", "Compound", "TrackType"]
 NUMERIC = [

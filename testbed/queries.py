@@ -58,7 +58,7 @@ def staged_calendar(t: Tables, staging: Staging) -> tuple[DataFrame, DataFrame]:
 
 
 def staged_counts(t: Tables, staging: Staging) -> DataFrame:
-    return staging.table(history.lap_counts(history_table(t)), "counts")
+    return staging.table(history.lap_counts(t.laps, t.weather, t.teams), "counts")
 
 
 def planning(t: Tables, staging: Staging) -> planner.Planning:
@@ -199,7 +199,8 @@ def weighted_history(t: Tables) -> DataFrame:
 def _per_entrant(t: Tables) -> tuple[DataFrame, DataFrame]:
     staging = Staging(t.spark)
     schedule, targets = staged_calendar(t, staging)
-    entrants = staging.table(history.entrant_counts(history.lap_counts(history_table(t)), t.tracks), "entrants")
+    counts = history.lap_counts(t.laps, t.weather, t.teams)
+    entrants = staging.table(history.entrant_counts(counts, t.tracks), "entrants")
     races = history.target_races(targets, schedule)
     slices = history.history_slices(races, schedule, history.races_with_laps(entrants))
     return races, history.entrant_history(entrants, staging.table(slices, "slices"), t.tracks)

@@ -42,8 +42,9 @@ SELECT CAST(year(l_shipdate) AS INT) AS Year, CAST(month(l_shipdate) AS INT) AS
  CAST((l_linenumber - 1) * 5 + 1 AS DOUBLE) AS TyreLife,
  CAST((day(l_shipdate) - 1) * 86400 + l_quantity * 1000 AS DOUBLE) AS Time,
  CASE WHEN l_partkey % 1001 = 1000 THEN NULL
-  ELSE CAST(90 + 0.0625 * ((l_linenumber - 1) * 5 + 1) + round(l_tax * 10, 1) AS DOUBLE) END AS LapTimeSeconds,
- l_discount < 0.095 AS IsAccurate,
+  ELSE 90 + CAST(0.0625 AS DOUBLE) * ((l_linenumber - 1) * 5 + 1) + floor(l_tax * 100 + CAST(0.5 AS DOUBLE)) / 10
+  END AS LapTimeSeconds,
+ l_discount < CAST(0.095 AS DOUBLE) AS IsAccurate,
  CASE WHEN o_orderstatus = 'P' AND l_linenumber = 7 THEN '4' ELSE '1' END AS TrackStatus,
  l_orderkey, l_linenumber, l_partkey, l_suppkey
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN dim_team_raw r ON l_suppkey % 10 = r.code

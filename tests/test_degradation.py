@@ -158,7 +158,7 @@ def test_counts_keep_every_lap(spark):
     rows = [(2024, "E1", "A", "T", "WET", 1.0, 1.0, 90.0, 1)] * 5 + [
         (2024, "E1", "A", "T", "SOFT", None, 1.0, 91.0, 0)
     ]
-    counts = history.lap_counts(spark.createDataFrame(rows, columns))
+    counts = history.count_laps(spark.createDataFrame(rows, columns))
     assert sorted(r["n"] for r in counts.collect()) == [1, 5]
     entrant = history.entrant_counts(counts, spark.createDataFrame([("E1", "Low", 4.0)], TRACKS)).collect()[0]
     assert (entrant["n"], entrant["n_wet"], entrant["wet_km"]) == (6, 5, 20.0)
