@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapwise.functions.expressions import round_half_even
@@ -82,6 +82,10 @@ def plan_targets(
     )
 
 
+def _or_empty_map(column: str, df: DataFrame) -> Column:
+    return F.coalesce(F.col(column), F.create_map().cast(df.schema[column].dataType))
+
+
 def plan_documents(planning: Planning) -> DataFrame:
     """target_id, status, document: one nested plan per target.
 
@@ -130,13 +134,13 @@ def plan_documents(planning: Planning) -> DataFrame:
     document = F.struct(
         target.alias("target"),
         F.col("history_rows").alias("phase_1_history_rows"),
-        F.col("_models").alias("phase_2_compound_models"),
+        _or_empty_map("_models", joined).alias("phase_2_compound_models"),
         round_half_even(F.col("wet_experience_km"), 3).alias("phase_2_wet_experience_km"),
         F.coalesce(without_rank, F.array().cast(
             "array<struct<compounds:array<string>,stint_laps:array<int>,stops:int,"
             "predicted_total_time_sec:double>>"
         )).alias("phase_3_best_strategies"),
-        F.col("_overstay").alias("phase_3_overstay_delta"),
+        _or_empty_map("_overstay", joined).alias("phase_3_overstay_delta"),
     )
     status = (
         F.when(F.col("history_rows") == 0, "no_history")
