@@ -11,7 +11,9 @@ Here a session is cut into time slices:
 
 A slice with more than ``hot_rows`` left rows is divided into splits; its right rows are copied to
 each.  The list of such slices holds at most rows / ``hot_rows`` entries, so it can be broadcast.
-The left side is shuffled once and no pairs are formed.
+Right rows of a slice are as many as its distinct times, so the slice width and the clock's resolution
+bound them.  The left side is shuffled once, and read once more, by three columns, for the count.  No
+pairs are formed.
 """
 
 from collections.abc import Sequence
