@@ -1,8 +1,12 @@
 """Registered queries of the subpackage and their DuckDB counterparts."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lapwise.llm import exact_dedup, mixing
+from lapwise.llm import bpe, exact_dedup, mixing
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -14,6 +18,22 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Encodes and decodes every document; digests of the ids and of the decoded bytes."""
+    path = public_tokenizers.path(VOCABULARY)
+    encoded = bpe.encode(docs.select("doc_id", "text"), path).withColumns({
+        "n_tokens": F.size("ids").cast("long"),
+        "ids_sha256": F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256),
+    })
+    return bpe.decode(encoded, path).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return token_digests(_table(spark, folder, "documents", "doc_id", "text"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     told = exact_dedup.annotate(_table(spark, folder, "documents", "doc_id", "text"))
     return told.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -21,6 +41,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_bpe": op2_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
