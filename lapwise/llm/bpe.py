@@ -337,6 +337,7 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFra
     """
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
     kept = without(docs.select(*keep), ["ids", "offsets"])
+    names = [*kept.columns, "ids", "offsets"]
     with open(path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -351,7 +352,7 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFra
                 done += len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], _lists([ids], [counts], pa.int32()), _lists([offsets], [counts], pa.int32())],
-                    names=[*kept.columns, "ids", "offsets"],
+                    names=names,
                 )
 
     schema = T.StructType([
@@ -365,6 +366,7 @@ def decode(encoded: DataFrame, path: str, keep: list[str] | None = None) -> Data
     """The columns ``keep`` of ``encoded`` (all but ids and offsets, if not given) with ``decoded``, binary."""
     keep = [c for c in encoded.columns if c not in ("ids", "offsets")] if keep is None else keep
     kept = without(encoded.select(*keep), ["decoded"])
+    names = [*kept.columns, "decoded"]
     with open(path, "rb") as f:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
 
@@ -378,7 +380,7 @@ def decode(encoded: DataFrame, path: str, keep: list[str] | None = None) -> Data
             )
             ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             data = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], data], names=[*kept.columns, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], data], names=names)
 
     schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())])
     return encoded.select(*kept.columns, "ids", "offsets").mapInArrow(run, schema)
