@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lapwise.llm.common import without
+from lapwise.llm.common import ship, without
 
 CHUNK_CHARS = 1 << 20
 CACHE_PIECES = 700_000
@@ -335,6 +335,7 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFra
     ``path``: a rank file, a line per token with its bytes in base 64 and its rank.  It is read on the
     driver and broadcast: a vocabulary has a fixed size, about a megabyte.
     """
+    ship(docs.sparkSession)
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
     kept = without(docs.select(*keep), ["ids", "offsets"])
     names = [*kept.columns, "ids", "offsets"]
@@ -364,6 +365,7 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFra
 
 def decode(encoded: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``encoded`` (all but ids and offsets, if not given) with ``decoded``, binary."""
+    ship(encoded.sparkSession)
     keep = [c for c in encoded.columns if c not in ("ids", "offsets")] if keep is None else keep
     kept = without(encoded.select(*keep), ["decoded"])
     names = [*kept.columns, "decoded"]

@@ -1,6 +1,9 @@
 """Helpers the operators share: checkpoints, words, scratch column names."""
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +33,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors' Python workers, unless their path has it already."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if context.applicationId in _SHIPPED or str(root) in known or root.name == "site-packages":
+        return
+    archive = Path(tempfile.mkdtemp(prefix="package-"), "lapwise")
+    context.addPyFile(shutil.make_archive(str(archive), "zip", root, "lapwise"))
+    _SHIPPED.add(context.applicationId)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     ascii_only = F.octet_length(text) == F.char_length(text)

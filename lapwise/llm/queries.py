@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwise.llm import bpe, exact_dedup, mixing
+from lapwise.llm import bpe, exact_dedup, minhash, mixing
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -34,6 +34,10 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(_table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.classes(_table(spark, folder, "documents", "doc_id", "text"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     told = exact_dedup.annotate(_table(spark, folder, "documents", "doc_id", "text"))
     return told.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -42,6 +46,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
+    "op3_minhash": op3_minhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
