@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from lapwise.llm.common import ship, without
 
 CHUNK_CHARS = 1 << 20
-CACHE_PIECES = 700_000
+CACHE_PIECES = 500_000
 CACHE_LONGEST = 64
 SHORT = 40
 
@@ -308,11 +308,11 @@ def vocabulary(content: bytes) -> Vocabulary:
     return _LOADED[key]
 
 
-def chunks(texts: list[str | None]) -> Iterator[list[str]]:
-    """Runs of texts of about CHUNK_CHARS characters."""
+def chunks(texts: pa.Array) -> Iterator[list[str]]:
+    """Runs of texts of about CHUNK_CHARS characters; null is empty."""
     run, size = [], 0
-    for t in texts:
-        t = t or ""
+    for value in texts:
+        t = value.as_py() or ""
         if run and size + len(t) > CHUNK_CHARS:
             yield run
             run, size = [], 0
@@ -347,7 +347,7 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFra
         for batch in batches:
             # A batch is passed on in parts, so that ids of few texts are held at a time.
             done = 0
-            for texts in chunks(batch.column(batch.num_columns - 1).to_pylist()):
+            for texts in chunks(batch.column(batch.num_columns - 1)):
                 ids, offsets, counts = vocab.encode(texts)
                 part = batch.slice(done, len(texts))
                 done += len(texts)
@@ -375,14 +375,19 @@ def decode(encoded: DataFrame, path: str, keep: list[str] | None = None) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(shared.value)
         for batch in batches:
-            ids, offsets = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            counts = np.diff(ids.offsets.to_numpy())
-            flat, sizes = vocab.decode(
-                ids.flatten().to_numpy(zero_copy_only=False), offsets.flatten().to_numpy(zero_copy_only=False), counts
-            )
-            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            data = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], data], names=names)
+            # A batch is decoded in parts of about CHUNK_CHARS tokens, or of one text.
+            ends = batch.column(batch.num_columns - 2).offsets.to_numpy()
+            first = 0
+            while first < batch.num_rows:
+                last = int(np.searchsorted(ends, ends[first] + CHUNK_CHARS // 2, "right")) - 1
+                last = min(max(last, first + 1), batch.num_rows)
+                part = batch.slice(first, last - first)
+                counts, first = np.diff(ends[first : last + 1]), last
+                ids, offsets = (part.column(batch.num_columns - k).flatten().to_numpy() for k in (2, 1))
+                flat, sizes = vocab.decode(ids, offsets, counts)
+                cuts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], data], names=names)
 
     schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())])
     return encoded.select(*kept.columns, "ids", "offsets").mapInArrow(run, schema)

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwise.llm import bpe, exact_dedup, minhash, mixing
+from lapwise.llm import bpe, exact_dedup, licenses, minhash, mixing, quality
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -38,6 +38,17 @@ def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.classes(_table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    labels = _table(spark, folder, "labels", "doc_id", "quality").where(~held_out)
+    told = quality.annotate(_table(spark, folder, "documents", "doc_id", "text"), labels)
+    return told.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.summarised(licenses.annotate(_table(spark, folder, "documents", "doc_id", "text")))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     told = exact_dedup.annotate(_table(spark, folder, "documents", "doc_id", "text"))
     return told.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -47,6 +58,8 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
     "op3_minhash": op3_minhash,
+    "op4_quality": op4_quality,
+    "op7_licenses": op7_licenses,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
