@@ -3,6 +3,7 @@
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the checkpoint folder and read again: smaller than a checkpoint.
+
+    The files are deleted when the application ends.
+    """
+    spark = df.sparkSession
+    out = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(out)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwise.llm import bpe, exact_dedup, licenses, minhash, mixing, quality
+from lapwise.llm import bpe, exact_dedup, licenses, minhash, mixing, quality, substrings
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -49,6 +49,11 @@ def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.summarised(licenses.annotate(_table(spark, folder, "documents", "doc_id", "text")))
 
 
+def op8_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    told = substrings.deduplicate(_table(spark, folder, "documents", "doc_id", "text"))
+    return told.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     told = exact_dedup.annotate(_table(spark, folder, "documents", "doc_id", "text"))
     return told.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -60,6 +65,7 @@ QUERIES = {
     "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
     "op7_licenses": op7_licenses,
+    "op8_substrings": op8_substrings,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
