@@ -161,6 +161,23 @@ class Scanner:
         return start
 
 
+def pre_tokens(scanner: Scanner, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Pieces of all texts, one after the other, and the number of pieces in each."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    joined = "\0".join(texts) + "\0"
+    ends = np.cumsum(lengths + 1) - 1
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    start = scanner.starts(points, ends)
+    first = np.flatnonzero(start)
+    # A piece ends where the next one starts, or at the separator.
+    last = np.append(first[1:], len(joined))
+    cut = np.searchsorted(first, ends)
+    closing = np.unique(cut[cut > 0] - 1)
+    last[closing] = ends[np.searchsorted(ends, first[closing])]
+    counts = np.diff(np.concatenate(([0], cut)))
+    return [joined[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)], counts
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece: the adjacent pair of lowest rank is joined, the leftmost first, until none is left.
 
@@ -247,25 +264,9 @@ class Vocabulary:
         self.pieces = Pieces(self.ranks)
         self.scanner = Scanner()
 
-    def pre_tokens(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Pieces of all texts, one after the other, and the number of pieces in each."""
-        lengths = np.array([len(t) for t in texts], np.int64)
-        joined = "\0".join(texts) + "\0"
-        ends = np.cumsum(lengths + 1) - 1
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        start = self.scanner.starts(points, ends)
-        first = np.flatnonzero(start)
-        # A piece ends where the next one starts, or at the separator.
-        last = np.append(first[1:], len(joined))
-        cut = np.searchsorted(first, ends)
-        closing = np.unique(cut[cut > 0] - 1)
-        last[closing] = ends[np.searchsorted(ends, first[closing])]
-        counts = np.diff(np.concatenate(([0], cut)))
-        return [joined[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)], counts
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, byte offsets in their document, and the number of ids of each text."""
-        pieces, counts = self.pre_tokens(texts)
+        pieces, counts = pre_tokens(self.scanner, texts)
         if len(self.pieces.begin) > CACHE_PIECES:
             self.pieces = Pieces(self.ranks)
         number = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))

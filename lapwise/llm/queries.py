@@ -1,10 +1,12 @@
 """Registered queries of the subpackage and their DuckDB counterparts."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwise.llm import bpe, exact_dedup, licenses, minhash, mixing, quality, substrings
+from lapwise.llm import (
+    bpe, embeddings, exact_dedup, licenses, lines, minhash, mixing, quality, substrings, token_counts,
+)
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,6 +20,15 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def held_out() -> Column:
+    """Whether a document's label is set aside for judging the classifier."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def training_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, "labels", "doc_id", "quality").where(~held_out())
+
+
 def token_digests(docs: DataFrame) -> DataFrame:
     """Encodes and decodes every document; digests of the ids and of the decoded bytes."""
     path = public_tokenizers.path(VOCABULARY)
@@ -39,10 +50,17 @@ def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    labels = _table(spark, folder, "labels", "doc_id", "quality").where(~held_out)
-    told = quality.annotate(_table(spark, folder, "documents", "doc_id", "text"), labels)
-    return told.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    told = quality.annotate(_table(spark, folder, "documents", "doc_id", "text"), training_labels(spark, folder))
+    return told.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op5_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.classes(_table(spark, folder, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    return token_counts.annotate(docs, public_tokenizers.path(VOCABULARY))
 
 
 def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,6 +72,11 @@ def op8_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
+    told = lines.deduplicate(_table(spark, folder, "documents", "doc_id", "text"))
+    return told.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     told = exact_dedup.annotate(_table(spark, folder, "documents", "doc_id", "text"))
     return told.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -64,12 +87,42 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
+    "op5_embeddings": op5_embeddings,
+    "op6_token_counts": op6_token_counts,
     "op7_licenses": op7_licenses,
     "op8_substrings": op8_substrings,
+    "op9_lines": op9_lines,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE = {
+    "op9_lines": """
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
+  FROM documents),
+masked AS (
+  SELECT doc_id, line, place, array_to_string(list_transform(
+    list_filter(regexp_split_to_array(line, '[ \\t\\r\\f\\v]+'), lambda x: x <> ''),
+    lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS masked
+  FROM raw),
+lines AS (SELECT *, string_split(masked, ' ') AS f FROM masked WHERE masked <> ''),
+distinct_lines AS (SELECT masked, f, len(f) AS n, f[1:3] AS lead, count(*) AS seen FROM lines WHERE len(f) > 3 GROUP BY masked, f),
+top1 AS (SELECT n, lead, max({'seen': seen, 'masked': masked}).masked AS t FROM distinct_lines GROUP BY n, lead),
+told1 AS (SELECT d.*, t, 10 * len(list_filter(list_zip(f, string_split(t, ' ')), lambda x: x[1] = x[2])) >= 7 * d.n AS joins
+  FROM distinct_lines d JOIN top1 USING (n, lead)),
+top2 AS (SELECT n, lead, max({'seen': seen, 'masked': masked}).masked AS t FROM told1 WHERE NOT joins GROUP BY n, lead),
+told2 AS (SELECT d.masked, top2.t, 10 * len(list_filter(list_zip(d.f, string_split(top2.t, ' ')), lambda x: x[1] = x[2])) >= 7 * d.n AS joins
+  FROM told1 d JOIN top2 USING (n, lead) WHERE NOT d.joins),
+joined AS (SELECT masked, t FROM told1 WHERE joins UNION ALL SELECT masked, t FROM told2 WHERE joins),
+known AS (SELECT doc_id, place, coalesce(t, masked) AS t FROM lines LEFT JOIN joined USING (masked)),
+common AS (SELECT t FROM known GROUP BY t HAVING count(DISTINCT doc_id) >= 5),
+gone AS (SELECT doc_id, place FROM known SEMI JOIN common USING (t)),
+kept AS (SELECT r.doc_id, count(*) AS n_lines, count(g.place) AS n_dropped,
+  coalesce(string_agg(r.line, chr(10) ORDER BY r.place) FILTER (WHERE g.place IS NULL), '') AS kept_text
+  FROM raw r LEFT JOIN gone g USING (doc_id, place) GROUP BY r.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+""",
     "op10_exact_dedup": """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
