@@ -170,7 +170,7 @@ def pre_tokens(scanner: Scanner, texts: list[str]) -> tuple[list[str], np.ndarra
     start = scanner.starts(points, ends)
     first = np.flatnonzero(start)
     # A piece ends where the next one starts, or at the separator.
-    last = np.append(first[1:], len(joined))
+    last = np.append(first[1:], len(joined))[: len(first)]
     cut = np.searchsorted(first, ends)
     closing = np.unique(cut[cut > 0] - 1)
     last[closing] = ends[np.searchsorted(ends, first[closing])]
