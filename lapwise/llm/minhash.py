@@ -8,13 +8,14 @@ larger in later rounds; a coordinate keeps its smallest value.  Large sets fill
 two.  After 128 rounds every round serves one coordinate with all shingles, so each is filled after 256.  Two
 sketches agree in a coordinate with a chance equal to the similarity, and the share of agreement is
 concentrated around it: at similarity 0.75, 32 bands of four meet in at least one with a chance over 0.99999,
-and agreement below one half is six and a half standard deviations away.
+and agreement in fewer than 72 is five standard deviations away.
 
 Copies of a text are one class with one representative, so they never form pairs.  In each bucket of a band
 all representatives are verified against the smallest one, on their full sets; that is linear in a bucket,
 and joins a group of near copies at once.  Only where members of one bucket are then in different components
 are the others compared: buckets are cut into blocks, each pair of blocks is compared by sketches in its own
-task, and pairs that may be similar are verified on their full sets.
+task, and members that may be similar to another are compared once more there, on their full sets.  From such a
+task comes a spanning forest of its links, never all pairs.
 
 Defined results: rows without ``doc_id`` link with nothing, their component is null and they are kept; rows
 that share an id are one document; null and empty texts have no shingles, their component is themselves; an
@@ -36,7 +37,9 @@ WIDTH = 5
 COORDINATES = 128
 BAND = 4
 PERCENT = 75
-BLOCK = 256
+BLOCK = 4096
+#: Agreeing coordinates from which a pair is compared in full: five standard deviations below 0.75.
+SUSPECT = 72
 WORDS_KEPT = 500_000
 
 _U = np.uint64
@@ -123,27 +126,69 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(words(t)).view(np.int64) for t in batch.column(1).to_pylist()]
-        small = [sketch(s.view(_U)).astype(np.uint16).tobytes() if len(s) else b"" for s in sets]
+        small = [sketch(s.view(_U)).astype(np.uint32).tobytes() if len(s) else b"" for s in sets]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(small, pa.binary())],
             names=["id", "shingles", "sketch"],
         )
 
 
-def _similar_in_blocks(table: pa.Table) -> pa.Table:
-    """Pairs of one pair of blocks that may be similar: other component, at least half of the sketch alike."""
+def _suspects(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of one pair of blocks and those they may be similar to: in another component, alike in enough of the
+    sketch, and this band is the first that both share, so that a pair is looked at once."""
     ids, comps, block = (table.column(c).to_numpy() for c in ("id", "comp", "block"))
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    values = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(ids), -1)
+    i, j, at = (table.column(c)[0].as_py() for c in ("i", "j", "at"))
+    values = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(len(ids), -1)
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    a, b = [], []
-    for x in left:
-        near = right[(comps[right] != comps[x]) & (ids[right] > ids[x] if i == j else True)]
-        near = near[(values[near] == values[x]).sum(1) * 2 >= COORDINATES]
-        a.append(np.full(len(near), ids[x]))
-        b.append(ids[near])
-    a, b = (np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for v in (a, b))
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    for x in left.tolist():
+        near = right[comps[right] != comps[x]]
+        if i == j:
+            near = near[ids[near] > ids[x]]
+        same = values[near] == values[x]
+        enough = same.sum(1) >= SUSPECT
+        near, same = near[enough], same[enough]
+        if len(near):
+            first = same.reshape(len(near), -1, BAND).all(2).argmax(1)
+            yield x, near[first == at]
+
+
+def _suspected(table: pa.Table) -> pa.Table:
+    """The rows of a pair of blocks that need to be compared on their full sets."""
+    wanted = np.zeros(table.num_rows, bool)
+    for x, near in _suspects(table):
+        wanted[near] = True
+        wanted[x] |= len(near) > 0
+    return table.filter(pa.array(wanted)).drop_columns(["sketch"])
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets, sorted, are linked."""
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """Links of a pair of blocks, verified on the full sets; pairs of components already joined are passed over."""
+    ids, comps = table.column("id").to_numpy(), table.column("comp").to_numpy()
+    sets = [v.values.to_numpy() for v in table.column("shingles")]
+    parent = {c: c for c in comps.tolist()}
+
+    def top(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    found = []
+    for x, near in _suspects(table):
+        for y in near.tolist():
+            p, q = top(int(comps[x])), top(int(comps[y]))
+            if p != q and similar(sets[x], sets[y]):
+                parent[max(p, q)] = min(p, q)
+                found.append((int(ids[x]), int(ids[y])))
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -172,9 +217,9 @@ def classes(docs: DataFrame) -> DataFrame:
     some = told.where("doc_id IS NOT NULL AND n_shingles > 0")
     reps = some.groupBy("key").agg(F.min("doc_id").alias("rep"))
     first = some.join(reps.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("rep")))
-    rows = first.select("rep", F.explode("bands").alias("band"))
+    rows = first.select("rep", F.posexplode("bands").alias("at", "band"))
     shared = rows.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last")
-    buckets = checkpointed(rows.join(shared.select("band", "pivot"), "band").select("band", "rep", "pivot"))
+    buckets = checkpointed(rows.join(shared.select("band", "pivot"), "band").select("at", "band", "rep", "pivot"))
     stars = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
 
     # Full sets and sketches of all that share a bucket with another.
@@ -189,7 +234,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # Members of a bucket, without its pivot, that are still in different components.
     open_rows = (
         buckets.where("rep <> pivot").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("band", "rep", F.coalesce("component_id", "rep").alias("comp"))
+        .select("at", "band", "rep", F.coalesce("component_id", "rep").alias("comp"))
     )
     mixed_up = open_rows.groupBy("band").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")
@@ -201,14 +246,15 @@ def classes(docs: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
     paired = (
         cut.withColumn("__o", other)
-        .select("band", F.col("rep").alias("id"), "comp", "block",
+        .select("at", "band", F.col("rep").alias("id"), "comp", "block",
                 F.least("block", "__o").alias("i"), F.greatest("block", "__o").alias("j"))
     )
-    candidates = (
-        paired.join(sets.select("id", "sketch"), "id")
-        .groupBy("band", "i", "j").applyInArrow(_similar_in_blocks, "a bigint, b bigint").distinct()
+    suspects = checkpointed(
+        paired.join(sets.select("id", "sketch"), "id").groupBy("band", "i", "j").applyInArrow(_suspected, paired.schema)
+    )
+    more = checkpointed(
+        suspects.join(sets, "id").groupBy("band", "i", "j").applyInArrow(_linked, "a bigint, b bigint").distinct()
     )
-    more = _verified(candidates, sets).distinct()
     labels = components(links.union(more)) if not more.isEmpty() else found
 
     named = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
