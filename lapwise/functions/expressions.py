@@ -34,11 +34,6 @@ def duration_seconds(value: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", zero, zero + value) / F.lit(1e6)
 
 
-def elapsed_seconds(start: Column, end: Column) -> Column:
-    """Seconds between two instants."""
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1e6)
-
-
 def event_key(*parts: Column) -> Column:
     """``year:event`` and, for failures, ``year:event:reason``."""
     return F.concat_ws(":", *[part.cast("string") for part in parts])

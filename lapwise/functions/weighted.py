@@ -31,7 +31,8 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: Colu
 
     Equal values are summed before anything is ordered, with map-side combine, so the ordered part
     has one row per distinct value of the group.  For lap times, which come in milliseconds, that
-    is at most 1000 rows per second of spread.  The 1e-9 absorbs rounding of summed weights.
+    is at most 1000 rows per second of spread.  ``weight`` is a whole number, so sums and the
+    comparison are exact however many rows there are.
     """
     keys = list(keys)
     group = Window.partitionBy(*keys)
@@ -41,7 +42,7 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: Colu
         .agg(F.sum(weight).alias("_w"))
         .withColumn("_cum", F.sum("_w").over(running))
         .withColumn("_total", F.sum("_w").over(group))
-        .where(F.col("_cum") >= F.col("_total") * F.lit(0.5 - 1e-9))
+        .where(2 * F.col("_cum") >= F.col("_total"))
         .groupBy(*keys)
         .agg(F.min(value).alias(name))
     )

@@ -156,9 +156,9 @@ def fresh_laps(lap_times: DataFrame, scoped: DataFrame, lines: DataFrame) -> Dat
     times = lap_times.join(wanted, [*schemas.RACE, *SCOPE, "Compound"]).where(
         (~F.col("same_track") | same) & (~F.col("fresh_only") | F.col("fresh"))
     )
-    return weighted_median(
-        times, FIT, "LapTimeSeconds", F.col("n") * F.col("weight"), "fresh_lap_time_sec"
-    )
+    # Weights come in tenths.
+    tenths = F.round(F.col("weight") * 10).cast("long")
+    return weighted_median(times, FIT, "LapTimeSeconds", F.col("n") * tenths, "fresh_lap_time_sec")
 
 
 def compound_models(

@@ -11,6 +11,7 @@ from lapwise.operators.asof import asof_backward
 from lapwise.operators.baselines import pace_baselines, session_paces
 from lapwise.operators.filters import clean_laps, completed_events
 from lapwise.operators.lookups import add_track_features, normalize_team
+from lapwise.sources.tables import only_sessions
 
 
 def with_weather(
@@ -30,23 +31,26 @@ def session_laps(laps: DataFrame, teams: DataFrame) -> DataFrame:
     return normalize_team(clean_laps(laps), teams)
 
 
-def lap_features(
+def measured_laps(
     laps: DataFrame,
     weather: DataFrame,
     teams: DataFrame,
     tracks: DataFrame,
     keep: Sequence[str] = (),
-    strict: bool = False,
+    sessions: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per usable lap: session key, ``keep``, categoricals, numeric features, lap time.
+    """One row per clean lap: session key, ``keep``, categoricals, numeric features, lap time, and
+    ``Matched``, whether a weather sample came before the lap's end.
 
-    Baselines use every clean lap, including those dropped later for a missing value.  Laps before
-    the first weather sample are dropped; with ``strict`` their whole session is.  Look-ups come
-    after the as-of join, so its shuffle carries only what the laps bring.
+    Baselines use every clean lap.  Look-ups come after the as-of join, so its shuffle carries only
+    what the laps bring.  With ``sessions`` (Year, RoundNumber) only those races are read and joined.
     """
+    if sessions is not None:
+        laps, weather = only_sessions(laps, sessions), only_sessions(weather, sessions)
+    sampled = weather.withColumn("Matched", F.lit(True))
     clean = clean_laps(laps)
     joined = pace_baselines(
-        normalize_team(with_weather(clean, weather, schemas.WEATHER_FEATURES), teams),
+        normalize_team(with_weather(clean, sampled, [*schemas.WEATHER_FEATURES, "Matched"]), teams),
         session_paces(session_laps(laps, teams)),
     )
     featured = (
@@ -54,15 +58,35 @@ def lap_features(
         .withColumn("IsWet", wet_flag(F.col("Compound"), F.col("Rainfall")))
         .withColumn("Rainfall", F.col("Rainfall").cast("int"))
     )
-    complete = featured.select(
-        *schemas.SESSION, "EventName", *keep, *schemas.CATEGORICAL, *schemas.NUMERIC, schemas.TARGET
-    ).dropna(subset=[*schemas.NUMERIC, schemas.TARGET])
+    return featured.select(
+        *schemas.SESSION, "EventName", *keep, *schemas.CATEGORICAL, *schemas.NUMERIC, schemas.TARGET,
+        F.coalesce("Matched", F.lit(False)).alias("Matched"),
+    )
+
+
+def complete_laps(measured: DataFrame, strict: bool = False) -> DataFrame:
+    """The measured laps that have every feature and a time.  ``strict`` drops all laps of a session
+    with a lap before its first weather sample."""
+    complete = measured.dropna(subset=[*schemas.NUMERIC, schemas.TARGET]).drop("Matched")
     if strict:
-        broken = featured.where(F.col("Rainfall").isNull()).select(*schemas.SESSION).distinct()
+        broken = measured.where(~F.col("Matched")).select(*schemas.SESSION).distinct()
         complete = complete.join(broken, schemas.SESSION, "left_anti")
     return complete
 
 
+def lap_features(
+    laps: DataFrame,
+    weather: DataFrame,
+    teams: DataFrame,
+    tracks: DataFrame,
+    keep: Sequence[str] = (),
+    strict: bool = False,
+    sessions: DataFrame | None = None,
+) -> DataFrame:
+    """One row per usable lap: session key, ``keep``, categoricals, numeric features, lap time."""
+    return complete_laps(measured_laps(laps, weather, teams, tracks, keep, sessions), strict)
+
+
 def era_events(schedule: DataFrame, eras: DataFrame, as_of) -> DataFrame:
     """era, Year, RoundNumber, EventName of the races run by ``as_of``; eras may overlap."""
     seasons = eras.select(
@@ -81,23 +105,27 @@ def era_features(features: DataFrame, schedule: DataFrame, eras: DataFrame, as_o
     return features.join(events, schemas.RACE)
 
 
-def event_status(
-    laps: DataFrame, features: DataFrame, schedule: DataFrame, eras: DataFrame, as_of
-) -> DataFrame:
-    """One row per completed race of an era: lap counts and whether it could be used.
+def event_status(measured: DataFrame, schedule: DataFrame, eras: DataFrame, as_of) -> DataFrame:
+    """One row per completed race of an era: its clean laps, those before the first weather sample, those
+    with every feature, and whether it could be used.
 
-    ``status`` is loaded, empty (laps, none usable) or no_laps.
+    ``measured`` comes from ``measured_laps`` and is read once.  ``status`` is loaded, empty (laps, none
+    usable) or no_laps.
     """
-    recorded = clean_laps(laps).groupBy(*schemas.RACE).agg(F.count(F.lit(1)).alias("clean_laps"))
-    usable = features.groupBy(*schemas.RACE).agg(F.count(F.lit(1)).alias("usable_laps"))
+    usable = F.lit(True)
+    for name in [*schemas.NUMERIC, schemas.TARGET]:
+        usable &= F.col(name).isNotNull()
+    counts = measured.groupBy(*schemas.RACE).agg(
+        F.count(F.lit(1)).alias("clean_laps"), F.count_if(~F.col("Matched")).alias("unmatched_laps"),
+        F.count_if(usable).alias("usable_laps"),
+    )
     counted = (
         era_events(schedule, eras, as_of)
-        .join(recorded, schemas.RACE, "left")
-        .join(usable, schemas.RACE, "left")
-        .fillna(0, ["clean_laps", "usable_laps"])
+        .join(counts, schemas.RACE, "left")
+        .fillna(0, ["clean_laps", "unmatched_laps", "usable_laps"])
     )
     return counted.select(
-        "era", *schemas.SESSION, "EventName", "clean_laps", "usable_laps",
+        "era", *schemas.SESSION, "EventName", "clean_laps", "unmatched_laps", "usable_laps",
         F.when(F.col("usable_laps") > 0, "loaded")
         .when(F.col("clean_laps") > 0, "empty")
         .otherwise("no_laps")
@@ -122,7 +150,7 @@ def era_coverage(statuses: DataFrame, eras: DataFrame) -> DataFrame:
     nothing = F.array().cast("array<string>")
     return eras.join(lists, "era", "left").select(
         "era", "start_year", "end_year",
-        F.when(F.col("rows") > 0, "trained").otherwise("no_data").alias("status"),
+        F.when(F.col("rows") > 0, "has_data").otherwise("no_data").alias("status"),
         F.coalesce("rows", F.lit(0)).alias("rows"),
         F.coalesce(F.col("_ok.key"), nothing).alias("loaded_events"),
         F.coalesce(F.col("_bad.key"), nothing).alias("failed_events"),

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwise import schemas
@@ -10,7 +10,7 @@ from lapwise.functions.expressions import wet_flag
 from lapwise.operators.filters import clean_laps
 from lapwise.operators.lookups import add_track, add_track_features, normalize_team
 from lapwise.plans.features import with_weather
-from lapwise.sources.tables import season_schedule
+from lapwise.sources.tables import only_sessions, season_schedule
 
 # Slice weights and lengths.
 RECENT_WEIGHTS = [3.0, 2.5, 2.0]
@@ -19,21 +19,44 @@ SAME_RACE_WEIGHT = 2.5
 FALLBACK_WEIGHT = 1.2
 FALLBACK_RACES = 5
 WET_SHARE = 0.25
+ACCENTS, PLAIN = "áàâãäåçéèêëíìîïñóòôõöúùûü", "aaaaaaceeeeiiiinooooouuuu"
 
 
-def target_context(targets: DataFrame, schedule: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Targets with round, event, track type and length; ``status`` tells unresolved ones."""
+def race_key(name: Column) -> Column:
+    """A race's name as people type it: without case, accents, outer blanks and "Grand Prix"."""
+    plain = F.translate(F.lower(name), ACCENTS, PLAIN)
+    return F.trim(F.regexp_replace(plain, r"\s+grand prix\s*$", ""))
+
+
+def resolved_targets(targets: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Targets with round_number, event_name and status.
+
+    A race is found in its season by its name, as ``race_key`` sees it, or by its round number.
+    ``status`` is resolved, ambiguous (several races of the season answer to the name) or unresolved.
+    """
     races = season_schedule(schedule).select(
-        F.col("Year").alias("year"),
-        F.col("EventName").alias("gp"),
-        F.col("RoundNumber").alias("round_number"),
-        F.col("EventName").alias("event_name"),
+        F.col("Year").alias("year"), F.struct("RoundNumber", "EventName").alias("_race"),
+        F.explode(F.array(race_key(F.col("EventName")), F.col("RoundNumber").cast("string"))).alias("_key"),
     )
-    found = targets.join(races, ["year", "gp"], "left").withColumn(
-        "status", F.when(F.col("round_number").isNull(), "unresolved").otherwise("resolved")
+    answers = races.groupBy("year", "_key").agg(
+        F.count_distinct("_race").alias("_n"), F.min("_race").alias("_race")
     )
+    one = F.col("_n") == 1
     return (
-        add_track(found, tracks, on="event_name")
+        targets.withColumn("_key", race_key(F.col("gp"))).join(answers, ["year", "_key"], "left")
+        .withColumns({
+            "round_number": F.when(one, F.col("_race.RoundNumber")),
+            "event_name": F.when(one, F.col("_race.EventName")),
+            "status": F.when(one, "resolved").when(F.col("_n") > 1, "ambiguous").otherwise("unresolved"),
+        })
+        .drop("_key", "_n", "_race")
+    )
+
+
+def target_context(targets: DataFrame, schedule: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Targets with round, event, status, track type and length."""
+    return (
+        add_track(resolved_targets(targets, schedule), tracks, on="event_name")
         .withColumnRenamed("TrackType", "track_type")
         .withColumnRenamed("TrackLengthKM", "track_length_km")
     )
@@ -41,15 +64,10 @@ def target_context(targets: DataFrame, schedule: DataFrame, tracks: DataFrame) -
 
 def target_races(targets: DataFrame, schedule: DataFrame) -> DataFrame:
     """target_year, target_round, target_event: each race that has a target, once."""
-    races = season_schedule(schedule).select(
-        F.col("Year").alias("target_year"),
-        F.col("RoundNumber").alias("target_round"),
-        F.col("EventName").alias("target_event"),
-    )
-    wanted = targets.select(
-        F.col("year").alias("target_year"), F.col("gp").alias("target_event")
-    )
-    return races.join(wanted, ["target_year", "target_event"], "left_semi")
+    return resolved_targets(targets, schedule).where("status = 'resolved'").select(
+        F.col("year").alias("target_year"), F.col("round_number").alias("target_round"),
+        F.col("event_name").alias("target_event"),
+    ).distinct()
 
 
 def prior_races(races: DataFrame, schedule: DataFrame) -> DataFrame:
@@ -111,6 +129,15 @@ def fallback_slices(races: DataFrame, slices: DataFrame, schedule: DataFrame, ra
     )
 
 
+def needed_sessions(races: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Year, RoundNumber of every race that the targets' history can come from: their slices and, as
+    the fallback may be needed, the end of the season before.  A few dozen per target race."""
+    slices = race_slices(races, schedule)
+    nowhere = slices.select(*schemas.RACE).limit(0)
+    wanted = slices.unionByName(fallback_slices(races, slices, schedule, nowhere)).select(*schemas.RACE)
+    return season_schedule(schedule).join(wanted, schemas.RACE, "left_semi").select(*schemas.SESSION).distinct()
+
+
 def history_slices(races: DataFrame, schedule: DataFrame, raced: DataFrame) -> DataFrame:
     """Slices of every target race, with the fallback where it applies."""
     slices = race_slices(races, schedule)
@@ -118,12 +145,15 @@ def history_slices(races: DataFrame, schedule: DataFrame, raced: DataFrame) -> D
 
 
 def wet_flagged_laps(
-    laps: DataFrame, weather: DataFrame, teams: DataFrame, fields: Sequence[str]
+    laps: DataFrame, weather: DataFrame, teams: DataFrame, fields: Sequence[str],
+    sessions: DataFrame | None = None,
 ) -> DataFrame:
     """Usable laps with team names, the weather ``fields`` and the wet flag.
 
-    Rows that lack a required value go before the shuffle, not after it, and look-ups come after.
+    With ``sessions`` (Year, RoundNumber) only those races are read and joined.  Rows that lack a required value go before the shuffle, not after it, and look-ups come after.
     """
+    if sessions is not None:
+        laps, weather = only_sessions(laps, sessions), only_sessions(weather, sessions)
     usable = (
         clean_laps(laps)
         .withColumn("Driver", F.coalesce(F.col("Driver").cast("string"), F.lit("None")))
@@ -135,10 +165,11 @@ def wet_flagged_laps(
 
 
 def history_laps(
-    laps: DataFrame, weather: DataFrame, teams: DataFrame, tracks: DataFrame
+    laps: DataFrame, weather: DataFrame, teams: DataFrame, tracks: DataFrame,
+    sessions: DataFrame | None = None,
 ) -> DataFrame:
-    """History laps of all sessions, computed once for all slices."""
-    flagged = wet_flagged_laps(laps, weather, teams, schemas.WEATHER_FIELDS)
+    """History laps of the sessions (all, if not given), computed once for all slices."""
+    flagged = wet_flagged_laps(laps, weather, teams, schemas.WEATHER_FIELDS, sessions)
     return add_track_features(flagged, tracks)
 
 
@@ -161,7 +192,9 @@ def weighted_history(history: DataFrame, slices: DataFrame, keep: Sequence[str]
     )
 
 
-def lap_counts(laps: DataFrame, weather: DataFrame, teams: DataFrame) -> DataFrame:
+def lap_counts(
+    laps: DataFrame, weather: DataFrame, teams: DataFrame, sessions: DataFrame | None = None
+) -> DataFrame:
     """History laps as counted values: the one table every degradation step reads.
 
     A single shuffle with map-side combine; laps alike in all that matters become one row, so a
@@ -169,7 +202,7 @@ def lap_counts(laps: DataFrame, weather: DataFrame, teams: DataFrame) -> DataFra
     weather only rain matters here, and what follows from the race (track, length) is looked up
     on the sums.
     """
-    return count_laps(wet_flagged_laps(laps, weather, teams, ["Rainfall"]))
+    return count_laps(wet_flagged_laps(laps, weather, teams, ["Rainfall"], sessions))
 
 
 def count_laps(flagged: DataFrame) -> DataFrame:
@@ -248,7 +281,7 @@ def target_profiles(
         .join(race_condition(races, per_entrant).drop("target_event"), race, "left")
     )
     return joined.select(
-        "target_id", *race, "gp", "event_name", "driver", "team", "track_type", "track_length_km",
+        "target_id", *race, "gp", "event_name", "status", "driver", "team", "track_type", "track_length_km",
         "race_laps",
         F.coalesce("pit_loss_sec", F.lit(21.0)).alias("pit_loss_sec"),
         F.when(F.coalesce("condition", F.lit("auto")) != "auto", F.col("condition"))

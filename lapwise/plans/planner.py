@@ -89,7 +89,7 @@ def _or_empty_map(column: str, df: DataFrame) -> Column:
 def plan_documents(planning: Planning) -> DataFrame:
     """target_id, status, document: one nested plan per target.
 
-    ``status`` is ok, no_history or no_models.  Lists are ordered and bounded: five compounds, ten
+    ``status`` is ok, unresolved, ambiguous, no_history or no_models.  Lists are ordered and bounded: five compounds, ten
     extra laps, ``top_k`` plans.
     """
     models = planning.models.groupBy("target_id").agg(
@@ -143,7 +143,8 @@ def plan_documents(planning: Planning) -> DataFrame:
         _or_empty_map("_overstay", joined).alias("phase_3_overstay_delta"),
     )
     status = (
-        F.when(F.col("history_rows") == 0, "no_history")
+        F.when(F.col("status") != "resolved", F.col("status"))
+        .when(F.col("history_rows") == 0, "no_history")
         .when(F.col("_models").isNull(), "no_models")
         .otherwise("ok")
     )

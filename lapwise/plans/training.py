@@ -19,7 +19,6 @@ SEED = 42
 MIN_SPLIT_ROWS = 50
 ITERATIONS = 100
 LEARNING_RATE = 0.1
-EARLY_STOP_ROWS = 10_000
 VALIDATION_TENTHS = 1
 STOP_TOLERANCE = 1e-7
 
@@ -50,8 +49,8 @@ def lap_time_pipeline(
     """Encoders and boosted trees in one pipeline, so scoring needs no list of columns.
 
     An unseen or missing category becomes an all-zero vector: the indexer gives it one extra index
-    and the encoder drops the last.  With ``early_stop`` no more trees are added once they stop
-    helping on the validation rows.
+    and the encoder drops the last.  With ``early_stop`` no more trees are added after the first round
+    that does not lower the error on the validation rows by a ten-millionth, a patience of one round.
     """
     trees = GBTRegressor(
         labelCol=schemas.TARGET, featuresCol="features", maxIter=iterations,
@@ -87,6 +86,7 @@ class Fit:
     rows: int
     features: int
     rmse: float | None
+    spread: float | None
 
 
 def fit_lap_times(
@@ -94,11 +94,12 @@ def fit_lap_times(
     keys: Sequence[str] = NATURAL_KEY,
     iterations: int = ITERATIONS,
     always_split: bool = False,
+    early_stop: bool = False,
 ) -> Fit | None:
     """Fits on four fifths and measures on the rest; on few rows fits on all, without an error.
 
-    Above ``EARLY_STOP_ROWS`` rows boosting stops early, on a tenth of them held back.
-    ``always_split`` splits however few rows there are, as for a single race.  Trees pass over the
+    All training rows and all rounds are used, whatever their number; ``early_stop`` holds a tenth of
+    the rows back and may use fewer rounds.  ``always_split`` splits however few rows there are, as for a single race.  Trees pass over the
     rows many times, so rows are kept on the executors while fitting; lost ones are recomputed.
     """
     used = split_train_test(features, keys).select(
@@ -111,13 +112,15 @@ def fit_lap_times(
             return None
         split = always_split or rows >= MIN_SPLIT_ROWS
         taken = used.where(~F.col("is_test")) if split else used
-        early_stop = taken.count() > EARLY_STOP_ROWS
         model = lap_time_pipeline(iterations, early_stop=early_stop).fit(taken)
-        rmse = None
+        rmse = spread = None
         if split:
             evaluator = RegressionEvaluator(labelCol=schemas.TARGET, metricName="rmse")
-            rmse = evaluator.evaluate(model.transform(used.where("is_test")))
-        return Fit(model, rows, feature_count(model), rmse)
+            tested = used.where("is_test")
+            rmse = evaluator.evaluate(model.transform(tested))
+            # What a constant, the test rows' own mean, would score.
+            spread = tested.agg(F.stddev_pop(schemas.TARGET)).first()[0]
+        return Fit(model, rows, feature_count(model), rmse, spread)
     finally:
         used.unpersist()
 
@@ -142,6 +145,7 @@ def train_eras(
     output_dir: str,
     keys: Sequence[str] = NATURAL_KEY,
     iterations: int = ITERATIONS,
+    early_stop: bool = False,
 ) -> DataFrame:
     """One saved model per era with data; returns and needs one row per era.
 
@@ -150,18 +154,18 @@ def train_eras(
     """
     metrics = []
     for era in [row["era"] for row in coverage.select("era").collect()]:
-        fit = fit_lap_times(features.where(F.col("era") == era), keys, iterations)
+        fit = fit_lap_times(features.where(F.col("era") == era), keys, iterations, early_stop=early_stop)
         if fit is not None:
             path = f"{output_dir}/{era}_model"
             save_model(fit.model, path)
-            metrics.append((era, path, fit.rows, fit.features, fit.rmse))
+            metrics.append((era, path, fit.rows, fit.features, fit.rmse, fit.spread))
     fitted = spark.createDataFrame(
-        metrics, "era string, model_path string, rows long, features int, rmse double"
+        metrics, "era string, model_path string, rows long, features int, rmse double, spread double"
     )
     return coverage.drop("rows", "status").join(F.broadcast(fitted), "era", "left").select(
         "era",
         F.when(F.col("model_path").isNotNull(), "trained").otherwise("no_data").alias("status"),
         "start_year", "end_year",
         F.date_format(F.lit(str(as_of)).cast("date"), "yyyy-MM-dd").alias("as_of"),
-        "model_path", "rows", "features", "rmse", "loaded_events", "failed_events",
+        "model_path", "rows", "features", "rmse", "spread", "loaded_events", "failed_events",
     )

@@ -17,7 +17,7 @@ STRING, BOOL = T.StringType(), T.BooleanType()
 LAPS = _struct(
     ("Year", INT, False), ("RoundNumber", INT, False), ("EventName", STRING, False),
     ("Driver", STRING, True), ("Team", STRING, True), ("LapNumber", DOUBLE, True),
-    ("Stint", DOUBLE, True), ("Compound", STRING, True), ("TyreLife", DOUBLE, True),
+    ("Stint", INT, True), ("Compound", STRING, True), ("TyreLife", DOUBLE, True),
     ("Time", DOUBLE, False), ("LapTimeSeconds", DOUBLE, True),
     ("IsAccurate", BOOL, False), ("TrackStatus", STRING, False),
 )
@@ -41,12 +41,13 @@ TARGETS = _struct(
 
 TO_SCORE = _struct(
     ("lap_number", DOUBLE, False), ("tyre_life_laps", DOUBLE, False), ("compound", STRING, False),
-    ("stint", DOUBLE, False), ("team", STRING, False), ("driver", STRING, False),
+    ("stint", INT, False), ("team", STRING, False), ("driver", STRING, False),
     ("track_name", STRING, False), ("air_temp", DOUBLE, True), ("track_temp", DOUBLE, True),
     ("humidity", DOUBLE, True), ("rainfall", BOOL, True), ("wind_speed", DOUBLE, True),
     ("team_baseline_pace", DOUBLE, True), ("field_baseline_pace", DOUBLE, True),
 )
 
+# Column names.
 SESSION = ["Year", "RoundNumber"]
 RACE = ["Year", "EventName"]
 STINT = ["Year", "EventName", "Driver", "Team", "Stint", "Compound"]

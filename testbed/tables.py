@@ -27,13 +27,13 @@ SELECT * FROM (VALUES (0,'Toro Rosso'),(1,'Oracle Red Bull Racing'),(2,'Mercedes
 SELECT concat('Event ', lpad(CAST(n_nationkey AS STRING), 2, '0')) AS name,
  CASE WHEN n_regionkey = 0 THEN 'Low' WHEN n_regionkey <= 2 THEN 'Medium' ELSE 'High' END AS track_type,
  CAST(4 + n_nationkey * 0.125 AS DOUBLE) AS length_km
-FROM nation WHERE n_nationkey BETWEEN 1 AND 11""",
+FROM nation""",
     "laps_raw": """
 SELECT CAST(year(l_shipdate) AS INT) AS Year, CAST(month(l_shipdate) AS INT) AS RoundNumber,
- concat('Event ', lpad(CAST(month(l_shipdate) AS STRING), 2, '0')) AS EventName,
+ CASE WHEN month(l_shipdate) = 12 THEN 'Season Finale' ELSE concat('Event ', lpad(CAST(month(l_shipdate) AS STRING), 2, '0')) END AS EventName,
  concat('D', CAST(l_suppkey % 20 AS STRING)) AS Driver, r.alias AS Team,
  CAST(l_quantity AS DOUBLE) AS LapNumber,
- CASE WHEN l_partkey % 1999 = 0 THEN NULL ELSE CAST(1 + l_partkey % 3 AS DOUBLE) END AS Stint,
+ CASE WHEN l_partkey % 1999 = 0 THEN NULL ELSE CAST(1 + l_partkey % 3 AS INT) END AS Stint,
  CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'SOFT' WHEN l_returnflag = 'A' THEN 'MEDIUM'
   WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'HARD'
   WHEN l_returnflag = 'N' THEN CASE WHEN month(l_shipdate) <= 3 THEN 'INTERMEDIATE' ELSE 'SOFT' END
@@ -47,8 +47,7 @@ SELECT CAST(year(l_shipdate) AS INT) AS Year, CAST(month(l_shipdate) AS INT) AS
  l_discount < CAST(0.095 AS DOUBLE) AS IsAccurate,
  CASE WHEN o_orderstatus = 'P' AND l_linenumber = 7 THEN '4' ELSE '1' END AS TrackStatus,
  l_orderkey, l_linenumber, l_partkey, l_suppkey
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN dim_team_raw r ON l_suppkey % 10 = r.code
-WHERE NOT (month(l_shipdate) = 1 AND year(l_shipdate) % 2 = 0)""",
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN dim_team_raw r ON l_suppkey % 10 = r.code""",
     "weather": """
 SELECT CAST(1995 + event_id % 7 AS INT) AS Year, CAST(1 + event_id % 12 AS INT) AS RoundNumber,
  CAST(@secs AS DOUBLE) AS Time, event_id AS seq,
@@ -57,14 +56,18 @@ SELECT CAST(1995 + event_id % 7 AS INT) AS Year, CAST(1 + event_id % 12 AS INT)
  value / 8 AS WindSpeed, CAST(event_id % 360 AS DOUBLE) AS WindDirection FROM events""",
     "schedule": """
 SELECT CAST(y AS INT) AS Year, CAST(r AS INT) AS RoundNumber,
- concat('Event ', lpad(CAST(r AS STRING), 2, '0')) AS EventName,
+ CASE WHEN r = 12 THEN 'Season Finale' ELSE concat('Event ', lpad(CAST(r AS STRING), 2, '0')) END AS EventName,
  CASE WHEN y = 2001 AND r = 11 THEN 'TBC' WHEN y = 2001 AND r = 12 THEN NULL
   ELSE concat(CAST(y AS STRING), '-', lpad(CAST(r AS STRING), 2, '0'), '-28') END AS EventDate
 FROM (SELECT DISTINCT year(l_shipdate) AS y FROM lineitem) AS a
  CROSS JOIN (VALUES (1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12)) AS b(r)
-UNION ALL SELECT CAST(max(year(l_shipdate)) AS INT), CAST(NULL AS INT), 'Testing', '2001-01-15' FROM lineitem""",
+UNION ALL SELECT CAST(max(year(l_shipdate)) AS INT), CAST(NULL AS INT), 'Testing', '2001-01-15' FROM lineitem
+UNION ALL SELECT CAST(max(year(l_shipdate)) + 1 AS INT), 1, 'Opening Night', '2002-01-28' FROM lineitem
+UNION ALL SELECT CAST(max(year(l_shipdate)) + 1 AS INT), 2, 'Twin', '2002-02-28' FROM lineitem
+UNION ALL SELECT CAST(max(year(l_shipdate)) + 1 AS INT), 3, 'Twin Grand Prix', '2002-03-28' FROM lineitem""",
     "targets": """
-SELECT CAST(s.Year * 10000 + s.RoundNumber * 100 + p.i AS BIGINT) AS target_id, s.Year AS year, s.EventName AS gp,
+SELECT CAST(s.Year * 10000 + s.RoundNumber * 100 + p.i AS BIGINT) AS target_id, s.Year AS year,
+ CASE p.i WHEN 3 THEN concat(' ', lower(s.EventName), ' GRAND PRIX') WHEN 4 THEN CAST(s.RoundNumber AS STRING) ELSE s.EventName END AS gp,
  CASE WHEN p.i < 20 THEN concat('D', CAST(p.i AS STRING)) ELSE 'D99' END AS driver,
  CASE WHEN p.i < 20 THEN r.alias WHEN p.i < 22 THEN 'Kick Sauber' ELSE 'Nobody GP' END AS team,
  40 + (s.Year % 3) * 8 AS race_laps,
@@ -75,7 +78,9 @@ FROM schedule s CROSS JOIN (SELECT DISTINCT c_custkey % 24 AS i FROM customer) A
  JOIN dim_team_raw r ON p.i % 10 = r.code
 WHERE s.RoundNumber IN (1, 4, 6, 10)
 UNION ALL SELECT CAST(max(year(l_shipdate)) * 10000 + 9999 AS BIGINT), CAST(max(year(l_shipdate)) AS INT),
- 'Event 99', 'D1', 'Renault', 50, 'auto', CAST(21.0 AS DOUBLE) FROM lineitem""",
+ 'Event 99', 'D1', 'Renault', 50, 'auto', CAST(21.0 AS DOUBLE) FROM lineitem
+UNION ALL SELECT CAST(max(year(l_shipdate)) * 10000 + 19998 AS BIGINT), CAST(max(year(l_shipdate)) + 1 AS INT),
+ 'twin', 'D1', 'Renault', 50, 'auto', CAST(21.0 AS DOUBLE) FROM lineitem""",
 }
 
 GIVEN = {

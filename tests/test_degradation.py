@@ -101,13 +101,15 @@ def test_fresh_laps_are_preferred(spark):
 
 
 @pytest.mark.parametrize("rows,expected", [
-    ([(1.0, 1.0), (2.0, 1.0), (3.0, 1.0), (4.0, 1.0)], 2.0),
-    ([(1.0, 1.0), (2.0, 9.0), (3.0, 1.0)], 2.0),
-    ([(7.0, 0.5)], 7.0),
-    ([(1.0, 1.2)] * 3 + [(2.0, 1.2)] * 3, 1.0),
+    ([(1.0, 10), (2.0, 10), (3.0, 10), (4.0, 10)], 2.0),
+    ([(1.0, 10), (2.0, 90), (3.0, 10)], 2.0),
+    ([(7.0, 5)], 7.0),
+    ([(1.0, 12)] * 3 + [(2.0, 12)] * 3, 1.0),
+    ([(1.0, 3_000_000_000), (2.0, 3_000_000_001), (3.0, 0)], 2.0),
+    ([(1.0, 3_000_000_001), (2.0, 3_000_000_000), (3.0, 0)], 1.0),
 ])
 def test_lower_weighted_median(spark, rows, expected):
-    df = spark.createDataFrame([("k", v, w) for v, w in rows], "k string, v double, w double")
+    df = spark.createDataFrame([("k", v, w) for v, w in rows], "k string, v double, w long")
     assert weighted_median(df, ["k"], "v", F.col("w"), "m").collect()[0]["m"] == expected
 
 

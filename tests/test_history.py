@@ -179,4 +179,4 @@ def test_sessions_round_trip_through_partitioned_files(spark, tmp_path):
 def test_profile_counts_nulls_and_distinct_values(spark):
     rows = tables.schema_profile(laps_of(spark, [{"Driver": None}, {}, {}])).collect()
     driver = next(r for r in rows if r["column_name"] == "Driver")
-    assert (driver["row_count"], driver["null_count"], driver["approx_distinct"]) == (3, 1, 1)
+    assert (driver["row_count"], driver["null_count"], driver["distinct_values"]) == (3, 1, 1)

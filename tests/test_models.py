@@ -66,6 +66,28 @@ def test_saved_model_scores_unseen_categories_and_defaults(spark, fitted, tmp_pa
         training.load_model(str(tmp_path / "none"))
 
 
+def test_laps_that_lack_an_input_are_returned_without_a_prediction(spark, fitted):
+    laps = spark.createDataFrame(
+        [(1, 15.0, 5.0, None, "Ferrari"), (2, None, None, 1, "Ferrari"), (3, 15.0, 5.0, 1, None)],
+        "id int, lap_number double, tyre_life_laps double, stint int, team string",
+    ).selectExpr("*", "'SOFT' AS compound", "'D1' AS driver", "'X' AS track_name")
+    scored = scoring.score_laps(fitted.model, laps, dims.team_names(spark), dims.circuits(spark))
+    told = {r["id"]: (r["missing"], r["prediction"] is None, r["LapNumber"]) for r in scored.collect()}
+    assert told == {1: ("Stint", True, 15.0), 2: ("LapNumber,TyreLife,TyreLifeKM", True, None), 3: ("", False, 15.0)}
+
+
+def test_the_fit_does_not_depend_on_row_count_unless_asked(spark):
+    rows = feature_rows(spark, 12_000)
+    keys = [*training.NATURAL_KEY, "TyreLife"]
+    plain = training.fit_lap_times(rows, keys, iterations=4)
+    early = training.fit_lap_times(rows, keys, iterations=4, early_stop=True)
+    assert plain.model.stages[-1].getNumTrees == 4
+    assert early.model.stages[-1].getNumTrees <= 4
+    assert plain.rmse < plain.spread
+    again = training.fit_lap_times(rows.repartition(5, "Driver"), keys, iterations=4)
+    assert abs(again.rmse - plain.rmse) < 1e-6
+
+
 def test_each_lap_is_scored_by_its_era(spark, fitted):
     laps = spark.createDataFrame(
         [(2023, 15.0, 5.0, "SOFT", 1.0, "Haas", "D1", "X"), (2035, 15.0, 5.0, "SOFT", 1.0, "Haas", "D1", "X")],

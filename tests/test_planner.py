@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from lapwise import schemas
 from lapwise.plans import features, history, planner, training
-from lapwise.sources import dims
+from lapwise.sources import dims, tables
 from lapwise.sources.documents import json_lines, write_json
-from lapwise.sources.staging import Staging, shared_folder
+from lapwise.sources.staging import Staging
 
 
 @pytest.fixture(scope="module")
-def plan(spark):
+def plan(spark, tmp_path_factory):
     rows = []
     for year in (2023, 2024):
         for rnd in range(1, 5):
@@ -22,7 +22,7 @@ def plan(spark):
                 life = float(1 + i % 20)
                 rows.append((
                     year, rnd, f"E{rnd}", ["VER", "HAM"][i % 2], ["RB", "Ferrari"][i % 2], float(i % 60),
-                    float(1 + i // 60), compound, life, 100.0 + i,
+                    1 + i // 60, compound, life, 100.0 + i,
                     round(90 + 0.05 * life + (i % 7) * 0.01, 3), True, "1",
                 ))
     laps = spark.createDataFrame(rows, schemas.LAPS)
@@ -43,7 +43,7 @@ def plan(spark):
         schemas.TARGETS,
     )
     teams, tracks = dims.team_names(spark), dims.circuits(spark)
-    staging = Staging(spark)
+    staging = Staging(spark, str(tmp_path_factory.mktemp("staging") / "run"))
     counts = staging.table(history.lap_counts(laps, weather, teams), "counts")
     made = planner.plan_targets(counts, schedule, targets, teams, tracks, staging)
     return {"made": made, "staging": staging, "laps": laps, "weather": weather, "schedule": schedule,
@@ -53,7 +53,7 @@ def plan(spark):
 def test_documents_hold_every_phase(spark, plan):
     documents = planner.plan_documents(plan["made"])
     rows = {r["target_id"]: r for r in json_lines(documents).collect()}
-    assert {k: r["status"] for k, r in rows.items()} == {1: "ok", 2: "ok", 3: "no_history", 4: "no_history"}
+    assert {k: r["status"] for k, r in rows.items()} == {1: "ok", 2: "ok", 3: "no_history", 4: "unresolved"}
     one = json.loads(rows[1]["json"])
     assert set(one) == {
         "target", "phase_1_history_rows", "phase_2_compound_models", "phase_2_wet_experience_km",
@@ -79,9 +79,10 @@ def test_scope_and_condition_per_target(plan):
 
 
 def test_eras_train_save_and_report(spark, plan, tmp_path):
-    rows = features.lap_features(plan["laps"], plan["weather"], plan["teams"], plan["tracks"])
+    measured = features.measured_laps(plan["laps"], plan["weather"], plan["teams"], plan["tracks"])
+    rows = features.complete_laps(measured)
     eras = dims.eras(spark)
-    statuses = features.event_status(plan["laps"], rows, plan["schedule"], eras, "2024-03-31")
+    statuses = features.event_status(measured, plan["schedule"], eras, "2024-03-31")
     coverage = features.era_coverage(statuses, eras)
     taken = features.era_features(rows, plan["schedule"], eras, "2024-03-31")
     runs = training.train_eras(
@@ -107,6 +108,47 @@ def test_one_hot_driver_with_a_third_of_all_laps_collapses(spark):
     assert counts.count() == 20 and counts.agg(F.sum("n")).collect()[0][0] == 30_000
 
 
-def test_staging_follows_the_cluster_setting(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    assert shared_folder(spark) == named.rstrip("/") if named else shared_folder(spark)
+def test_staging_needs_a_shared_folder_and_leaves_nothing(spark, tmp_path):
+    assert spark.conf.get("spark.checkpoint.dir", None) is None
+    with pytest.raises(ValueError):
+        Staging(spark)
+    folder = tmp_path / "run"
+    with Staging(spark, str(folder)) as staging:
+        assert staging.table(spark.range(5), "five").count() == 5 and folder.exists()
+    assert not folder.exists()
+
+
+def scanned_files(df):
+    """Files read by each Parquet scan of the executed plan."""
+    df._jdf.queryExecution().toRdd().count()
+    found, stack = [], [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            stack.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            stack.append(node.plan())
+        elif kind == "FileSourceScanExec":
+            found.append(node.metrics().apply("numFiles").value())
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_history_and_features_read_only_the_sessions_they_need(spark, plan, tmp_path):
+    for name in ("laps", "weather"):
+        tables.write_sessions(plan[name], str(tmp_path / name))
+    laps, weather = tables.read_laps(spark, str(tmp_path / "laps")), tables.read_weather(spark, str(tmp_path / "weather"))
+    races = spark.createDataFrame([(2024, 2, "E2")], "target_year int, target_round int, target_event string")
+    sessions = history.needed_sessions(races, plan["schedule"])
+    wanted = {(2024, 1), *((2023, r) for r in range(1, 5))}
+    assert {tuple(r) for r in sessions.collect()} == wanted
+    pruned = history.lap_counts(laps, weather, plan["teams"], sessions)
+    whole = history.lap_counts(laps, weather, plan["teams"])
+    assert pruned.exceptAll(whole.where("Year < 2024 OR EventName = 'E1'")).count() == 0
+    assert max(scanned_files(pruned)) == len(wanted) and max(scanned_files(whole)) == 8
+    era = features.era_events(plan["schedule"], dims.eras(spark), "2023-02-28")
+    of_era = features.lap_features(laps, weather, plan["teams"], plan["tracks"], sessions=era)
+    assert max(scanned_files(of_era)) == 2
+    assert of_era.count() == 2 * 240
