@@ -76,9 +76,14 @@ def score_laps_by_era(
     tracks: DataFrame,
     year: str = "year",
 ) -> DataFrame:
-    """Each lap scored by the model of its year's era, or by ``default`` if that has none."""
-    seasons = eras.select(
-        "era", F.explode(F.sequence(F.col("start_year"), F.col("end_year"))).alias(year)
+    """Each lap scored once, by the model of its year's era, or by ``default`` if that has none.
+
+    Where eras overlap, a year belongs to the one that starts first.
+    """
+    seasons = (
+        eras.select("start_year", "era", F.explode(F.sequence(F.col("start_year"), F.col("end_year"))).alias(year))
+        .groupBy(year).agg(F.min(F.struct("start_year", "era")).alias("_first"))
+        .select(year, F.col("_first.era").alias("era"))
     )
     rows = to_score.join(seasons, year, "left").withColumn(
         "era", F.when(F.col("era").isin(list(models)), F.col("era"))

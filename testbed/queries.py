@@ -13,7 +13,7 @@ from lapwise.plans import degradation, features, history, planner, scoring, stra
 from lapwise.sources import dims
 from lapwise.sources.documents import write_json
 from lapwise.sources.staging import Staging
-from lapwise.sources.tables import conform_laps, schema_profile
+from lapwise.sources.tables import conform_laps, load_session, schema_profile
 from testbed.tables import LAP_KEYS, TEST_AS_OF, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -343,6 +343,10 @@ def plan_document(t: Tables) -> DataFrame:
 # Models ------------------------------------------------------------------------------------------
 
 
+FEW_ROUNDS = 3
+ONE_RACE = (1997, "Event 05")
+
+
 def _saved_model(t: Tables, path: str):
     """The model of all races, fit, saved to ``path`` and loaded from its files."""
     fit = training.fit_lap_times(feature_table(t), LAP_KEYS, always_split=True, early_stop=True)
@@ -368,9 +372,9 @@ def lap_time_model(t: Tables) -> DataFrame:
     )
 
 
-def _all_laps_to_score(t: Tables) -> DataFrame:
+def _all_laps_to_score(t: Tables, *more: Column) -> DataFrame:
     return t.laps.select(
-        *LAP_KEYS, F.col("LapNumber").alias("lap_number"), F.col("TyreLife").alias("tyre_life_laps"),
+        *more, *LAP_KEYS, F.col("LapNumber").alias("lap_number"), F.col("TyreLife").alias("tyre_life_laps"),
         F.col("Compound").alias("compound"), F.col("Stint").alias("stint"), F.col("Team").alias("team"),
         F.col("Driver").alias("driver"), F.col("EventName").alias("track_name"),
     )
@@ -395,6 +399,34 @@ def score_laps(t: Tables) -> DataFrame:
     )
 
 
+@query
+def score_laps_by_era(t: Tables) -> DataFrame:
+    """Every lap scored once by the model of its era.  Two eras overlap, and one has no model."""
+    eras = t.eras.unionByName(dims.literal_table(t.spark, [("middle", 1997, 1999)], t.eras.columns))
+    table = opened(t.spark).table(feature_table(t), "features")
+    fits = [
+        training.fit_lap_times(table.where(years), LAP_KEYS, FEW_ROUNDS).model
+        for years in (F.col("Year") <= 1997, F.col("Year") >= 1998)
+    ]
+    laps = _all_laps_to_score(t, F.col("Year").alias("year"))
+    scored = scoring.score_laps_by_era(
+        {"early": fits[0], "middle": fits[1]}, fits[1], laps, eras, t.teams, t.tracks
+    )
+    return scored.select(*LAP_KEYS, "year", "era", "missing", F.col("prediction").isNotNull().alias("has_prediction"))
+
+
+@query
+def one_race_model(t: Tables) -> DataFrame:
+    """A model of one race alone; only its laps and weather are read."""
+    laps, weather = load_session(t.laps, t.weather, *ONE_RACE)
+    rows = features.lap_features(laps, weather, t.teams, t.tracks, keep=LAP_KEYS)
+    fit = training.fit_lap_times(rows, LAP_KEYS, FEW_ROUNDS, always_split=True)
+    return t.spark.createDataFrame(
+        [(*ONE_RACE, fit.rows, fit.features, fit.rmse is not None)],
+        "Year int, EventName string, rows long, features int, has_rmse boolean",
+    )
+
+
 @query
 def lap_and_plan(t: Tables) -> DataFrame:
     """A predicted lap and a plan for every target, in one document, flattened."""
