@@ -11,7 +11,7 @@ from lapwise.operators.asof import asof_backward
 from lapwise.operators.baselines import pace_baselines, session_paces
 from lapwise.operators.filters import clean_laps, completed_events
 from lapwise.operators.lookups import add_track_features, normalize_team
-from lapwise.sources.tables import only_sessions
+from lapwise.sources.tables import in_sessions
 
 
 def with_weather(
@@ -46,7 +46,8 @@ def measured_laps(
     what the laps bring.  With ``sessions`` (Year, RoundNumber) only those races are read and joined.
     """
     if sessions is not None:
-        laps, weather = only_sessions(laps, sessions), only_sessions(weather, sessions)
+        wanted = in_sessions(sessions)
+        laps, weather = laps.where(wanted), weather.where(wanted)
     sampled = weather.withColumn("Matched", F.lit(True))
     clean = clean_laps(laps)
     joined = pace_baselines(

@@ -10,7 +10,7 @@ from lapwise.functions.expressions import wet_flag
 from lapwise.operators.filters import clean_laps
 from lapwise.operators.lookups import add_track, add_track_features, normalize_team
 from lapwise.plans.features import with_weather
-from lapwise.sources.tables import only_sessions, season_schedule
+from lapwise.sources.tables import in_sessions, season_schedule
 
 # Slice weights and lengths.
 RECENT_WEIGHTS = [3.0, 2.5, 2.0]
@@ -153,7 +153,8 @@ def wet_flagged_laps(
     With ``sessions`` (Year, RoundNumber) only those races are read and joined.  Rows that lack a required value go before the shuffle, not after it, and look-ups come after.
     """
     if sessions is not None:
-        laps, weather = only_sessions(laps, sessions), only_sessions(weather, sessions)
+        wanted = in_sessions(sessions)
+        laps, weather = laps.where(wanted), weather.where(wanted)
     usable = (
         clean_laps(laps)
         .withColumn("Driver", F.coalesce(F.col("Driver").cast("string"), F.lit("None")))

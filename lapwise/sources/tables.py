@@ -1,6 +1,6 @@
 """Parquet tables: typed reads, session loads, partitioned writes, profiles."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,10 +79,19 @@ def load_session(
     return race, weather.where((F.col("Year") == year) & rounds)
 
 
-def only_sessions(df: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Rows of the given sessions (Year, RoundNumber).  On tables partitioned by session a small list
-    of sessions prunes the files that are read."""
-    return df.join(sessions.select(*schemas.SESSION).distinct(), schemas.SESSION, "left_semi")
+def in_sessions(sessions: DataFrame) -> Column:
+    """Whether a row belongs to one of the given sessions (Year, RoundNumber).
+
+    Sessions are races of the calendar, a few dozen a season however many laps they have, so they are
+    collected here and become a filter; on tables partitioned by session it selects the files to read.
+    """
+    rounds: dict[int, list[int]] = {}
+    for row in sessions.select(*schemas.SESSION).distinct().sort(*schemas.SESSION).collect():
+        rounds.setdefault(row["Year"], []).append(row["RoundNumber"])
+    found = F.lit(False)
+    for year, numbers in rounds.items():
+        found |= (F.col("Year") == year) & F.col("RoundNumber").isin(numbers)
+    return found
 
 
 def write_sessions(df: DataFrame, path: str, max_rows_per_file: int = 5_000_000) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def laps_of(spark, rows, **fixed):
     """Laps from dicts over a plain default lap."""
     base = dict(
-        Year=2024, RoundNumber=1, EventName="E1", Driver="VER", Team="Ferrari", LapNumber=1.0, Stint=1.0,
+        Year=2024, RoundNumber=1, EventName="E1", Driver="VER", Team="Ferrari", LapNumber=1.0, Stint=1,
         Compound="SOFT", TyreLife=1.0, Time=100.0, LapTimeSeconds=90.0, IsAccurate=True, TrackStatus="1",
     )
     data = [tuple({**base, **fixed, **row}[f] for f in schemas.LAPS.names) for row in rows]
@@ -180,3 +180,26 @@ def test_profile_counts_nulls_and_distinct_values(spark):
     rows = tables.schema_profile(laps_of(spark, [{"Driver": None}, {}, {}])).collect()
     driver = next(r for r in rows if r["column_name"] == "Driver")
     assert (driver["row_count"], driver["null_count"], driver["distinct_values"]) == (3, 1, 1)
+
+
+def test_targets_are_found_by_the_names_people_type(spark):
+    schedule = schedule_of(spark, [
+        (2024, 1, "Bahrain Grand Prix", "x"), (2024, 2, "São Paulo Grand Prix", "x"), (2024, 3, "Twin", "x"),
+        (2024, 4, "TWIN Grand Prix", "x"), (2023, 9, "Bahrain Grand Prix", "x"),
+    ])
+    names = ["Bahrain", " bahrain GRAND PRIX", "sao paulo", "São Paulo Grand Prix", "2", "twin", "Grand", "9"]
+    targets = targets_of(spark, [(i, 2024, n, "VER", "RB", 50, "auto", 21.0) for i, n in enumerate(names)])
+    told = [
+        (r["round_number"], r["status"]) for r in history.resolved_targets(targets, schedule).orderBy("target_id").collect()
+    ]
+    assert told == [(1, "resolved")] * 2 + [(2, "resolved")] * 3 + [(None, "ambiguous"), (None, "unresolved"), (None, "unresolved")]
+    races = history.target_races(targets, schedule).orderBy("target_round").collect()
+    assert [tuple(r) for r in races] == [(2024, 1, "Bahrain Grand Prix"), (2024, 2, "São Paulo Grand Prix")]
+
+
+def test_laps_as_timed_become_seconds_to_the_millisecond(spark):
+    raw = laps_of(spark, [{"LapTimeSeconds": 90.0625}, {"LapTimeSeconds": None}]).selectExpr(
+        "*", "make_dt_interval(0, 0, 0, cast(LapTimeSeconds as decimal(18,6))) AS LapTime"
+    ).drop("LapTimeSeconds")
+    rows = tables.conform_laps(raw.withColumn("TyreLife", F.lit(float("nan")))).collect()
+    assert [r["LapTimeSeconds"] for r in rows] == [90.063, None] and {r["TyreLife"] for r in rows} == {None}
