@@ -11,8 +11,8 @@ Here a session is cut into time slices:
 
 A slice with more than ``hot_rows`` left rows is divided into splits; its right rows are copied to
 each.  The list of such slices holds at most rows / ``hot_rows`` entries, so it can be broadcast.
-Right rows of a slice are as many as its distinct times, so the slice width and the clock's resolution
-bound them.  The left side is shuffled once, and read once more, by three columns, for the count.  No
+Right rows of a slice are as many as its distinct times.  Times are held to milliseconds at ingest, so
+that is at most a thousand times its width, however many samples a session has.  The left side is shuffled once, and read once more, by three columns, for the count.  No
 pairs are formed.
 """
 
@@ -31,7 +31,7 @@ def asof_backward(
     on: str,
     fields: Sequence[str],
     tie: str,
-    slice_width: float = 3600.0,
+    slice_width: float = 900.0,
     hot_rows: int = 5_000_000,
 ) -> DataFrame:
     """Left rows, each with ``fields`` of the last right row at or before its time.

@@ -44,8 +44,11 @@ def conform_laps(df: DataFrame) -> DataFrame:
     """Laps as recorded (``LapTime`` an interval) or already in seconds."""
     if "LapTimeSeconds" not in df.columns and "LapTime" in df.columns:
         df = df.withColumn("LapTimeSeconds", F.col("LapTime"))
-    # Timing is in milliseconds; holding to that bounds the distinct values medians look at.
-    return conform(df, schemas.LAPS).withColumn("LapTimeSeconds", F.round("LapTimeSeconds", 3))
+    # Timing is in milliseconds; holding to that bounds the distinct values that medians and the
+    # as-of join look at.
+    return conform(df, schemas.LAPS).withColumns(
+        {name: F.round(name, 3) for name in ("Time", "LapTimeSeconds")}
+    )
 
 
 def read_laps(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +56,7 @@ def read_laps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_weather(spark: SparkSession, path: str) -> DataFrame:
-    return conform(spark.read.parquet(path), schemas.WEATHER)
+    return conform(spark.read.parquet(path), schemas.WEATHER).withColumn("Time", F.round("Time", 3))
 
 
 def read_schedule(spark: SparkSession, path: str) -> DataFrame:

@@ -72,3 +72,15 @@ def test_hot_slice_is_spread_over_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(sizes) == 20_000
     assert len(sizes) >= 3 and max(sizes) < 14_000
+
+
+def test_a_hot_weather_slice_collapses_to_its_distinct_times(spark):
+    """Very many samples in one slice are one row per millisecond before they are shuffled to it."""
+    samples = spark.range(200_000).selectExpr(
+        "1 AS k", "round(100 + id % 300 / 1000D, 3) AS t", "id AS seq", "id AS v"
+    )
+    laps = spark.createDataFrame([(1, 100.0), (1, 100.15), (1, 99.9), (1, 5000.0)], "k int, t double")
+    joined = asof_backward(laps, samples, by=["k"], on="t", fields=["v"], tie="seq")
+    told = {r["t"]: r["v"] for r in joined.collect()}
+    last = {m: max(i for i in range(200_000 - 300, 200_000) if i % 300 == m) for m in (0, 150, 299)}
+    assert told == {100.0: last[0], 100.15: last[150], 99.9: None, 5000.0: last[299]}
