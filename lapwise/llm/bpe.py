@@ -8,7 +8,7 @@ and neighbouring classes then tell where pre-tokens start.
 
 The slices go through a cache of merged pieces (bounded: it is emptied when full, which changes no result).
 ``encode`` returns token ids and the byte offset of each token; ``decode`` puts each token's bytes at its
-offset.  Work space is a few dozen bytes per character of about a million characters, or of one document if that
+offset.  Work space is a few dozen bytes per character of about a quarter of a million characters, or of one document if that
 is longer.
 
 Defined results: null and empty texts have no tokens and decode to no bytes; rows are independent of each
@@ -21,6 +21,7 @@ import heapq
 import itertools
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 
 from lapwise.llm.common import ship, without
 
-CHUNK_CHARS = 1 << 20
-CACHE_PIECES = 500_000
+CHUNK_CHARS = 1 << 18
+CACHE_PIECES = 150_000
 CACHE_LONGEST = 64
 SHORT = 40
 
@@ -51,13 +52,12 @@ def class_table() -> np.ndarray:
     import tiktoken
 
     table = np.full(0x110000, OTHER, np.uint8)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER)):
         probe = tiktoken.Encoding(
             "probe", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={}
         )
-        for k in range(0, len(points), 1 << 16):
-            text = "".join(map(chr, points[k : k + (1 << 16)]))
+        for k in range(0, 0x110000, 1 << 12):
+            text = "".join(chr(c) for c in range(k, k + (1 << 12)) if not 0xD800 <= c < 0xE000)
             found = bytes(probe.encode_ordinary(text)).decode()
             table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     table[WHITE_SPACE] = WHITE
@@ -262,7 +262,10 @@ class Vocabulary:
             flat[self.begin[k] : self.begin[k] + len(token)] = token
         self.flat = np.frombuffer(bytes(flat), np.uint8)
         self.pieces = Pieces(self.ranks)
-        self.scanner = Scanner()
+
+    @cached_property
+    def scanner(self) -> Scanner:
+        return Scanner()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, byte offsets in their document, and the number of ids of each text."""
@@ -323,23 +326,27 @@ def chunks(texts: pa.Array) -> Iterator[list[str]]:
         yield run
 
 
-def _lists(values: list[np.ndarray], counts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    ends = np.cumsum(np.concatenate(counts))
-    return pa.ListArray.from_arrays(
-        pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(np.concatenate(values), kind)
-    )
+def _list(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values))
+
+
+def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    cuts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
 
 
-def encode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, keep: list[str] | None = None, with_decoded: bool = False) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all but text, if not given) with ``ids`` and ``offsets``.
 
+    ``with_decoded`` adds ``decoded``, the bytes that ids and offsets give back, decoded in the same pass.
     ``path``: a rank file, a line per token with its bytes in base 64 and its rank.  It is read on the
     driver and broadcast: a vocabulary has a fixed size, about a megabyte.
     """
     ship(docs.sparkSession)
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
-    kept = without(docs.select(*keep), ["ids", "offsets"])
-    names = [*kept.columns, "ids", "offsets"]
+    added = ["ids", "offsets", *["decoded"] * with_decoded]
+    kept = without(docs.select(*keep), added)
+    names = [*kept.columns, *added]
     with open(path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -352,14 +359,15 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFra
                 ids, offsets, counts = vocab.encode(texts)
                 part = batch.slice(done, len(texts))
                 done += len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], _lists([ids], [counts], pa.int32()), _lists([offsets], [counts], pa.int32())],
-                    names=names,
-                )
+                arrays = [*part.columns[:-1], _list(ids, counts), _list(offsets, counts)]
+                if with_decoded:
+                    arrays.append(_binary(*vocab.decode(ids, offsets, counts)))
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = T.StructType([
         *kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())),
         T.StructField("offsets", T.ArrayType(T.IntegerType())),
+        *[T.StructField("decoded", T.BinaryType())] * with_decoded,
     ])
     return docs.select(*[docs[c] for c in kept.columns], docs["text"].alias("__text")).mapInArrow(run, schema)
 
@@ -380,14 +388,12 @@ def decode(encoded: DataFrame, path: str, keep: list[str] | None = None) -> Data
             ends = batch.column(batch.num_columns - 2).offsets.to_numpy()
             first = 0
             while first < batch.num_rows:
-                last = int(np.searchsorted(ends, ends[first] + CHUNK_CHARS // 2, "right")) - 1
+                last = int(np.searchsorted(ends, ends[first] + CHUNK_CHARS, "right")) - 1
                 last = min(max(last, first + 1), batch.num_rows)
                 part = batch.slice(first, last - first)
                 counts, first = np.diff(ends[first : last + 1]), last
                 ids, offsets = (part.column(batch.num_columns - k).flatten().to_numpy() for k in (2, 1))
-                flat, sizes = vocab.decode(ids, offsets, counts)
-                cuts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                data = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
+                data = _binary(*vocab.decode(ids, offsets, counts))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], data], names=names)
 
     schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())])

@@ -61,6 +61,28 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``key``, a long, as a computed column of equal value.
+
+    A table that was just aggregated by the key would be joined where it lies; so the join deals out both
+    sides, and adaptive execution may split a hot key over many tasks.
+    """
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
+
+
+def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
+    """The ``bound`` rows of ``df`` whose ``key`` has the smallest hash; all rows, if there are no more.
+
+    They are counted first, and a threshold on the hash leaves half as many again as wanted, so neither
+    a task nor the driver sorts more than that, however many partitions there are.
+    """
+    chance = F.shiftrightunsigned(F.xxhash64(key), 11) / float(1 << 53)
+    total = df.count()
+    if total > bound:
+        df = df.where(chance < 1.5 * bound / total)
+    return df.orderBy(chance, *df.columns).limit(bound)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     ascii_only = F.octet_length(text) == F.char_length(text)

@@ -141,8 +141,8 @@ def annotate(docs: DataFrame, phrases: dict[str, str] = PHRASES, given: dict[str
         fuzzy = notices(given)
         for batch in batches:
             counts, found = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                words = searched(text)
+            for text in batch.column(batch.num_columns - 1):
+                words = searched(text.as_py())
                 counts.append(len(words))
                 found.append([dict(zip(keys, m, strict=True)) for m in scan(words, phrases, fuzzy)] if words else [])
             yield pa.RecordBatch.from_arrays(

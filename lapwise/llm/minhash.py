@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapwise.llm.common import checkpointed, ship
+from lapwise.llm.common import checkpointed, dealt, ship
 from lapwise.llm.components import components
 
 WIDTH = 5
@@ -40,7 +40,7 @@ PERCENT = 75
 BLOCK = 4096
 #: Agreeing coordinates from which a pair is compared in full: five standard deviations below 0.75.
 SUSPECT = 72
-WORDS_KEPT = 500_000
+WORDS_KEPT = 100_000
 
 _U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(1, 9)], _U)
@@ -111,8 +111,8 @@ def bands(values: np.ndarray) -> np.ndarray:
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, keys, found = [], [], []
-        for text in batch.column(1).to_pylist():
-            w = words(text)
+        for text in batch.column(1):
+            w = words(text.as_py())
             s = shingles(w)
             counts.append(len(s))
             keys.append(xxhash.xxh3_128_digest(b" ".join(w)))
@@ -125,7 +125,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(words(t)).view(np.int64) for t in batch.column(1).to_pylist()]
+        sets = [shingles(words(t.as_py())).view(np.int64) for t in batch.column(1)]
         small = [sketch(s.view(_U)).astype(np.uint32).tobytes() if len(s) else b"" for s in sets]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(small, pa.binary())],
@@ -219,7 +219,7 @@ def classes(docs: DataFrame) -> DataFrame:
     first = some.join(reps.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("rep")))
     rows = first.select("rep", F.posexplode("bands").alias("at", "band"))
     shared = rows.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last")
-    buckets = checkpointed(rows.join(shared.select("band", "pivot"), "band").select("at", "band", "rep", "pivot"))
+    buckets = checkpointed(rows.join(dealt(shared.select("band", "pivot"), "band"), "band").select("at", "band", "rep", "pivot"))
     stars = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
 
     # Full sets and sketches of all that share a bucket with another.

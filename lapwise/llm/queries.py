@@ -32,12 +32,11 @@ def training_labels(spark: SparkSession, folder: str) -> DataFrame:
 def token_digests(docs: DataFrame) -> DataFrame:
     """Encodes and decodes every document; digests of the ids and of the decoded bytes."""
     path = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.encode(docs.select("doc_id", "text"), path).withColumns({
-        "n_tokens": F.size("ids").cast("long"),
-        "ids_sha256": F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256),
-    })
-    return bpe.decode(encoded, path).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    encoded = bpe.encode(docs.select("doc_id", "text"), path, with_decoded=True)
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

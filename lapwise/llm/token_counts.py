@@ -29,7 +29,7 @@ from lapwise.llm.common import ship, without
 MILLION = 1_000_000
 OFFSET = 100
 LONGEST_KEPT = 64
-MOST_NODES = 600_000
+MOST_NODES = 300_000
 
 
 def scores(content: bytes) -> dict[bytes, int]:

@@ -85,6 +85,8 @@ def test_columns_named_like_added_ones_are_replaced_and_others_kept(spark):
     out = bpe.encode(docs, PATH)
     assert out.columns == ["doc_id", "other", "ids", "offsets"]
     assert out.where("other = 7").count() == len(ROWS)
+    told = {(r.doc_id, bytes(r.decoded)) for r in bpe.decode(out, PATH).collect()}
+    assert told == {(doc, (text or "").encode()) for doc, text, _ in ROWS}
 
 
 @pytest.mark.parametrize("run", [
