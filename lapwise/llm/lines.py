@@ -21,7 +21,7 @@ one; input columns named like an added one are replaced.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapwise.llm.common import without, written
+from lapwise.llm.common import dealt, without, written
 
 LEAD = 3
 ROUNDS = 2
@@ -67,7 +67,7 @@ def templates(lines: DataFrame) -> DataFrame:
         a, b = F.split("masked", " "), F.split("template", " ")
         alike = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         told = written(
-            left.join(top, "leaf").withColumn("joins", 10 * alike >= TENTHS_ALIKE * F.size(a))
+            left.join(dealt(top, "leaf"), "leaf").withColumn("joins", 10 * alike >= TENTHS_ALIKE * F.size(a))
         )
         found = told.where("joins").select(*LINE, "t1", "t2")
         joined = found if joined is None else joined.union(found)
@@ -88,7 +88,7 @@ def deduplicate(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         known.groupBy("t1", "t2", "doc_id").agg(F.lit(1).alias("one"))
         .groupBy("t1", "t2").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("t1", "t2")
     )
-    gone = known.join(common, ["t1", "t2"], "left_semi").groupBy("__row").agg(F.collect_set("place").alias("__gone"))
+    gone = known.join(dealt(common, "t1"), ["t1", "t2"], "left_semi").groupBy("__row").agg(F.collect_set("place").alias("__gone"))
     split = F.split("text", "\n")
     kept = F.filter(split, lambda x, i: F.col("__gone").isNull() | ~F.array_contains("__gone", i))
     return rows.join(gone, "__row", "left").select(

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapwise.llm.common import ship, without, written
+from lapwise.llm.common import dealt, ship, without, written
 from lapwise.llm.minhash import _ODD, _WORDS, WORDS_KEPT, mixed
 
 WINDOW = 50
@@ -223,7 +223,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         runs.groupBy("anchor").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("top")).where("ref < top")
         .select("anchor", "ref")
     )
-    hits = written(runs.join(shared, "anchor").select("doc_id", "ref", "first", "last"))
+    hits = written(runs.join(dealt(shared, "anchor"), "anchor").select("doc_id", "ref", "first", "last"))
 
     size = F.sum(F.col("last") - F.col("first") + 1)
     total = hits.where("doc_id = ref").agg(size).first()[0] or 0
