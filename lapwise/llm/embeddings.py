@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapwise.llm.common import checkpointed, ship
+from lapwise.llm.common import bounded_sample, checkpointed, ship
 from lapwise.llm.components import components
 
 COSINE = 0.98
@@ -167,7 +167,7 @@ def classes(vectors: DataFrame) -> DataFrame:
 
 def _search(reps: DataFrame, dim: int, n: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that connect, and per representative and task the number of rows linked to it."""
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("embedding").collect()
+    sample = bounded_sample(reps.select("rep", "embedding"), "rep", FIT_ROWS).collect()
     raw = np.array([r["embedding"] for r in sample], np.float32)
     # A few megabytes at most: centres and code books, whatever the number of vectors.
     shared = reps.sparkSession.sparkContext.broadcast(Quantiser(unit(raw), min(MOST_LISTS, max(1, int(n**0.5) // 2))))
