@@ -8,7 +8,7 @@
   ``ROUNDS`` rounds; what is left then are templates of their own.
 - A template that occurs in ``MIN_DOCS`` documents or more is dropped from all of them.
 
-Lines are told apart by a hash of 128 bits.  Everything is counted by partial sums; a line that stands in a third of
+Lines are told apart by a digest of 128 bits, fields by a hash of 32.  Everything is counted by partial sums; a line that stands in a third of
 all documents is one row per partition before it is shuffled, and what a document loses goes back to it by its
 row number, so no group holds more than one document's lines.
 
@@ -31,7 +31,6 @@ VARIABLE = "<*>"
 #: A field with a digit; the first part never gives back, so long fields without digits cost one pass.
 DIGITS = r"(?<![^ \t\r\f\x0B\n])[^ \t\r\f\x0B\n0-9]*+[0-9][^ \t\r\f\x0B\n]*"
 BLANKS = r"[ \t\r\f\x0B]+"
-LINE = ["h1", "h2"]
 
 
 def fields(text: Column) -> Column:
@@ -40,39 +39,46 @@ def fields(text: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Lines that aren't blank: __row, doc_id, place, masked line, its hashes and its leaf."""
-    masked = F.trim(F.col("masked"))
+    """Lines that aren't blank: __row, doc_id, place, digest of the masked line, its leaf, and hashes of its fields
+    where it has a leaf.  Texts of lines go no further."""
     parts = F.split("masked", " ")
+    deep = F.size(parts) > LEAD
     return (
         docs.select("__row", "doc_id", F.posexplode(F.split(fields(F.col("text")), "\n")).alias("place", "masked"))
-        .withColumn("masked", masked).where("masked <> ''")
-        .withColumn("h1", F.xxhash64("masked")).withColumn("h2", F.xxhash64(F.concat(F.lit("\n"), "masked")))
-        .withColumn("n", F.size(parts))
-        .withColumn("leaf", F.when(F.col("n") > LEAD, F.xxhash64("n", F.slice(parts, 1, LEAD))))
+        .withColumn("masked", F.trim("masked")).where("masked <> ''")
+        .select(
+            "__row", "doc_id", "place", F.unhex(F.md5("masked")).alias("line"),
+            F.when(deep, F.xxhash64(F.size(parts), F.slice(parts, 1, LEAD))).alias("leaf"),
+            F.when(deep, F.transform(parts, lambda x: F.hash(x))).alias("fields"),
+        )
     )
 
 
+def _dealt_line(df: DataFrame, key: str) -> DataFrame:
+    """As ``dealt``, for a digest."""
+    return df.withColumn(key, F.unhex(F.hex(key)))
+
+
 def templates(lines: DataFrame) -> DataFrame:
-    """Lines that join another's template: their hashes and the template's, t1 and t2."""
-    distinct = written(
-        lines.where("leaf IS NOT NULL").groupBy("leaf", "h1", "h2", "masked").agg(F.count("*").alias("seen"))
-    )
-    shared = distinct.groupBy("leaf").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("leaf")
-    left = distinct.join(shared, "leaf", "left_semi")
+    """Lines that join another's template: their digest and the template's, ``t``."""
+    distinct = written(lines.where("leaf IS NOT NULL").groupBy("leaf", "line", "fields").agg(F.count("*").alias("seen")))
+    shared = distinct.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
+    left = distinct.join(dealt(shared, "leaf"), "leaf", "left_semi")
     joined = None
     for _ in range(ROUNDS):
-        top = left.groupBy("leaf").agg(F.max(F.struct("seen", "masked", "h1", "h2")).alias("top")).select(
-            "leaf", F.col("top.h1").alias("t1"), F.col("top.h2").alias("t2"), F.col("top.masked").alias("template")
+        top = left.groupBy("leaf").agg(F.max(F.struct("seen", "line", "fields")).alias("top")).select(
+            "leaf", F.col("top.line").alias("t"), F.col("top.fields").alias("template")
         )
-        a, b = F.split("masked", " "), F.split("template", " ")
-        alike = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+        same = F.zip_with("fields", "template", lambda x, y: (x == y).cast("int"))
+        alike = F.aggregate(same, F.lit(0), lambda s, x: s + x)
         told = written(
-            left.join(dealt(top, "leaf"), "leaf").withColumn("joins", 10 * alike >= TENTHS_ALIKE * F.size(a))
+            left.join(dealt(top, "leaf"), "leaf").withColumn("joins", 10 * alike >= TENTHS_ALIKE * F.size("fields"))
+            .drop("template")
         )
-        found = told.where("joins").select(*LINE, "t1", "t2")
+        found = told.where("joins").select("line", "t")
         joined = found if joined is None else joined.union(found)
-        left = told.where("NOT joins").select("leaf", *LINE, "masked", "seen")
-    return joined.where("h1 <> t1 OR h2 <> t2")
+        left = told.where("NOT joins").select("leaf", "line", "fields", "seen")
+    return joined.where("line <> t")
 
 
 def deduplicate(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -81,14 +87,14 @@ def deduplicate(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     # Rows are told apart by id and text, so that equal rows, which lose the same lines, are one.
     rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
     lines = written(_lines(rows.select("__row", "doc_id", "text")))
-    known = lines.select("__row", "doc_id", "place", *LINE).join(templates(lines), LINE, "left").select(
-        "__row", "doc_id", "place", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2")
+    known = lines.select("__row", "doc_id", "place", "line").join(templates(lines), "line", "left").select(
+        "__row", "doc_id", "place", F.coalesce("t", "line").alias("t")
     )
     common = (
-        known.groupBy("t1", "t2", "doc_id").agg(F.lit(1).alias("one"))
-        .groupBy("t1", "t2").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("t1", "t2")
+        known.groupBy("t", "doc_id").agg(F.lit(1).alias("one"))
+        .groupBy("t").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("t")
     )
-    gone = known.join(dealt(common, "t1"), ["t1", "t2"], "left_semi").groupBy("__row").agg(F.collect_set("place").alias("__gone"))
+    gone = known.join(_dealt_line(common, "t"), "t", "left_semi").groupBy("__row").agg(F.collect_set("place").alias("__gone"))
     split = F.split("text", "\n")
     kept = F.filter(split, lambda x, i: F.col("__gone").isNull() | ~F.array_contains("__gone", i))
     return rows.join(gone, "__row", "left").select(

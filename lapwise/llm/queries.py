@@ -106,10 +106,10 @@ masked AS (
   FROM raw),
 lines AS (SELECT *, string_split(masked, ' ') AS f FROM masked WHERE masked <> ''),
 distinct_lines AS (SELECT masked, f, len(f) AS n, f[1:3] AS lead, count(*) AS seen FROM lines WHERE len(f) > 3 GROUP BY masked, f),
-top1 AS (SELECT n, lead, max({'seen': seen, 'masked': masked}).masked AS t FROM distinct_lines GROUP BY n, lead),
+top1 AS (SELECT n, lead, max({'seen': seen, 'digest': md5(masked), 'masked': masked}).masked AS t FROM distinct_lines GROUP BY n, lead),
 told1 AS (SELECT d.*, t, 10 * len(list_filter(list_zip(f, string_split(t, ' ')), lambda x: x[1] = x[2])) >= 7 * d.n AS joins
   FROM distinct_lines d JOIN top1 USING (n, lead)),
-top2 AS (SELECT n, lead, max({'seen': seen, 'masked': masked}).masked AS t FROM told1 WHERE NOT joins GROUP BY n, lead),
+top2 AS (SELECT n, lead, max({'seen': seen, 'digest': md5(masked), 'masked': masked}).masked AS t FROM told1 WHERE NOT joins GROUP BY n, lead),
 told2 AS (SELECT d.masked, top2.t, 10 * len(list_filter(list_zip(d.f, string_split(top2.t, ' ')), lambda x: x[1] = x[2])) >= 7 * d.n AS joins
   FROM told1 d JOIN top2 USING (n, lead) WHERE NOT d.joins),
 joined AS (SELECT masked, t FROM told1 WHERE joins UNION ALL SELECT masked, t FROM told2 WHERE joins),
