@@ -2,7 +2,7 @@
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z lower-cased; a
 document is searched as its words joined by single spaces.  A notice may be matched with up to k edits
-(one for every ten of its characters, none for very short ones).  Cut in k + 1 pieces, any such match holds one
+(one for every ten of its characters, five at most, none for very short ones).  Cut in k + 1 pieces, any such match holds one
 piece unchanged, so finding the pieces finds every place worth a look; the regex library then matches the notice
 there with at most k edits, and reports spans in words.  Base phrases are also searched with no edits, which is
 one piece, the phrase itself between word ends.
@@ -46,6 +46,7 @@ NOTICES = {
     "permission to use copy modify and or distribute this software for any purpose": "isc",
 }
 CHARS_PER_EDIT = 10
+MOST_EDITS = 5
 
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -97,7 +98,7 @@ class Notice:
 
 
 def notices(given: dict[str, str] = NOTICES) -> list[Notice]:
-    return [Notice(t.encode(), label, len(t) // CHARS_PER_EDIT) for t, label in given.items()]
+    return [Notice(t.encode(), label, min(MOST_EDITS, len(t) // CHARS_PER_EDIT)) for t, label in given.items()]
 
 
 def scan(found: list[bytes], phrases: dict[str, str], fuzzy: list[Notice]) -> list[tuple[str, str, bool, int, int, int]]:
