@@ -2,10 +2,11 @@
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z lower-cased; a
 document is searched as its words joined by single spaces.  A notice may be matched with up to k edits
-(one for every ten of its characters, five at most, none for very short ones).  Cut in k + 1 pieces, any such match holds one
-piece unchanged, so finding the pieces finds every place worth a look; the regex library then matches the notice
-there with at most k edits, and reports spans in words.  Base phrases are also searched with no edits, which is
-one piece, the phrase itself between word ends.
+(one for every ten of its characters, none for very short ones).  Cut in k + 1 pieces, any such match holds one
+piece unchanged, so finding the pieces finds every place worth a look.  There, columns of the edit distance, one bit
+for each character of the notice, give the word ends at which a match can end, and from these, read backwards, the
+words at which it starts; spans are reported in words.  Base phrases are also searched with no edits, which is one
+piece, the phrase itself between word ends.
 
 Defined results: null and empty texts have no words and no matches; a match with edits that overlaps one of the
 same label with fewer edits, or starts later with as many, is left out; rows are independent of each other; an
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +46,6 @@ NOTICES = {
     "permission to use copy modify and or distribute this software for any purpose": "isc",
 }
 CHARS_PER_EDIT = 10
-MOST_EDITS = 5
 
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -58,6 +57,35 @@ def searched(text: bytes | None) -> list[bytes]:
     return text.translate(_WORD_BYTES).split() if text else []
 
 
+def _bits(pattern: bytes) -> dict[int, int]:
+    """For each byte of a pattern, the places where it stands."""
+    out: dict[int, int] = {}
+    for k, byte in enumerate(pattern):
+        out[byte] = out.get(byte, 0) | 1 << k
+    return out
+
+
+def distances(bits: dict[int, int], size: int, text: bytes, anywhere: bool) -> Iterator[int]:
+    """After each byte of a text, the edit distance of the pattern to the text so far, or to the part of it that
+    ends here and is nearest: columns of the distance table as sums of steps, a bit for each row (Myers, Hyyro)."""
+    full, top, low = (1 << size) - 1, 1 << size - 1, 0 if anywhere else 1
+    up, down, distance = full, 0, size
+    for byte in text:
+        same = bits.get(byte, 0)
+        x = same | down
+        flat = ((((x & up) + up) ^ up) | x) & full
+        more = down | full & ~(flat | up)
+        less = up & flat
+        if more & top:
+            distance += 1
+        elif less & top:
+            distance -= 1
+        more = (more << 1 | low) & full
+        up = (less << 1) & full | full & ~(flat | more)
+        down = more & flat
+        yield distance
+
+
 @dataclass
 class Notice:
     text: bytes
@@ -67,9 +95,7 @@ class Notice:
     def __post_init__(self) -> None:
         cuts = [len(self.text) * k // (self.edits + 1) for k in range(self.edits + 2)]
         self.seeds = [(a, self.text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.pattern = regex.compile(
-            rb"(?b)(?<![^ ])(?:" + regex.escape(self.text, literal_spaces=True) + rb"){e<=%d}(?![^ ])" % self.edits
-        )
+        self.bits, self.reversed_bits = _bits(self.text), _bits(self.text[::-1])
 
     def windows(self, flat: bytes) -> list[tuple[int, int]]:
         """Stretches around the seeds in which a match can lie, overlapping ones joined."""
@@ -88,17 +114,31 @@ class Notice:
                 joined.append((begin, end))
         return joined
 
+    def best(self, flat: bytes, begin: int, end: int) -> tuple[int, int, int] | None:
+        """The match in a stretch of the text with the fewest edits, of these the first and longest."""
+        size, found = len(self.text), []
+        for at, edits in enumerate(distances(self.bits, size, flat[begin:end], anywhere=True), begin + 1):
+            if edits <= self.edits and flat[at : at + 1] == b" ":
+                low = max(begin, at - size - self.edits)
+                for back, d in enumerate(distances(self.reversed_bits, size, flat[low:at][::-1], anywhere=False), 1):
+                    if d <= self.edits and at > back and flat[at - back - 1] == 32:
+                        found.append((d, at - back, -at))
+        if not found:
+            return None
+        edits, first, last = min(found)
+        return first, -last, edits
+
     def matches(self, flat: bytes) -> Iterator[tuple[int, int, int]]:
         """Start, end and edits of matches in the text."""
         for begin, end in self.windows(flat):
             end = min(end, len(flat))
-            while begin < end and (m := self.pattern.search(flat, begin, end)):
-                yield m.start(), m.end(), sum(m.fuzzy_counts)
-                begin = max(m.end(), m.start() + 1)
+            while begin < end and (m := self.best(flat, begin, end)):
+                yield m
+                begin = m[1]
 
 
 def notices(given: dict[str, str] = NOTICES) -> list[Notice]:
-    return [Notice(t.encode(), label, min(MOST_EDITS, len(t) // CHARS_PER_EDIT)) for t, label in given.items()]
+    return [Notice(t.encode(), label, len(t) // CHARS_PER_EDIT) for t, label in given.items()]
 
 
 def scan(found: list[bytes], phrases: dict[str, str], fuzzy: list[Notice]) -> list[tuple[str, str, bool, int, int, int]]:
@@ -115,11 +155,8 @@ def scan(found: list[bytes], phrases: dict[str, str], fuzzy: list[Notice]) -> li
     loose = []
     for n in fuzzy:
         for begin, end, edits in n.matches(flat):
-            # Spaces at the ends of a match are edits that belong to no word.
-            begin += len(flat[begin:end]) - len(flat[begin:end].lstrip())
             first = flat.count(b" ", 0, begin) - 1
-            last = first + flat[begin:end].rstrip().count(b" ") + 1
-            loose.append((edits, first, last, n))
+            loose.append((edits, first, first + flat.count(b" ", begin, end) + 1, n))
     for edits, first, last, n in sorted(loose, key=lambda x: (x[0], x[1], -x[2], x[3].text)):
         if not any(o[0] == n.label and first < o[4] and o[3] < last for o in out):
             out.append((n.label, n.text.decode(), False, first, last, edits))

@@ -232,3 +232,21 @@ def test_schema_of_encode_is_what_it_says(spark):
     assert [f.dataType for f in out.schema.fields] == [T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.IntegerType())]
     for r in out.collect():
         assert list(r.offsets) == sorted(r.offsets) and len(r.ids) == len(r.offsets)
+
+
+def edited(text: bytes, edits: int, draw: random.Random) -> bytes:
+    """A notice with edits inside its words."""
+    out = bytearray(text)
+    for k in sorted(draw.sample([k for k in range(1, len(text) - 1) if b" " not in text[k - 1 : k + 2]], edits), reverse=True):
+        out[k : k + 1] = {"s": b"~", "d": b"", "i": bytes([text[k]]) + b"q"}[draw.choice("sid")].replace(b"~", b"9")
+    return bytes(out)
+
+
+def test_a_notice_may_have_an_edit_for_every_ten_characters():
+    draw = random.Random(9)
+    for n in licenses.notices():
+        for edits in range(1, len(n.text) // 10 + 1):
+            text = edited(n.text, edits, draw)
+            words = licenses.searched(b"lorem ipsum " + text + b" dolor sit")
+            distance = edit_distance(text, n.text)
+            assert [(t[0], t[3], t[4], t[5]) for t in licenses.scan(words, {}, [n])] == [(n.label, 2, len(words) - 2, distance)], text
