@@ -13,8 +13,10 @@ same label with fewer edits, or starts later with as many, is left out; rows are
 empty table gives an empty one; input columns named like an added one are replaced.
 """
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -114,52 +116,52 @@ class Notice:
                 joined.append((begin, end))
         return joined
 
-    def best(self, flat: bytes, begin: int, end: int) -> tuple[int, int, int] | None:
-        """The match in a stretch of the text with the fewest edits, of these the first and longest."""
-        size, found = len(self.text), []
-        for at, edits in enumerate(distances(self.bits, size, flat[begin:end], anywhere=True), begin + 1):
-            if edits <= self.edits and flat[at : at + 1] == b" ":
-                low = max(begin, at - size - self.edits)
-                for back, d in enumerate(distances(self.reversed_bits, size, flat[low:at][::-1], anywhere=False), 1):
-                    if d <= self.edits and at > back and flat[at - back - 1] == 32:
-                        found.append((d, at - back, -at))
-        if not found:
-            return None
-        edits, first, last = min(found)
-        return first, -last, edits
-
     def matches(self, flat: bytes) -> Iterator[tuple[int, int, int]]:
-        """Start, end and edits of matches in the text."""
+        """Start, end and edits of all matches between word ends, overlapping ones too."""
+        size = len(self.text)
         for begin, end in self.windows(flat):
-            end = min(end, len(flat))
-            while begin < end and (m := self.best(flat, begin, end)):
-                yield m
-                begin = m[1]
+            for at, edits in enumerate(distances(self.bits, size, flat[begin:end], anywhere=True), begin + 1):
+                if edits <= self.edits and flat[at : at + 1] == b" ":
+                    low = max(begin, at - size - self.edits)
+                    for back, d in enumerate(distances(self.reversed_bits, size, flat[low:at][::-1], anywhere=False), 1):
+                        if d <= self.edits and at > back and flat[at - back - 1] == 32:
+                            yield at - back, at, d
 
 
 def notices(given: dict[str, str] = NOTICES) -> list[Notice]:
     return [Notice(t.encode(), label, len(t) // CHARS_PER_EDIT) for t, label in given.items()]
 
 
+def _exact(flat: bytes, phrase: bytes) -> Iterator[int]:
+    """Places where a phrase stands between word ends."""
+    at = flat.find(b" " + phrase + b" ")
+    while at >= 0:
+        yield at + 1
+        at = flat.find(b" " + phrase + b" ", at + 1)
+
+
 def scan(found: list[bytes], phrases: dict[str, str], fuzzy: list[Notice]) -> list[tuple[str, str, bool, int, int, int]]:
     """Label, notice, whether a base phrase, first word, word after the last, edits."""
     flat = b" " + b" ".join(found) + b" "
     out: list[tuple[str, str, bool, int, int, int]] = []
-    for phrase, label in phrases.items():
-        seed = b" " + phrase.encode() + b" "
-        at = flat.find(seed)
-        while at >= 0:
-            first = flat.count(b" ", 0, at)
-            out.append((label, phrase, True, first, first + phrase.count(" ") + 1, 0))
-            at = flat.find(seed, at + 1)
-    loose = []
-    for n in fuzzy:
-        for begin, end, edits in n.matches(flat):
-            first = flat.count(b" ", 0, begin) - 1
-            loose.append((edits, first, first + flat.count(b" ", begin, end) + 1, n))
+    spans = [(phrase.encode(), label, m) for phrase, label in phrases.items() for m in _exact(flat, phrase.encode())]
+    near = [(n, m) for n in fuzzy for m in n.matches(flat)]
+    if not spans and not near:
+        return out
+    starts = list(accumulate((len(w) + 1 for w in found), initial=1))
+    taken: dict[str, bytearray] = {}
+
+    def take(label: str, notice: bytes, base: bool, first: int, last: int, edits: int) -> None:
+        taken.setdefault(label, bytearray(len(found)))[first:last] = b"\1" * (last - first)
+        out.append((label, notice.decode(), base, first, last, edits))
+
+    for phrase, label, at in spans:
+        first = bisect_left(starts, at)
+        take(label, phrase, True, first, first + phrase.count(b" ") + 1, 0)
+    loose = [(edits, bisect_left(starts, begin), bisect_left(starts, end), n) for n, (begin, end, edits) in near]
     for edits, first, last, n in sorted(loose, key=lambda x: (x[0], x[1], -x[2], x[3].text)):
-        if not any(o[0] == n.label and first < o[4] and o[3] < last for o in out):
-            out.append((n.label, n.text.decode(), False, first, last, edits))
+        if n.label not in taken or taken[n.label].find(1, first, last) < 0:
+            take(n.label, n.text, False, first, last, edits)
     return sorted(out, key=lambda o: (o[3], o[4], o[1]))
 
 

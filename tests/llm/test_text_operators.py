@@ -250,3 +250,39 @@ def test_a_notice_may_have_an_edit_for_every_ten_characters():
             words = licenses.searched(b"lorem ipsum " + text + b" dolor sit")
             distance = edit_distance(text, n.text)
             assert [(t[0], t[3], t[4], t[5]) for t in licenses.scan(words, {}, [n])] == [(n.label, 2, len(words) - 2, distance)], text
+
+
+@pytest.mark.parametrize("texts", [
+    [b"mit licence", b"mit license"],
+    [b"redistribution and use in source and binary forms wth or without modification",
+     b"redistribution and use in source and binary forms with or without modification",
+     b"redistribution and use in sourc and binary forms with or without modificatoin"],
+])
+def test_a_worse_match_beside_a_better_one_is_found(texts):
+    words = licenses.searched(b"a " + b" ".join(texts) + b" b")
+    told = licenses.scan(words, {}, licenses.notices())
+    size = len(texts[0].split())
+    assert [(t[3], t[4]) for t in told] == [(1 + k * size, 1 + (k + 1) * size) for k in range(len(texts))]
+    assert [t[5] for t in told] == [edit_distance(x, t[1].encode()) for x, t in zip(texts, told, strict=True)]
+
+
+def test_matches_like_all_ranges_of_words():
+    draw = random.Random(10)
+    fuzzy = licenses.notices()
+    for _ in range(40):
+        picked = [draw.choice(fuzzy) for _ in range(2)]
+        parts = [draw.choice([b"a", b"the license", b"mit", edited(n.text, draw.randint(0, len(n.text) // 12), draw)]) for n in picked * 2]
+        words = licenses.searched(b" ".join(parts))
+        for n in set(map(fuzzy.index, picked)):
+            notice = fuzzy[n]
+            near = []
+            for a in range(len(words)):
+                for b in range(a + 1, len(words) + 1):
+                    text = b" ".join(words[a:b])
+                    if abs(len(text) - len(notice.text)) <= notice.edits:
+                        near.append((edit_distance(text, notice.text), a, -b))
+            want: list[tuple] = []
+            for d, a, b in sorted(near):
+                if d <= len(notice.text) // 10 and not any(a < y and x < -b for x, y, _ in want):
+                    want.append((a, -b, d))
+            assert [(t[3], t[4], t[5]) for t in licenses.scan(words, {}, [notice])] == sorted(want)
