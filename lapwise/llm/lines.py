@@ -4,8 +4,10 @@
 - The tree has a fixed depth: lines go by their number of fields, then by their first three fields.  Lines of fewer
   than four fields are templates as they are.
 - In a leaf, the line of most documents is a template.  Lines that agree with it in at least seven of ten fields
-  join it, their other fields being variable; of the rest, again the line of most documents is a template, for
-  ``ROUNDS`` rounds; what is left then are templates of their own.
+  join it, their other fields being variable; of the rest, again the line of most documents is a template, until
+  no line is left.  So a line, in order of documents, joins the first template it agrees with or is the next one.
+  That is worked out for the first ``HEAD`` lines of all leaves at once; the lines after them are compared
+  with the templates found, and those that agree with none go through another round.
 - A template that occurs in ``MIN_DOCS`` documents or more is dropped from all of them.
 
 Lines are told apart by a digest of 128 bits, fields by a hash of 32.  Everything is counted by partial sums; a line that stands in a third of
@@ -18,13 +20,13 @@ in the number of documents of a template, and rows without one count as one too;
 one; input columns named like an added one are replaced.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwise.llm.common import dealt, without, written
 
 LEAD = 3
-ROUNDS = 2
+HEAD = 256
 TENTHS_ALIKE = 7
 MIN_DOCS = 5
 VARIABLE = "<*>"
@@ -59,26 +61,40 @@ def _dealt_line(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.unhex(F.hex(key)))
 
 
+def _agree(fields: Column, template: Column) -> Column:
+    same = F.zip_with(fields, template, lambda x, y: (x == y).cast("int"))
+    return 10 * F.aggregate(same, F.lit(0), lambda s, x: s + x) >= TENTHS_ALIKE * F.size(fields)
+
+
 def templates(lines: DataFrame) -> DataFrame:
     """Lines that join another's template: their digest and the template's, ``t``."""
     distinct = written(lines.where("leaf IS NOT NULL").groupBy("leaf", "line", "fields").agg(F.count("*").alias("seen")))
     shared = distinct.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
     left = distinct.join(dealt(shared, "leaf"), "leaf", "left_semi")
+    first = Window.partitionBy("leaf").orderBy(F.desc("seen"), F.desc("line"))
+    one = F.struct("line", "fields")
+    none = F.array().cast("array<struct<line:binary,fields:array<int>>>")
     joined = None
-    for _ in range(ROUNDS):
-        top = left.groupBy("leaf").agg(F.max(F.struct("seen", "line", "fields")).alias("top")).select(
-            "leaf", F.col("top.line").alias("t"), F.col("top.fields").alias("template")
-        )
-        same = F.zip_with("fields", "template", lambda x, y: (x == y).cast("int"))
-        alike = F.aggregate(same, F.lit(0), lambda s, x: s + x)
-        told = written(
-            left.join(dealt(top, "leaf"), "leaf").withColumn("joins", 10 * alike >= TENTHS_ALIKE * F.size("fields"))
-            .drop("template")
+    while joined is None or not left.isEmpty():
+        head = left.withColumn("__at", F.row_number().over(first)).where(F.col("__at") <= HEAD)
+        # Lines in order; one that agrees with no template so far is the next template.
+        top = head.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("__at", one.alias("one")))).alias("head")).select(
+            "leaf", F.aggregate("head", none, lambda found, x: F.when(
+                F.exists(found, lambda t: _agree(x["one"]["fields"], t["fields"])), found
+            ).otherwise(F.concat(found, F.array(x["one"])))).alias("found")
         )
-        found = told.where("joins").select("line", "t")
+        agreeing = F.filter("found", lambda t: _agree(F.col("fields"), t["fields"]))
+        told = left.join(dealt(top, "leaf"), "leaf").withColumn("t", F.get(agreeing, F.lit(0))["line"])
+        # A template itself leaves nothing to write, a line that joins one only the two digests.
+        still, joins = F.col("t").isNull(), F.col("t") != F.col("line")
+        told = written(told.select(
+            *[F.when(still, F.col(c)).alias(c) for c in ("leaf", "fields", "seen")],
+            F.when(still | joins, F.col("line")).alias("line"), F.when(joins, F.col("t")).alias("t"),
+        ))
+        found = told.where("t IS NOT NULL").select("line", "t")
         joined = found if joined is None else joined.union(found)
-        left = told.where("NOT joins").select("leaf", "line", "fields", "seen")
-    return joined.where("line <> t")
+        left = told.where("leaf IS NOT NULL").select("leaf", "line", "fields", "seen")
+    return joined
 
 
 def deduplicate(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

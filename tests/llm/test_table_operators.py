@@ -367,3 +367,47 @@ def test_templates_that_recur_are_dropped(spark):
     assert told[None] == (2, 1, "keep me")
     assert all(told[20 + k][:2] == (1, 1) for k in range(5))
     assert told[30] == (1, 0, "y" * 200_000) and told[31][1] == 0
+
+
+def template_rows():
+    """Many templates in one leaf, each with a varying word without a digit."""
+    draw, rows, k = random.Random(12), [], 0
+    names = ["anna", "boris", "clara", "dora", "emil", "fritz", "greta"]
+    for template in range(12):
+        own = [f"{chr(97 + template)}{x}" for x in ("work", "host", "code", "part", "mode", "unit", "goal")]
+        for _ in range(6 + template % 4):
+            text = f"log at INFO {' '.join(own)} {draw.choice(names)}{chr(97 + k % 26)} by {draw.choice(names)}"
+            rows.append((k, text + f"\nonly here {chr(97 + k % 26)}{chr(97 + k // 26)}", "s", "k"))
+            k += 1
+    return rows
+
+
+def plain_templates(rows):
+    """Templates of lines of letters: the line of most documents, then again of those that don't agree with it."""
+    seen = Counter(x for _, text, *_ in rows for x in text.split("\n") if len(x.split()) > 3)
+    leaves, t = defaultdict(list), {}
+    for x in sorted(seen, key=lambda x: (seen[x], hashlib.md5(x.encode()).digest()), reverse=True):
+        leaves[len(x.split()), *x.split()[:3]].append(x)
+    for leaf in leaves.values():
+        while leaf:
+            top = leaf[0].split()
+            near = [x for x in leaf if 10 * sum(map(str.__eq__, x.split(), top)) >= 7 * len(top)]
+            t |= dict.fromkeys(near, leaf[0])
+            leaf[:] = [x for x in leaf if x not in near]
+    return t
+
+
+@pytest.mark.parametrize("head", [3, 256])
+def test_every_template_of_a_leaf_is_found(spark, monkeypatch, head):
+    rows = template_rows()
+    t = plain_templates(rows)
+    docs = defaultdict(set)
+    for doc, text, *_ in rows:
+        for x in text.split("\n"):
+            docs[t.get(x, x)].add(doc)
+    assert sum(len(x) >= 5 for x in docs.values()) > 2
+    monkeypatch.setattr(lines, "HEAD", head, raising=False)
+    told = {r.doc_id: r.kept_text for r in lines.deduplicate(frame(spark, rows)).collect()}
+    assert told == {
+        doc: "\n".join(x for x in text.split("\n") if len(docs[t.get(x, x)]) < 5) for doc, text, *_ in rows
+    }
