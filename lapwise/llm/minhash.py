@@ -79,9 +79,10 @@ def shingles(found: list[bytes]) -> np.ndarray:
     w = np.fromiter(map(_WORDS.__getitem__, found), _U, len(found))
     width = min(WIDTH, len(w))
     total = np.full(len(w) - width + 1, width, _U)
+    # Scrambled at every word: sums of weighted words are equal for different shingles of few words.
     for k in range(width):
-        total += w[k : len(w) - width + 1 + k] * _ODD[k]
-    return np.unique(mixed(total))
+        total = mixed(total * _ODD[0] + w[k : len(w) - width + 1 + k])
+    return np.unique(total)
 
 
 def sketch(s: np.ndarray) -> np.ndarray:

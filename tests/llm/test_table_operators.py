@@ -1,6 +1,7 @@
 """Operators over whole tables against plain loops on small tables."""
 
 import hashlib
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -203,6 +204,15 @@ def test_sketches_fill_and_agree_like_the_sets():
     assert abs(np.mean(shares) - 500 / 700) < 0.02 and np.std(shares) < 0.06
 
 
+def test_shingles_of_few_words_are_told_apart():
+    every = ["".join(x) for x in itertools.product("ab", repeat=5)]
+    draw = random.Random(11)
+    texts = [" ".join(x) for x in every] + [" ".join(draw.choices("ab", k=500)), " ".join(draw.choices("01x", k=3000))]
+    assert len({minhash.shingles(minhash.words(t.encode()))[0] for t in texts[:32]}) == 32
+    for t in texts:
+        assert len(minhash.shingles(minhash.words(t.encode()))) == len(shingle_set(t))
+
+
 def test_members_of_one_bucket_that_only_meet_each_other_are_linked(spark):
     """Two pairs far from the bucket's smallest member are found by the comparison in blocks."""
     draw, rows = random.Random(9), []
