@@ -34,7 +34,6 @@ WINDOW = 50
 GRAM = 20
 SHARD_WORDS = 50_000
 VISIT_WORDS = 400_000
-PLACE_BITS = 24
 
 _U = np.uint64
 
@@ -56,19 +55,17 @@ def rolled(w: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
 def anchors(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, first and last window that has it, for all windows of a document in order."""
     g = rolled(w, GRAM, _ODD[1])
-    low = _U((1 << PLACE_BITS) - 1)
-    key = (g & ~low) | (np.arange(len(g), dtype=_U) & low)
-    wide, have = key, 1
+    # Place of the smallest hash, the first of equal ones, in ever wider stretches.
+    wide, have = np.arange(len(g)), 1
     span = WINDOW - GRAM + 1
-    while 2 * have <= span:
-        wide = np.minimum(wide[:-have], wide[have:])
-        have *= 2
-    if have < span:
-        wide = np.minimum(wide[: len(wide) - (span - have)], wide[span - have :])
+    while have < span:
+        step = min(have, span - have)
+        left, right = wide[:-step], wide[step:]
+        wide, have = np.where(g[right] < g[left], right, left), have + step
     change = np.flatnonzero(wide[1:] != wide[:-1])
     first = np.concatenate(([0], change + 1))
     last = np.concatenate((change, [len(wide) - 1]))
-    place = (wide[first] & low).astype(np.int64)
+    place = wide[first]
     return g[place].view(np.int64), first, last, place
 
 

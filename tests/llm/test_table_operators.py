@@ -289,6 +289,14 @@ def test_equal_windows_have_equal_anchors():
         assert all(of(whole)[p + cut] == a for p, a in of(own).items())
 
 
+def test_anchors_beyond_sixteen_million_words():
+    draw = np.random.default_rng(13)
+    passage = draw.integers(0, 1 << 63, 300).astype(np.uint64)
+    w = np.concatenate((draw.integers(0, 1 << 63, (1 << 24) + 100).astype(np.uint64), passage))
+    alone, whole = substrings.anchors(passage)[0], substrings.anchors(w)[0]
+    assert (whole[-len(alone) :] == alone).all()
+
+
 def test_automaton_knows_the_smallest_document():
     auto = substrings.Automaton()
     passage = list(range(60))
