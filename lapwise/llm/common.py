@@ -98,3 +98,26 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without the columns an operator is about to add, whatever their case."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that begins with ``stem`` and that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
+def every(df: DataFrame, alias: str | None = None) -> list[Column]:
+    """All columns of ``df`` by name, also names with a dot; below ``alias``, if given."""
+    return [F.col(f"`{c}`" if alias is None else f"{alias}.`{c}`") for c in df.columns]
+
+
+def row_key(*columns: str | Column) -> Column:
+    """16 bytes by which a row's results are found again: rows of equal columns share them.
+
+    For strings and numbers. Each value is told from null and from its neighbour by its length.
+    """
+    texts = [F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns]
+    marked = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.unhex(F.md5(F.concat(*marked).cast("binary")))

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwise.llm import (
-    bpe, embeddings, exact_dedup, licenses, lines, minhash, mixing, quality, substrings, token_counts,
+    bpe, embeddings, exact_dedup, licenses, lines, minhash, mixing, quality, substrings, token_counts, winnowing,
 )
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -81,6 +81,13 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    told = winnowing.annotate(
+        _table(spark, folder, "documents", "doc_id", "text"), _table(spark, folder, "benchmark", "item_id", "text")
+    )
+    return told.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
@@ -92,6 +99,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_lines": op9_lines,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_winnowing": op11_winnowing,
 }
 
 ORACLE = {
@@ -129,5 +137,30 @@ WITH d AS (
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY norm)
+""",
+    "op11_winnowing": """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark),
+sized AS (SELECT item_id, w, least(len(w), 10) AS m FROM b WHERE len(w) > 0),
+item_starts AS (SELECT item_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS s FROM sized),
+windows AS (SELECT DISTINCT item_id, m, array_to_string(w[s : s + m - 1], ' ') AS t FROM item_starts),
+doc_starts AS (
+  SELECT row, w, m, unnest(generate_series(1, len(w) - m + 1)) AS s
+  FROM d, (SELECT DISTINCT m FROM sized) WHERE len(w) >= m),
+doc_windows AS (SELECT row, m, s, array_to_string(w[s : s + m - 1], ' ') AS t FROM doc_starts),
+hits AS (SELECT row, m, s, item_id FROM doc_windows JOIN windows USING (m, t)),
+places AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(generate_series(s, s + m - 1)) AS p FROM hits) GROUP BY row),
+items AS (
+  SELECT row, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS i FROM hits WHERE item_id IS NOT NULL) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (row) LEFT JOIN items USING (row)
 """,
 }
