@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwise.llm import (
-    bpe, embeddings, exact_dedup, licenses, lines, minhash, mixing, quality, substrings, token_counts, winnowing,
+    bpe, embeddings, exact_dedup, licenses, lines, minhash, mixing, quality, ranking, substrings, token_counts,
+    winnowing,
 )
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -88,6 +89,12 @@ def op11_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op12_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.search(
+        _table(spark, folder, "documents", "doc_id", "text"), _table(spark, folder, "benchmark", "item_id", "text")
+    )
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
@@ -100,6 +107,7 @@ QUERIES = {
     "op9_lines": op9_lines,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_winnowing": op11_winnowing,
+    "op12_ranking": op12_ranking,
 }
 
 ORACLE = {
@@ -162,5 +170,31 @@ items AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (row) LEFT JOIN items USING (row)
+""",
+    "op12_ranking": """
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term
+  FROM documents),
+b AS (
+  SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark),
+wanted AS (SELECT item, item_id, term, count(*) AS times FROM b GROUP BY ALL),
+lengths AS (SELECT row, doc_id, count(*) AS n FROM d GROUP BY ALL),
+total AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM lengths),
+occurrences AS (SELECT row, term, count(*) AS tf FROM d SEMI JOIN wanted USING (term) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM occurrences GROUP BY term), total),
+impacts AS (
+  SELECT o.row, l.doc_id, o.term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))) AS impact
+  FROM occurrences o JOIN lengths l USING (row) JOIN weights USING (term), total),
+scores AS (
+  SELECT item, item_id, row, doc_id, CAST(sum(times * impact) AS BIGINT) AS score
+  FROM wanted JOIN impacts USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY rank <= 20
 """,
 }
