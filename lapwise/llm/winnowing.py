@@ -33,6 +33,8 @@ WINDOW = 10
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word of either case.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bits of the filter that keeps texts without a hit out of the second pass, as a power of two.
+FILTER_BITS = 24
 ADDED = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
@@ -88,6 +90,20 @@ def fingerprints(texts: DataFrame, sizes: list[int]) -> DataFrame:
     return df.select(*kept, F.inline_outer("found")).where("hash IS NOT NULL")
 
 
+def _likely(texts: DataFrame, hit: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose key may be in ``hit``: all that are, and few others.
+
+    A bitmap of 2^FILTER_BITS hashed keys, in pages of 4 KB: two megabytes at most, so it is broadcast, and texts
+    without a hit are not shuffled.
+    """
+    at = F.shiftrightunsigned(F.xxhash64("key"), 64 - FILTER_BITS)
+    page, bit = F.shiftright(at, 15), at.bitwiseAND((1 << 15) - 1)
+    pages = hit.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright("bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    placed = texts.withColumns({"page": page, "bit": bit})
+    return placed.join(F.broadcast(pages), "page").where(F.getbit(byte, F.col("bit").bitwiseAND(7).cast("int")) == 1).select("key", "text")
+
+
 def _window(at: Column, size: Column) -> Column:
     return F.array_join(F.slice("words", at + 1, size), " ")
 
@@ -134,8 +150,8 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Dat
         prints = prints.union(more)
     prints = written(prints.select("size", "hash").distinct())
 
-    texts = docs.select(row_key("doc_id", "text").alias("key"), words(F.col("text")).alias("words"))
-    hits = fingerprints(texts, sizes).join(prints, ["size", "hash"]).groupBy("key").agg(
+    texts = docs.select(row_key("doc_id", "text").alias("key"), "text")
+    hits = fingerprints(texts.select("key", words(F.col("text")).alias("words")), sizes).join(prints, ["size", "hash"]).groupBy("key").agg(
         F.collect_set(F.struct("size", "first", "last")).alias("hits")
     )
     # Every window that a hit stands for, as text.
@@ -144,7 +160,8 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Dat
         F.sequence(h["first"], h["last"]),
         lambda i: F.struct(i.alias("first"), (i + h["size"]).alias("after"), _window(i, h["size"]).alias("window")),
     )))
-    close = texts.join(hit, "key").select("key", F.inline_outer(spread))
+    close = _likely(texts, hit).join(hit, "key").withColumn("words", words(F.col("text")))
+    close = close.select("key", F.inline_outer(spread))
     shared = close.join(known, "window").groupBy("key").agg(
         covered(F.array_sort(F.collect_set(F.struct("first", "after")))).alias("n_hit"),
         F.array_sort(F.collect_set("id")).alias("ids"),
