@@ -5,11 +5,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwise.llm import (
-    bpe, embeddings, exact_dedup, licenses, lines, minhash, mixing, quality, ranking, substrings, token_counts,
+    alignment, bpe, embeddings, exact_dedup, licenses, lines, minhash, mixing, quality, ranking, substrings, token_counts,
     winnowing,
 )
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -95,6 +96,11 @@ def op12_ranking(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    return alignment.annotate(docs, *map(public_tokenizers.path, ALIGNED))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
@@ -108,6 +114,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_winnowing": op11_winnowing,
     "op12_ranking": op12_ranking,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE = {

@@ -29,6 +29,15 @@ COLUMNS = {
     "op8_substrings": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
     "op9_lines": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
     "op10_exact_dedup": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
+    "op11_winnowing": {
+        "doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string",
+        "contaminated": "boolean",
+    },
+    "op12_ranking": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
+    "op13_alignment": {
+        "doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint",
+        "count_sum": "bigint", "groups_sha256": "string",
+    },
 }
 
 
@@ -41,6 +50,10 @@ def test_columns_and_rows(spark, name):
     out = queries.QUERIES[name](spark, SF)
     kinds = dict(out.dtypes)
     assert {c: kinds[c] for c in COLUMNS[name]} == COLUMNS[name]
+    if name == "op12_ranking":
+        best = out.groupBy("item_id").agg(F.max("rank").alias("n"), F.countDistinct("rank").alias("ranks")).collect()
+        assert best and all(1 <= r.n == r.ranks <= 20 for r in best)
+        return
     table = "embeddings" if name.startswith("op5_") else "documents"
     assert out.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
