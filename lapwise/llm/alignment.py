@@ -174,7 +174,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             files.append(f.read())
     shared = docs.sparkSession.sparkContext.broadcast(tuple(files))
     added = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
-    names = [*kept.columns, *added]
+    # Numbered, as a name with a dot does not pass into Python.
+    names = [f"c{k}" for k in range(len(kept.columns) + len(added))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(*shared.value)
@@ -188,9 +189,9 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     long = T.LongType()
     kinds = [long, long, long, long, T.StringType(), T.ArrayType(long), T.ArrayType(long)]
-    schema = T.StructType([*kept.schema.fields, *[T.StructField(n, k) for n, k in zip(added, kinds, strict=True)]])
-    text = free_name(kept, "text")
-    return docs.select(*every(kept), F.col("text").alias(text)).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, [*[f.dataType for f in kept.schema], *kinds], strict=True)])
+    given = docs.select(*every(kept), "text").toDF(*names[: len(kept.columns) + 1])
+    return given.mapInArrow(run, schema).toDF(*kept.columns, *added)
 
 
 def pair_counts(told: DataFrame) -> DataFrame:

@@ -223,5 +223,5 @@ def test_alignment_against_plain_loops(spark, most_pairs):
     frame = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, n_a string, `p.q` int").repartition(3)
     told = alignment.annotate(frame, *PATHS, most_pairs)
     assert told.columns == ["doc_id", "p.q", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    assert Counter(map(tuple, told.drop("`p.q`").collect())) == plain_alignment(docs)
+    assert Counter(map(tuple, told.drop("p.q").collect())) == plain_alignment(docs)
     assert alignment.annotate(frame.limit(0), *PATHS).count() == 0
