@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lapwise.functions.expressions import round_half_even
 from lapwise.plans import degradation, history, strategy
-from lapwise.sources import dims
 from lapwise.sources.staging import Staging
 
 
@@ -19,7 +18,6 @@ class Planning:
     lines: DataFrame
     medians: DataFrame
     models: DataFrame
-    scored: DataFrame
     best: DataFrame
     overstay: DataFrame
 
@@ -73,12 +71,9 @@ def plan_targets(
     )
     medians = degradation.fresh_laps(degradation.lap_time_counts(counts, tracks), scoped, lines)
     models = staging.table(degradation.compound_models(profiles, lines, medians), "models")
-    sequences = dims.stint_sequences(counts.sparkSession, max_stops)
-    candidates = strategy.candidate_plans(models, profiles, sequences, max_stops)
-    scored = strategy.score_plans(candidates, max_stops)
     return Planning(
-        profiles, lines, medians, models, scored,
-        strategy.best_plans(scored, top_k), degradation.overstay_table(models, profiles),
+        profiles, lines, medians, models,
+        strategy.fastest_plans(models, profiles, max_stops, top_k), degradation.overstay_table(models, profiles),
     )
 
 

@@ -289,16 +289,19 @@ def _flat_plans(df: DataFrame, *names: str) -> DataFrame:
     )
 
 
+def _candidates(t: Tables) -> DataFrame:
+    plan = planning(t, opened(t.spark))
+    return strategy.candidate_plans(plan.models, plan.profiles, dims.stint_sequences(t.spark))
+
+
 @query
 def candidate_plans(t: Tables) -> DataFrame:
-    plan = planning(t, opened(t.spark))
-    candidates = strategy.candidate_plans(plan.models, plan.profiles, dims.stint_sequences(t.spark))
-    return _flat_plans(candidates.withColumn("stops", F.col("stints") - 1))
+    return _flat_plans(_candidates(t).withColumn("stops", F.col("stints") - 1))
 
 
 @query
 def score_plans(t: Tables) -> DataFrame:
-    return _flat_plans(planning(t, opened(t.spark)).scored, "predicted_total_time_sec")
+    return _flat_plans(strategy.score_plans(_candidates(t)), "predicted_total_time_sec")
 
 
 @query

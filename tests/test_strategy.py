@@ -20,6 +20,17 @@ def search(spark, models, condition="dry", laps=57, max_stops=2):
     return strategy.score_plans(found, max_stops)
 
 
+def best_columns(rows):
+    return [(r["compounds"], r["stint_laps"], r["stops"], r["predicted_total_time_sec"], r["rank"]) for r in rows]
+
+
+def fastest(spark, models, condition="dry", laps=57, max_stops=2, top_k=5):
+    found = strategy.fastest_plans(
+        spark.createDataFrame(models, MODEL), spark.createDataFrame([(1, condition, laps, 5.0, 21.0)], PROFILE), max_stops, top_k
+    )
+    return best_columns(found.orderBy("rank").collect())
+
+
 def restated(models, condition, laps, max_stops=2):
     """Every plan, lap by lap, in generation order."""
     known = {m[1]: m for m in models}
@@ -68,6 +79,7 @@ def test_agrees_with_enumeration(spark, condition, models, laps, stops):
     times = {(tuple(c), tuple(l)): t for c, l, t in wanted}
     assert all(abs(times[tuple(c), tuple(l)] - t) <= 0.001 for c, l, t in found)
     best = strategy.best_plans(scored).orderBy("rank").collect()
+    assert fastest(spark, models, condition, laps, stops) == [tuple(r) for r in best_columns(best)]
     ranked = sorted(wanted, key=lambda p: p[2])[:5]
     assert [r["predicted_total_time_sec"] for r in best] == pytest.approx([p[2] for p in ranked], abs=0.001)
 
@@ -85,3 +97,47 @@ def test_one_dry_compound_gives_no_plan_but_one_wet_does(spark):
 def test_sequences_are_the_admissible_orders(spark):
     counts = {r["condition"]: r["count"] for r in dims.stint_sequences(spark).groupBy("condition").count().collect()}
     assert counts == {"dry": 30, "wet": 12, "mixed": 150}
+
+
+@pytest.mark.parametrize("top_k", [1, 5, 40])
+def test_search_keeps_the_order_of_equal_plans(spark, top_k):
+    """Alike compounds, some a fraction of a millisecond apart: nearly all plans are ties."""
+    models = [(1, c, w, 90.0 + d, 0.01) for c, w, d in (("SOFT", 12.0, 0.0), ("MEDIUM", 12.0, 0.00001), ("HARD", 14.0, 0.0))]
+    scored = search(spark, models, "dry", 38)
+    best = strategy.best_plans(scored, top_k).orderBy("rank").collect()
+    assert len(best) == top_k and fastest(spark, models, "dry", 38, 2, top_k) == best_columns(best)
+
+
+def test_six_stops_without_listing_sequences(spark, monkeypatch):
+    """5^7 orders of compounds: the search never lists them, and agrees with a plain search over its short stints."""
+    monkeypatch.setattr(dims, "stint_sequences", None)
+    models = [(1, c, 8.0, 90.0 + k / 8, 0.02 + k / 50) for k, c in enumerate(dims.POOLS["mixed"])]
+    found = fastest(spark, models, "mixed", 57, 6)
+    assert [r[4] for r in found] == [1, 2, 3, 4, 5]
+    known = {m[1]: m for m in models}
+
+    def time(compound, n):
+        return n * known[compound][3] + known[compound][4] * 5.0 * n * (n - 1) / 2
+
+    best = {0: [(0.0, 0, [], [])]}  # laps used -> plans, all of one length at a time
+    ended = []
+    for stint in range(7):
+        grown = {}
+        for used, plans in best.items():
+            for total, _, seq, lens in plans:
+                for code, c in enumerate(dims.POOLS["mixed"]):
+                    for n in range(5, 15, 2):
+                        if used + n < 57 and stint < 6:
+                            grown.setdefault(used + n, []).append((total + time(c, n), stint + 1, [*seq, code], [*lens, n]))
+                    if 5 <= 57 - used <= 14 and stint:
+                        n = 57 - used
+                        ended.append((round(total + time(c, n) + 21.0 * stint, 3), stint + 1, [*seq, code], [*lens, n]))
+        best = {used: sorted(plans)[:60] for used, plans in grown.items()}
+    assert [r[3] for r in found] == pytest.approx([p[0] for p in sorted(ended)[:5]], abs=0.001)
+    assert all(sum(r[1]) == 57 for r in found)
+
+
+def test_search_without_targets_or_finish(spark):
+    assert fastest(spark, DRY[:1]) == [] == fastest(spark, DRY, laps=400)
+    none = spark.createDataFrame([], MODEL)
+    assert strategy.fastest_plans(none, spark.createDataFrame([], PROFILE)).count() == 0
