@@ -206,12 +206,17 @@ def lap_counts(
     return count_laps(wet_flagged_laps(laps, weather, teams, ["Rainfall"], sessions))
 
 
-def count_laps(flagged: DataFrame) -> DataFrame:
-    return flagged.groupBy(*schemas.STINT, "TyreLife", "LapTimeSeconds", "IsWet").agg(
+def count_laps(flagged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return flagged.groupBy(*by, *schemas.STINT, "TyreLife", "LapTimeSeconds", "IsWet").agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
+def session_lap_counts(laps: DataFrame, weather: DataFrame, teams: DataFrame) -> DataFrame:
+    """``lap_counts`` with the round: rows that depend on their session alone, for ``SessionTable``."""
+    return count_laps(wet_flagged_laps(laps, weather, teams, ["Rainfall"]), ["RoundNumber"])
+
+
 def entrant_counts(counts: DataFrame, tracks: DataFrame) -> DataFrame:
     """Laps, wet laps and wet km per race, driver and team."""
     totals = counts.groupBy(*schemas.RACE, "Driver", "Team").agg(

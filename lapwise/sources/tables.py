@@ -97,15 +97,20 @@ def in_sessions(sessions: DataFrame) -> Column:
     return found
 
 
-def write_sessions(df: DataFrame, path: str, max_rows_per_file: int = 5_000_000) -> None:
+def write_sessions(
+    df: DataFrame, path: str, max_rows_per_file: int = 5_000_000, only_present: bool = False
+) -> None:
     """One folder per session, so race and season filters prune files.
 
+    ``only_present`` replaces the sessions that ``df`` has and leaves the others as they are.
+
     Rows are rebalanced by session: adaptive execution gathers small sessions and divides a session
     that holds a third of the rows among many tasks.  Long files are cut by row count.
     """
     (
         df.hint("rebalance", *schemas.SESSION)
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic" if only_present else "static")
         .option("maxRecordsPerFile", max_rows_per_file)
         .partitionBy(*schemas.SESSION)
         .parquet(path)

@@ -348,6 +348,7 @@ FINAL = {
     "asof_weather": f"SELECT {KEYS}, Year, RoundNumber, Time, {WEATHER} FROM clean_wx",
     "normalize_team": f"SELECT {LKEYS}, l.Team AS alias, coalesce(d.team, l.Team) AS Team FROM laps_raw l LEFT JOIN dim_team d ON l.Team = d.alias",
     "track_features": f"SELECT {LKEYS}, l.EventName, coalesce(t.track_type, 'Medium') AS TrackType, coalesce(t.length_km, 5.0)::DOUBLE AS TrackLengthKM, {r6('l.TyreLife * coalesce(t.length_km, 5.0)')} AS TyreLifeKM FROM laps_raw l LEFT JOIN dim_track t ON l.EventName = t.name",
+    "refreshed_counts": "SELECT Year, RoundNumber, EventName, Driver, Team, Stint, Compound, TyreLife, LapTimeSeconds, IsWet, count(*) AS n FROM hl GROUP BY ALL",
     "wet_flag": f"SELECT {KEYS}, Compound, Rainfall, IsWet FROM hl",
     "pace_baselines": f"SELECT {KEYS}, Team, {r6('FieldBaselinePace')} AS FieldBaselinePace, {r6('TeamBaselinePace')} AS TeamBaselinePace, {r6('RelativePace')} AS RelativePace FROM paced",
     "lap_features": f"SELECT {FEATURES} FROM features",

@@ -12,8 +12,9 @@ from lapwise.operators import baselines, filters, lookups
 from lapwise.plans import degradation, features, history, planner, scoring, strategy, training
 from lapwise.sources import dims
 from lapwise.sources.documents import write_json
+from lapwise.sources.incremental import SessionTable, Source
 from lapwise.sources.staging import Staging
-from lapwise.sources.tables import conform_laps, load_session, schema_profile
+from lapwise.sources.tables import conform_laps, load_session, read_laps, read_weather, schema_profile, write_sessions
 from testbed.tables import LAP_KEYS, TEST_AS_OF, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,6 +243,21 @@ def scope_level(t: Tables) -> DataFrame:
     return profiles.select("target_id", *schemas.TARGET_RACE, "driver", "team", "level")
 
 
+@query
+def refreshed_counts(t: Tables) -> DataFrame:
+    """Counts by session, derived from the races until 1997 and brought up to date when the others arrive."""
+    staging = opened(t.spark)
+    sources = {"laps": Source(staging.path("laps"), read_laps), "weather": Source(staging.path("weather"), read_weather)}
+    counts = SessionTable(
+        t.spark, staging.path("counts"), lambda laps, weather: history.session_lap_counts(laps, weather, t.teams)
+    )
+    write_sessions(t.weather, sources["weather"].path)
+    for arrived in (F.col("Year") <= 1997, F.col("Year") >= 1998):
+        write_sessions(t.laps.where(arrived), sources["laps"].path, only_present=True)
+        counts.refresh(sources)
+    return counts.read()
+
+
 # Degradation -------------------------------------------------------------------------------------
 
 
