@@ -345,6 +345,7 @@ FEATURES = (
 
 FINAL = {
     "clean_laps": f"SELECT Year, RoundNumber, EventName, Driver, Team, LapNumber, Stint, Compound, TyreLife, Time, LapTimeSeconds, {KEYS} FROM clean",
+    "asof_stored": f"SELECT {KEYS}, Year, RoundNumber, Time, {WEATHER} FROM clean_wx",
     "asof_weather": f"SELECT {KEYS}, Year, RoundNumber, Time, {WEATHER} FROM clean_wx",
     "normalize_team": f"SELECT {LKEYS}, l.Team AS alias, coalesce(d.team, l.Team) AS Team FROM laps_raw l LEFT JOIN dim_team d ON l.Team = d.alias",
     "track_features": f"SELECT {LKEYS}, l.EventName, coalesce(t.track_type, 'Medium') AS TrackType, coalesce(t.length_km, 5.0)::DOUBLE AS TrackLengthKM, {r6('l.TyreLife * coalesce(t.length_km, 5.0)')} AS TyreLifeKM FROM laps_raw l LEFT JOIN dim_track t ON l.EventName = t.name",

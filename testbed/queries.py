@@ -1,6 +1,7 @@
 """Registered queries: the engine over the test tables, flattened for comparison."""
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,11 +11,11 @@ from lapwise import schemas
 from lapwise.functions.expressions import round_half_even
 from lapwise.operators import baselines, filters, lookups
 from lapwise.plans import degradation, features, history, planner, scoring, strategy, training
-from lapwise.sources import dims
+from lapwise.sources import dims, sliced
 from lapwise.sources.documents import write_json
 from lapwise.sources.incremental import SessionTable, Source
 from lapwise.sources.staging import Staging
-from lapwise.sources.tables import conform_laps, load_session, read_laps, read_weather, schema_profile, write_sessions
+from lapwise.sources.tables import conform, conform_laps, load_session, schema_profile, write_sessions
 from testbed.tables import LAP_KEYS, TEST_AS_OF, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +107,15 @@ def asof_weather(t: Tables) -> DataFrame:
     return features.with_weather(laps, t.weather)
 
 
+@query
+def asof_stored(t: Tables) -> DataFrame:
+    """The same join over tables stored in common buckets."""
+    laps = filters.clean_laps(t.laps).select(*LAP_KEYS, *schemas.SESSION, "Time")
+    buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = sliced.store(laps, t.weather, f"lapwise_{uuid.uuid4().hex}", opened(t.spark).path("sliced"), buckets)
+    return sliced.asof_stored(t.spark, stored)
+
+
 @query
 def normalize_team(t: Tables) -> DataFrame:
     laps = t.laps.select(*LAP_KEYS, F.col("Team").alias("alias"), "Team")
@@ -247,7 +257,11 @@ def scope_level(t: Tables) -> DataFrame:
 def refreshed_counts(t: Tables) -> DataFrame:
     """Counts by session, derived from the races until 1997 and brought up to date when the others arrive."""
     staging = opened(t.spark)
-    sources = {"laps": Source(staging.path("laps"), read_laps), "weather": Source(staging.path("weather"), read_weather)}
+
+    def source(name: str, schema) -> Source:  # times as given, not held to milliseconds
+        return Source(staging.path(name), lambda spark, path: conform(spark.read.parquet(path), schema))
+
+    sources = {"laps": source("laps", schemas.LAPS), "weather": source("weather", schemas.WEATHER)}
     counts = SessionTable(
         t.spark, staging.path("counts"), lambda laps, weather: history.session_lap_counts(laps, weather, t.teams)
     )
