@@ -5,25 +5,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOMENTS = ["w", "wx", "wy", "wxx", "wxy"]
+#: Weight, means, and sums of squares and products about the means: what determines a line.
+MOMENTS = "struct<w:double,mx:double,my:double,cxx:double,cxy:double>"
 
 
-def line_moments(x: Column, y_sum: Column, n: Column, weight: Column) -> dict[str, Column]:
-    """Terms whose sums determine a weighted line, for ``n`` points at ``x`` with ``y_sum``.
+def point_moments(x: Column, y: Column, weight: Column) -> Column:
+    """Moments of a single point."""
+    zero = F.lit(0.0)
+    return F.struct(
+        weight.cast("double").alias("w"), x.cast("double").alias("mx"), y.cast("double").alias("my"), zero.alias("cxx"), zero.alias("cxy")
+    )
+
 
-    The weight multiplies residuals, so it enters the sums squared.
+def merged_moments(a: Column, b: Column) -> Column:
+    """Moments of two sets of points together.
+
+    Means are moved and not summed, so nothing cancels when points lie close together far from zero.
     """
-    w = weight * weight
-    return {"w": w * n, "wx": w * n * x, "wy": w * y_sum, "wxx": w * n * x * x, "wxy": w * x * y_sum}
+    w = a["w"] + b["w"]
+    share = F.when(w == 0, F.lit(0.0)).otherwise(b["w"] / F.when(w != 0, w))
+    dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
+    cross = a["w"] * share
+    return F.struct(
+        w.alias("w"), (a["mx"] + dx * share).alias("mx"), (a["my"] + dy * share).alias("my"),
+        (a["cxx"] + b["cxx"] + dx * dx * cross).alias("cxx"), (a["cxy"] + b["cxy"] + dx * dy * cross).alias("cxy"),
+    )
 
 
-def line_from_moments(total: dict[str, Column]) -> tuple[Column, Column]:
+def all_moments(parts: Column) -> Column:
+    """Moments of an array of moments; of none, all zero."""
+    nothing = F.struct(*[F.lit(0.0).alias(name) for name in ("w", "mx", "my", "cxx", "cxy")])
+    return F.aggregate(parts, nothing, merged_moments)
+
+
+def line(total: Column) -> tuple[Column, Column]:
     """(slope, intercept); NULL where no line is determined."""
-    slope = F.try_divide(
-        total["w"] * total["wxy"] - total["wx"] * total["wy"],
-        total["w"] * total["wxx"] - total["wx"] * total["wx"],
-    )
-    return slope, F.try_divide(total["wy"] - slope * total["wx"], total["w"])
+    slope = F.try_divide(total["cxy"], total["cxx"])
+    return slope, total["my"] - slope * total["mx"]
 
 
 def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: Column, name: str) -> DataFrame:

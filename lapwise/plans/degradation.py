@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lapwise import schemas
 from lapwise.functions.expressions import clamp_at_zero, round_half_even
-from lapwise.functions.weighted import MOMENTS, line_from_moments, line_moments, weighted_median
+from lapwise.functions.weighted import all_moments, line, point_moments, weighted_median
 from lapwise.operators.lookups import add_track, add_track_features
 from lapwise.sources.dims import WET_COMPOUNDS
 
@@ -96,19 +96,22 @@ def fit_lines(tyre_ages: DataFrame, scoped: DataFrame, strict: bool = False) ->
     """Line, tyre-age quantiles and row count per target race, scope and compound.
 
     Both row sets, all tracks and the target's kind of track, are summed in one pass and the
-    choice is made on the sums.  ``strict`` makes one lap without a delta zero the line, else such
+    choice is made on the sums.  The line comes from centred moments, merged point by point; a target has a
+    point per slice and tyre age, however many laps there are.  ``strict`` makes one lap without a delta zero the line, else such
     laps are left out of the fit.
     """
     same = F.col("TrackType") == F.col("target_type")
     fresh = F.col("TyreLife") <= FRESH_LAPS
     age = F.col("TyreLifeKM")
-    terms = line_moments(age, F.col("delta_sum"), F.col("n_delta"), F.col("weight"))
-    terms |= {
+    terms = {
         "rows": F.col("n"),
         "deltas": F.col("n_delta"),
         "fresh": F.when(fresh, F.col("n")).otherwise(F.lit(0)),
     }
-    measures = []
+    # The weight multiplies residuals, so it enters the sums squared.
+    point = point_moments(age, F.col("delta_sum") / F.col("n_delta"), F.col("weight") * F.col("weight") * F.col("n_delta"))
+    points = F.when(F.col("n_delta") > 0, F.struct(point.alias("moments"), same.alias("same")))
+    measures = [F.array_sort(F.collect_list(points)).alias("points")]
     for prefix, chosen in (("a_", F.lit(True)), ("s_", same)):
         kept = F.when(chosen, age)
         measures += [F.sum(F.when(chosen, t)).alias(prefix + name) for name, t in terms.items()]
@@ -127,9 +130,12 @@ def fit_lines(tyre_ages: DataFrame, scoped: DataFrame, strict: bool = False) ->
         name: F.when(F.col("same_track"), F.col("s_" + name)).otherwise(F.col("a_" + name))
         for name in [*terms, "least", "most", "ages"]
     }
-    chosen = sums.select(*FIT, "same_track", *[column.alias(name) for name, column in pick.items()])
-
-    slope, intercept = line_from_moments({name: F.col(name) for name in MOMENTS})
+    used = F.filter("points", lambda p: ~F.col("same_track") | p["same"])
+    chosen = sums.select(
+        *FIT, "same_track", all_moments(F.transform(used, lambda p: p["moments"])).alias("total"),
+        *[column.alias(name) for name, column in pick.items()],
+    )
+    slope, intercept = line(F.col("total"))
     fitted = (F.col("rows") >= MIN_FIT_ROWS) & (F.col("most") > F.col("least"))
     unusable = F.lit(strict) & (F.col("deltas") < F.col("rows"))
     return chosen.select(

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lapwise.functions.weighted import weighted_median
+from lapwise.functions.weighted import all_moments, line, merged_moments, point_moments, weighted_median
 from lapwise.plans import degradation, history
 from lapwise.sources import dims
 
@@ -48,6 +48,34 @@ def test_weights_multiply_residuals(spark):
     assert found["intercept_sec"] == pytest.approx(max(0.0, intercept), abs=1e-9)
 
 
+@pytest.mark.parametrize("far", [0.0, 1e6, -1e7])
+def test_lines_of_points_far_from_zero(spark, far):
+    """Ages that lie close together, far from zero: raw sums lose the slope there."""
+    draw = random.Random(3)
+    rows = [(k % 2, far + draw.random(), 5.0 + draw.random(), draw.choice([1.0, 2.5, 3.0])) for k in range(60)]
+    table = spark.createDataFrame(rows, "half int, x double, y double, w double")
+    points = F.collect_list(point_moments(F.col("x"), F.col("y"), F.col("w")))
+    halves = table.groupBy("half").agg(points.alias("points")).select(all_moments(F.col("points")).alias("m"))
+    # Merged from both halves, and from their own points.
+    both = halves.agg(F.collect_list("m").alias("m")).select(merged_moments(F.get("m", F.lit(0)), F.get("m", F.lit(1))).alias("m"))
+    whole = table.agg(points.alias("points")).select(all_moments(F.col("points")).alias("m"))
+    x, y, w = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+    slope, intercept = np.polyfit(x - far, y, 1, w=np.sqrt(w))
+    for found in (both, whole):
+        got = found.select(*line(F.col("m"))).first()
+        # Numbers near ``far`` are a ten-millionth of a billionth of it apart: that much of an age is lost before any sum.
+        assert got[0] == pytest.approx(slope, rel=1e-9 + abs(far) * 1e-14)
+        assert got[1] + got[0] * far == pytest.approx(intercept, rel=1e-6)
+
+
+def test_no_line_through_one_age_or_none(spark):
+    table = spark.range(1).select(
+        all_moments(F.array(*[point_moments(F.lit(3.0), F.lit(float(k)), F.lit(1.0)) for k in range(3)])).alias("one"),
+        all_moments(F.filter(F.array(point_moments(F.lit(1.0), F.lit(1.0), F.lit(1.0))), lambda _: F.lit(False))).alias("none"),
+    )
+    assert [table.select(line(F.col(c))[0]).first()[0] for c in ("one", "none")] == [None, None]
+
+
 def test_few_rows_or_one_tyre_age_take_the_default_slope(spark):
     few = models(spark, [lap(life=float(i), time=90.0 + i) for i in range(1, 6)])["SOFT"]
     flat = models(spark, [lap(life=4.0, time=90.0 + i) for i in range(8)])["SOFT"]
