@@ -1,8 +1,11 @@
 """Lap-time models: split, fit, evaluate, save, per era."""
 
+import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -21,6 +24,8 @@ ITERATIONS = 100
 LEARNING_RATE = 0.1
 VALIDATION_TENTHS = 1
 STOP_TOLERANCE = 1e-7
+#: Fits at a time: each keeps its rows on the executors.
+MOST_FITS = 4
 
 NATURAL_KEY = ["Year", "RoundNumber", "Driver", "LapNumber"]
 
@@ -125,16 +130,43 @@ def fit_lap_times(
         used.unpersist()
 
 
+def _folder(spark: SparkSession, path: str):
+    """The folder's Hadoop path and file system."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Published versions, oldest first, as their numbers and folders."""
+    _, files = _folder(spark, path)
+    marks = files.globStatus(_folder(spark, f"{path}/published/*")[0]) or []
+    names = sorted((int(m.getPath().getName().split("-")[0]), m.getPath().getName()) for m in marks)
+    return [(number, f"{path}/versions/{name}") for number, name in names]
+
+
 def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+    """Publishes a new version of the model; the one before stays whole, and is what readers get until then.
+
+    Each version has a folder of its own.  An empty file that names it is made last, which takes one step in any
+    file system.  Versions older than the one before are deleted.
+    """
+    spark = SparkSession.active()
+    folder, files = _folder(spark, path)
+    before = _versions(spark, path)
+    name = f"{before[-1][0] + 1 if before else 1:08d}-{uuid.uuid4().hex}"
+    model.write().save(f"{path}/versions/{name}")
+    files.create(_folder(spark, f"{path}/published/{name}")[0]).close()
+    for _, old in before[:-1]:
+        files.delete(_folder(spark, old.replace("/versions/", "/published/"))[0], False)
+        files.delete(_folder(spark, old)[0], True)
 
 
 def load_model(path: str) -> PipelineModel:
-    """A saved pipeline, or a clear error if there is none."""
-    try:
-        return PipelineModel.load(path)
-    except Exception as error:
-        raise FileNotFoundError(f"no lap-time model at {path}; train one first") from error
+    """The pipeline published last, or a clear error if there is none."""
+    versions = _versions(SparkSession.active(), path)
+    if not versions:
+        raise FileNotFoundError(f"no lap-time model at {path}; train one first")
+    return PipelineModel.load(versions[-1][1])
 
 
 def train_eras(
@@ -149,16 +181,25 @@ def train_eras(
 ) -> DataFrame:
     """One saved model per era with data; returns and needs one row per era.
 
-    ``features`` come from ``era_features`` and ``coverage`` from ``era_coverage``.  The loop is
-    over eras, a handful; each fit is a distributed job.
+    ``features`` come from ``era_features`` and ``coverage`` from ``era_coverage``.  Eras, a handful, are fit side by
+    side: a fit is many short jobs, and those of one era run while the driver plans those of another.  Each
+    era has a scheduler pool of its own name, so that with ``spark.scheduler.mode=FAIR`` they share executors
+    evenly.
     """
-    metrics = []
-    for era in [row["era"] for row in coverage.select("era").collect()]:
+
+    def train(era: str) -> tuple | None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", era)
         fit = fit_lap_times(features.where(F.col("era") == era), keys, iterations, early_stop=early_stop)
-        if fit is not None:
-            path = f"{output_dir}/{era}_model"
-            save_model(fit.model, path)
-            metrics.append((era, path, fit.rows, fit.features, fit.rmse, fit.spread))
+        if fit is None:
+            return None
+        path = f"{output_dir}/{era}_model"
+        save_model(fit.model, path)
+        return era, path, fit.rows, fit.features, fit.rmse, fit.spread
+
+    eras = [row["era"] for row in coverage.select("era").collect()]
+    with ThreadPoolExecutor(max(1, min(len(eras), MOST_FITS))) as threads:
+        jobs = [threads.submit(inheritable_thread_target(spark)(train), era) for era in eras]
+        metrics = [told for told in (job.result() for job in jobs) if told is not None]
     fitted = spark.createDataFrame(
         metrics, "era string, model_path string, rows long, features int, rmse double, spread double"
     )

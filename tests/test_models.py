@@ -1,4 +1,7 @@
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from lapwise import schemas
 from lapwise.plans import scoring, training
@@ -66,6 +69,60 @@ def test_saved_model_scores_unseen_categories_and_defaults(spark, fitted, tmp_pa
         training.load_model(str(tmp_path / "none"))
 
 
+def test_a_model_is_replaced_only_by_a_whole_one(spark, fitted, tmp_path, monkeypatch):
+    path = str(tmp_path / "model")
+    training.save_model(fitted.model, path)
+    uid = training.load_model(path).uid
+    other = training.fit_lap_times(feature_rows(spark, 60), iterations=1).model
+    write = other.write().save
+
+    def stopped(where):
+        write(where)
+        raise RuntimeError("stopped before it was published")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(type(other), "write", lambda self: type("Writer", (), {"save": staticmethod(stopped)}))
+        with pytest.raises(RuntimeError):
+            training.save_model(other, path)
+    assert training.load_model(path).uid == uid
+    for model in (other, fitted.model, other):
+        training.save_model(model, path)
+        assert training.load_model(path).uid == model.uid
+    assert len(list((tmp_path / "model" / "published").glob("[0-9]*"))) == 2
+
+
+def test_eras_are_fit_side_by_side(spark, tmp_path):
+    """Stages of one era start before those of the other have ended; results are those of fits one by one."""
+    rows = feature_rows(spark, 400)
+    eras = rows.withColumn("era", F.lit("a")).unionByName(rows.where("LapNumber < 40").withColumn("era", F.lit("b")))
+    coverage = spark.createDataFrame(
+        [(e, 2022, 2025, "has_data", 1, ["x"], ["y"]) for e in "abc"],
+        "era string, start_year int, end_year int, status string, rows long, loaded_events array<string>, failed_events array<string>",
+    )
+    pools, at_once, most = set(), [], []
+    fit = training.fit_lap_times
+
+    def watched(features, *args, **options):
+        pools.add(spark.sparkContext.getLocalProperty("spark.scheduler.pool"))
+        at_once.append(1)
+        most.append(len(at_once))
+        time.sleep(1)
+        try:
+            return fit(features, *args, **options)
+        finally:
+            at_once.pop()
+
+    training.fit_lap_times = watched
+    try:
+        runs = training.train_eras(spark, eras, coverage, "2024-01-01", str(tmp_path), iterations=2).collect()
+    finally:
+        training.fit_lap_times = fit
+    assert pools == {"a", "b", "c"} and max(most) > 1
+    told = {r["era"]: (r["status"], r["rows"], r["rmse"]) for r in runs}
+    alone = fit(eras.where("era = 'b'"), iterations=2)
+    assert told["b"] == ("trained", alone.rows, pytest.approx(alone.rmse, abs=1e-9)) and told["c"][0] == "no_data"
+
+
 def test_laps_that_lack_an_input_are_returned_without_a_prediction(spark, fitted):
     laps = spark.createDataFrame(
         [(1, 15.0, 5.0, None, "Ferrari"), (2, None, None, 1, "Ferrari"), (3, 15.0, 5.0, 1, None)],
