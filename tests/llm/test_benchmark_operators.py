@@ -225,3 +225,14 @@ def test_alignment_against_plain_loops(spark, most_pairs):
     assert told.columns == ["doc_id", "p.q", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert Counter(map(tuple, told.drop("p.q").collect())) == plain_alignment(docs)
     assert alignment.annotate(frame.limit(0), *PATHS).count() == 0
+
+
+def test_ranks_encode_like_the_library():
+    """Every 97th code point in each kind of neighbourhood, long words and blank runs on both sides of the limit."""
+    files = [open(path, "rb").read() for path in PATHS]
+    both = alignment.Aligner(*files)
+    assert both.fast is not None
+    code_points = [c for c in [*range(0x300), *range(0x300, 0x110000, 97)] if not 0xD800 <= c < 0xE000]
+    texts = [f" a{chr(c)}{chr(c)}1{chr(c)} {chr(c)}. {chr(c)}  {chr(c)}\n{chr(c)}'s{chr(c)}" for c in code_points]
+    for text in [*texts, "a" * 3000, " " * 999 + "x", "\n \t" * 2000 + "x", "<|endoftext|>"]:
+        assert both.encode_a(text).tolist() == both.a.encode(text, add_special_tokens=False).ids, repr(text[:40])
