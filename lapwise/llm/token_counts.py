@@ -17,6 +17,7 @@ import base64
 import math
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from lapwise.llm.common import ship, without
 MILLION = 1_000_000
 OFFSET = 100
 LONGEST_KEPT = 64
-MOST_NODES = 300_000
+#: About 200 bytes each, with the pre-tokens that end there.
+MOST_NODES = 800_000
 
 
 def scores(content: bytes) -> dict[bytes, int]:
@@ -43,44 +45,48 @@ class Trie:
     """Pre-tokens by bytes; a node is a number, node 0 the root."""
 
     def __init__(self, score: dict[bytes, int]) -> None:
-        self.score = score
         self.widest = max(map(len, score))
+        # The score of each piece, and 0 for each end of a piece that is none itself.
+        self.ends = {piece[k:]: 0 for piece in score for k in range(len(piece))} | score
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}
         self.best, self.count = array("q", [0]), array("i", [0])
 
-    def _step(self, word: bytes, end: int, best: list[int], count: list[int]) -> tuple[int, int]:
-        """Best score and fewest pieces of ``word[:end]`` from those of its prefixes."""
-        top, fewest = None, 0
-        score = self.score
-        for begin in range(max(0, end - self.widest), end):
-            s = score.get(word[begin:end])
-            if s is not None:
-                s += best[begin]
-                if top is None or s > top or s == top and count[begin] + 1 < fewest:
-                    top, fewest = s, count[begin] + 1
-        return top, fewest
-
     def insert(self, word: bytes) -> tuple[int, int]:
-        """Pieces and score of ``word``; nodes that exist are only read."""
+        """Pieces and score of ``word``: nodes that exist are only read, the others are computed from those above.
+
+        Ends of a prefix are looked up from the shortest on, and no further than some piece has them: mostly a few
+        bytes, where the longest piece has dozens.
+        """
         best, count, node = [0], [0], 0
+        child, ends = self.child, self.ends
+        for byte in word:
+            below = child.get(node << 8 | byte)
+            if below is None:
+                break
+            node = below
+            best.append(self.best[node])
+            count.append(self.count[node])
         keep = len(word) <= LONGEST_KEPT
-        for end in range(1, len(word) + 1):
-            key = node << 8 | word[end - 1]
-            node = self.child.get(key, -1) if node >= 0 else -1
-            if node >= 0:
-                best.append(self.best[node])
-                count.append(self.count[node])
-                continue
-            s, c = self._step(word, end, best, count)
-            best.append(s)
-            count.append(c)
+        for end in range(len(best), len(word) + 1):
+            top, fewest = None, 0
+            for begin in range(end - 1, max(0, end - self.widest) - 1, -1):
+                s = ends.get(word[begin:end])
+                if s is None:
+                    break
+                if s:
+                    s += best[begin]
+                    if top is None or s > top or s == top and count[begin] + 1 < fewest:
+                        top, fewest = s, count[begin] + 1
+            best.append(top)
+            count.append(fewest)
             if keep:
-                node = self.child[key] = len(self.best)
-                self.best.append(s)
-                self.count.append(c)
+                key, node = node << 8 | word[end - 1], len(self.best)
+                child[key] = node
+                self.best.append(top)
+                self.count.append(fewest)
         return count[-1], best[-1]
 
 
@@ -128,8 +134,8 @@ def annotate(docs: DataFrame, path: str) -> DataFrame:
                 pieces, sizes = pre_tokens(model.scanner, texts)
                 told = list(map(model.__getitem__, pieces))
                 total = np.zeros((len(pieces) + 1, 2), np.int64)
-                if told:
-                    np.cumsum(np.array(told, np.int64), 0, out=total[1:])
+                flat = np.fromiter(chain.from_iterable(told), np.int64, 2 * len(told))
+                np.cumsum(flat.reshape(-1, 2), 0, out=total[1:])
                 ends = np.concatenate(([0], np.cumsum(sizes)))
                 sums = total[ends[1:]] - total[ends[:-1]]
                 part = batch.slice(done, len(texts))

@@ -113,6 +113,8 @@ def test_trie_counts_like_a_plain_split_of_each_word(library):
     words = [("".join(draw.choices("thering ouñ1", k=draw.randint(1, 14)))).encode() for _ in range(1500)]
     for word in words + words[:50] + [b"abc" * 60]:
         assert trie.insert(word) == best_split(word, score)
+        nodes = len(trie.best)
+        assert trie.insert(word) == best_split(word, score) and len(trie.best) == nodes
 
 
 def test_token_counts_of_every_row(spark, library, monkeypatch):
