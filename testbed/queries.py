@@ -453,7 +453,7 @@ def one_race_model(t: Tables) -> DataFrame:
     """A model of one race alone; only its laps and weather are read."""
     laps, weather = load_session(t.laps, t.weather, *ONE_RACE)
     rows = features.lap_features(laps, weather, t.teams, t.tracks, keep=LAP_KEYS)
-    fit = training.fit_lap_times(rows, LAP_KEYS, FEW_ROUNDS, always_split=True)
+    fit = training.fit_lap_times(rows, LAP_KEYS, always_split=True)
     return t.spark.createDataFrame(
         [(*ONE_RACE, fit.rows, fit.features, fit.rmse is not None)],
         "Year int, EventName string, rows long, features int, has_rmse boolean",
