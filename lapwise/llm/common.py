@@ -4,10 +4,13 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -121,3 +124,20 @@ def row_key(*columns: str | Column) -> Column:
     texts = [F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns]
     marked = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
     return F.unhex(F.md5(F.concat(*marked).cast("binary")))
+
+
+def carried(df: DataFrame, n: int, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: T.StructType) -> DataFrame:
+    """``df`` mapped in Arrow batches by ``run``, which keeps the first ``n`` columns and puts ``added`` after them.
+
+    Columns are numbered on the way, as a name with a dot does not pass into Python.
+    """
+    names = [f"c{k}" for k in range(n + len(added))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+
+    fields = [*df.schema.fields[:n], *added.fields]
+    schema = T.StructType([T.StructField(name, f.dataType) for name, f in zip(names, fields, strict=True)])
+    numbered = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return numbered.mapInArrow(renamed, schema).toDF(*[f.name for f in fields])

@@ -273,12 +273,38 @@ def test_repeated_passages_like_a_scan_of_all_windows(spark, monkeypatch):
         want[doc, len(w), len(gone), bytes(kept)] += 1
     monkeypatch.setattr(substrings, "SHARD_WORDS", 500)
     monkeypatch.setattr(substrings, "VISIT_WORDS", 300)
+    monkeypatch.setattr(substrings, "PIECE_WORDS", 40)
     out = substrings.deduplicate(frame(spark, rows))
     assert out.columns == ["doc_id", "source", "kept", "n_words", "n_removed", "kept_text"]
     assert Counter((r.doc_id, r.n_words, r.n_removed, bytes(r.kept_text)) for r in out.collect()) == want
     assert sum(n for (_, _, n, _) in want) > 3000
 
 
+def test_rows_that_share_an_id_are_judged_each_on_its_own_text(spark):
+    words = lambda stem, n: " ".join(f"{stem}{k}" for k in range(n))
+    passage, other = words("p", 60), words("q", 70)
+    rows = [(1, passage, 1, "a"), (5, f"{passage} more", 2, "b"), (5, other, 3, "c"), (6, f"{other} end", 4, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, `kept.from` string")
+    out = substrings.deduplicate(docs)
+    assert out.columns == ["doc_id", "kept.from", "n_words", "n_removed", "kept_text"]
+    got = {(r[0], r[1], r[2], r[3], bytes(r[4])) for r in out.collect()}
+    assert got == {
+        (1, "a", 60, 0, passage.encode()), (5, "b", 61, 60, b"more"), (5, "c", 70, 0, other.encode()), (6, "d", 71, 70, b"end"),
+    }
+
+
+def test_a_long_reference_is_dealt_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 500)
+    monkeypatch.setattr(substrings, "PIECE_WORDS", 400)
+    text = " ".join(f"w{k}" for k in range(20_000))
+    parts = []
+    monkeypatch.setattr(substrings, "written", lambda df: parts.append(df) or df)
+    out = {r.doc_id: r.n_removed for r in substrings.deduplicate(frame(spark, [(1, text, "s", "k"), (2, text, "s", "k")])).collect()}
+    assert out == {1: 0, 2: 20_000}
+    pieces = parts[1].where("doc_id = ref").groupBy("piece").agg(F.sum(F.expr("last - first + 1")).alias("n")).collect()
+    assert len(pieces) == 50 and max(r.n for r in pieces) < 600
+
+
 def test_equal_windows_have_equal_anchors():
     draw = random.Random(6)
     w = [str(draw.randrange(50)).encode() for _ in range(400)]
