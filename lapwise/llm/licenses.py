@@ -4,8 +4,9 @@ Words are runs of ASCII letters and digits and of all characters beyond ASCII, w
 document is searched as its words joined by single spaces.  A notice may be matched with up to k edits
 (one for every ten of its characters, none for very short ones).  Cut in k + 1 pieces, any such match holds one
 piece unchanged, so finding the pieces finds every place worth a look.  There, columns of the edit distance, one bit
-for each character of the notice, give the word ends at which a match can end, and from these, read backwards, the
-words at which it starts; spans are reported in words.  Base phrases are also searched with no edits, which is one
+for each character of the notice, give the ranges of words worth matching and how many edits each needs.  From the
+fewest edits on, the regex library matches the notice in such a range with that error bound and no more, which keeps
+long notices with many edits cheap; its edits and spans are what is reported, spans in words.  Base phrases are also searched with no edits, which is one
 piece, the phrase itself between word ends.
 
 Defined results: null and empty texts have no words and no matches; a match with edits that overlaps one of the
@@ -15,15 +16,16 @@ empty table gives an empty one; input columns named like an added one are replac
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import accumulate
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapwise.llm.common import ship, without
+from lapwise.llm.common import carried, every, free_name, ship, without
 
 #: Phrases and their labels.
 PHRASES = {
@@ -93,6 +95,7 @@ class Notice:
     text: bytes
     label: str
     edits: int
+    patterns: dict[int, regex.Pattern] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         cuts = [len(self.text) * k // (self.edits + 1) for k in range(self.edits + 2)]
@@ -116,8 +119,8 @@ class Notice:
                 joined.append((begin, end))
         return joined
 
-    def matches(self, flat: bytes) -> Iterator[tuple[int, int, int]]:
-        """Start, end and edits of all matches between word ends, overlapping ones too."""
+    def candidates(self, flat: bytes) -> Iterator[tuple[int, int, int]]:
+        """Start, end and distance of all ranges between word ends within the edits, overlapping ones too."""
         size = len(self.text)
         for begin, end in self.windows(flat):
             for at, edits in enumerate(distances(self.bits, size, flat[begin:end], anywhere=True), begin + 1):
@@ -128,6 +131,14 @@ class Notice:
                             yield at - back, at, d
 
 
+    def match(self, flat: bytes, begin: int, end: int, edits: int) -> tuple[int, int, int] | None:
+        """Start, end and edits of the regex library's match of a range with at most ``edits`` errors."""
+        if edits not in self.patterns:
+            self.patterns[edits] = regex.compile(b"(?:%s){e<=%d}" % (regex.escape(self.text, literal_spaces=True), edits))
+        told = self.patterns[edits].fullmatch(flat, begin, end)
+        return told and (*told.span(), sum(told.fuzzy_counts))
+
+
 def notices(given: dict[str, str] = NOTICES) -> list[Notice]:
     return [Notice(t.encode(), label, len(t) // CHARS_PER_EDIT) for t, label in given.items()]
 
@@ -145,7 +156,7 @@ def scan(found: list[bytes], phrases: dict[str, str], fuzzy: list[Notice]) -> li
     flat = b" " + b" ".join(found) + b" "
     out: list[tuple[str, str, bool, int, int, int]] = []
     spans = [(phrase.encode(), label, m) for phrase, label in phrases.items() for m in _exact(flat, phrase.encode())]
-    near = [(n, m) for n in fuzzy for m in n.matches(flat)]
+    near = [(n, c) for n in fuzzy for c in n.candidates(flat)]
     if not spans and not near:
         return out
     starts = list(accumulate((len(w) + 1 for w in found), initial=1))
@@ -158,10 +169,12 @@ def scan(found: list[bytes], phrases: dict[str, str], fuzzy: list[Notice]) -> li
     for phrase, label, at in spans:
         first = bisect_left(starts, at)
         take(label, phrase, True, first, first + phrase.count(b" ") + 1, 0)
-    loose = [(edits, bisect_left(starts, begin), bisect_left(starts, end), n) for n, (begin, end, edits) in near]
-    for edits, first, last, n in sorted(loose, key=lambda x: (x[0], x[1], -x[2], x[3].text)):
+    loose = [(edits, bisect_left(starts, begin), bisect_left(starts, end), n, begin, end) for n, (begin, end, edits) in near]
+    for edits, first, last, n, begin, end in sorted(loose, key=lambda x: (x[0], x[1], -x[2], x[3].text)):
         if n.label not in taken or taken[n.label].find(1, first, last) < 0:
-            take(n.label, n.text, False, first, last, edits)
+            told = n.match(flat, begin, end, edits)
+            if told is not None:
+                take(n.label, n.text, False, bisect_left(starts, told[0]), bisect_left(starts, told[1]), told[2])
     return sorted(out, key=lambda o: (o[3], o[4], o[1]))
 
 
@@ -170,7 +183,6 @@ def annotate(docs: DataFrame, phrases: dict[str, str] = PHRASES, given: dict[str
     first_word, after_word, edits), by first word."""
     ship(docs.sparkSession)
     kept = without(docs.drop("text"), ["n_words", "matches"])
-    names = [*kept.columns, "n_words", "matches"]
     match = pa.struct([
         ("label", pa.string()), ("notice", pa.string()), ("base", pa.bool_()), ("first_word", pa.int64()),
         ("after_word", pa.int64()), ("edits", pa.int32()),
@@ -185,19 +197,18 @@ def annotate(docs: DataFrame, phrases: dict[str, str] = PHRASES, given: dict[str
                 words = searched(text.as_py())
                 counts.append(len(words))
                 found.append([dict(zip(keys, m, strict=True)) for m in scan(words, phrases, fuzzy)] if words else [])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(found, pa.list_(match))], names=names
-            )
+            columns = [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(found, pa.list_(match))]
+            yield pa.RecordBatch.from_arrays(columns, names=[str(k) for k in range(len(columns))])
 
-    schema = T.StructType([
-        *kept.schema.fields, T.StructField("n_words", T.LongType()),
+    added = T.StructType([
+        T.StructField("n_words", T.LongType()),
         T.StructField("matches", T.ArrayType(T.StructType([
             T.StructField("label", T.StringType()), T.StructField("notice", T.StringType()),
             T.StructField("base", T.BooleanType()), T.StructField("first_word", T.LongType()),
             T.StructField("after_word", T.LongType()), T.StructField("edits", T.IntegerType()),
         ]))),
     ])
-    return docs.select(*[docs[c] for c in kept.columns], docs["text"].cast("binary").alias("__text")).mapInArrow(run, schema)
+    return carried(docs.select(*every(kept), F.col("text").cast("binary")), len(kept.columns), run, added)
 
 
 def summarised(told: DataFrame) -> DataFrame:
@@ -206,12 +217,14 @@ def summarised(told: DataFrame) -> DataFrame:
     base = F.filter("matches", lambda m: m["base"])
     joined = lambda ms: F.array_join(F.array_sort(F.array_distinct(F.transform(ms, lambda m: m["label"]))), ",")
     worth = F.transform("matches", lambda m: 1 - m["edits"] / F.length(m["notice"]))
-    return told.withColumn("__base", base).select(
-        *[c for c in told.columns if c != "matches"],
-        F.size("__base").cast("long").alias("n_base"),
-        F.array_min(F.transform("__base", lambda m: m["first_word"])).alias("first_word"),
-        F.array_max(F.transform("__base", lambda m: m["first_word"])).alias("last_word"),
-        joined(F.col("__base")).alias("base_labels"),
+    name = free_name(told, "base")
+    kept = every(without(told, ["n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]))
+    return told.withColumn(name, base).select(
+        *kept,
+        F.size(name).cast("long").alias("n_base"),
+        F.array_min(F.transform(name, lambda m: m["first_word"])).alias("first_word"),
+        F.array_max(F.transform(name, lambda m: m["first_word"])).alias("last_word"),
+        joined(F.col(name)).alias("base_labels"),
         joined(F.col("matches")).alias("labels"),
         F.coalesce(F.array_max(worth), F.lit(0.0)).alias("score"),
     )

@@ -155,6 +155,22 @@ def test_license_spans(spark):
     assert all((r.score == 1.0) == (r.n_base > 0) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_license_columns_with_dots_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "mit license", 7, "x", 0.5)], "doc_id long, text string, `a.b` int, __base string, score double")
+    out = licenses.summarised(licenses.annotate(docs))
+    assert out.columns == [
+        "doc_id", "a.b", "__base", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+    ]
+    assert tuple(out.first()) == (1, 7, "x", 2, 1, 0, 0, "mit", "mit", 1.0)
+
+
+def test_the_regex_library_decides_on_candidates(monkeypatch):
+    words = licenses.searched(b"a mit licence b")
+    assert [t[:2] + t[3:] for t in licenses.scan(words, {}, licenses.notices())] == [("mit", "mit license", 1, 3, 1)]
+    monkeypatch.setattr(licenses.Notice, "match", lambda *_: None)
+    assert licenses.scan(words, {}, licenses.notices()) == []
+
+
 def edit_distance(a: bytes, b: bytes) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
