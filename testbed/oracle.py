@@ -369,6 +369,11 @@ FROM eras e LEFT JOIN event_status s ON e.era = s.era GROUP BY ALL""",
     "history_fallback": "SELECT * FROM fallback",
     "race_condition": f"SELECT target_year, target_round, target_event, history_rows, {r6('wet_share')} AS wet_share, inferred_condition FROM conditions",
     "wet_experience": f"SELECT target_id, {r6('wet_experience_km')} AS wet_experience_km FROM experience",
+    "pace_quantiles": "SELECT Year, Compound, count(pace) AS rows, " + ", ".join(
+        f"{r6(f'quantile_cont(pace, {q})')} AS {name}"
+        for name, q in [("p01", 0.01), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p99", 0.99)]
+    ) + " FROM (SELECT Year, Compound, LapTimeSeconds / coalesce(t.length_km, 5.0)::DOUBLE AS pace"
+    " FROM clean l LEFT JOIN dim_track t ON l.EventName = t.name) WHERE pace IS NOT NULL GROUP BY ALL",
     "lap_delta": f"SELECT {KEYS}, {r6('fastest')} AS StintBaseline, {r6('LapTimeSeconds - fastest')} AS LapDelta FROM stint_laps",
     "scope_level": "SELECT target_id, target_year, target_round, driver, team, level FROM profiles",
     "wls_degradation": f"SELECT {FIT}, {r6('slope')} AS slope, {r6('intercept')} AS intercept, n AS sample_size FROM lines",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwise import schemas
+from lapwise.functions import selection
 from lapwise.functions.expressions import round_half_even
 from lapwise.operators import baselines, filters, lookups
 from lapwise.plans import degradation, features, history, planner, scoring, strategy, training
@@ -373,6 +374,15 @@ def plan_document(t: Tables) -> DataFrame:
     return read.select("target_id", "status", *_flat_document("document"))
 
 
+@query
+def pace_quantiles(t: Tables) -> DataFrame:
+    """Quartiles and tails of seconds per kilometre, which are not rounded, by season and compound."""
+    laps = filters.clean_laps(t.laps).select("Year", "Compound", "EventName", "LapTimeSeconds")
+    paced = lookups.add_track(laps, t.tracks).withColumn("pace", F.col("LapTimeSeconds") / F.col("TrackLengthKM"))
+    wanted = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
+    return rounded(selection.exact_quantiles(paced, ["Year", "Compound"], "pace", wanted, opened(t.spark)), *wanted)
+
+
 # Models ------------------------------------------------------------------------------------------
 
 
