@@ -51,20 +51,12 @@ def score_laps(
 ) -> DataFrame:
     """``to_score`` features with ``prediction``, the lap time in seconds.  No shuffle.
 
-    A row that lacks a numeric input is kept: its prediction is NULL and ``missing`` names what it
-    lacks, comma-separated.  ``missing`` is empty for the others.
+    A row that lacks a numeric input is predicted with the training rows' median in its place, and ``missing``
+    names what it lacks, comma-separated.  ``missing`` is empty for the others.
     """
     features = scoring_features(to_score, teams, tracks)
     lacking = F.concat_ws(",", *[F.when(F.col(c).isNull(), c) for c in schemas.NUMERIC])
-    given = features.select(
-        *[c for c in features.columns if c not in schemas.NUMERIC],
-        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in schemas.NUMERIC],
-        F.struct(*schemas.NUMERIC).alias("_given"), lacking.alias("missing"),
-    )
-    return model.transform(given).select(
-        *[F.col(f"_given.{c}").alias(c) if c in schemas.NUMERIC else c for c in features.columns],
-        F.when(F.col("missing") == "", F.col("prediction")).alias("prediction"), "missing",
-    )
+    return model.transform(features.withColumn("missing", lacking)).select(*features.columns, "prediction", "missing")
 
 
 def score_laps_by_era(

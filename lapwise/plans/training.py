@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +54,8 @@ def lap_time_pipeline(
     """Encoders and boosted trees in one pipeline, so scoring needs no list of columns.
 
     An unseen or missing category becomes an all-zero vector: the indexer gives it one extra index
-    and the encoder drops the last.  With ``early_stop`` no more trees are added after the first round
+    and the encoder drops the last.  A missing number goes the way of the training rows' median, which at a split is
+    that of most rows; whether it was missing is no feature, as training rows are complete.  With ``early_stop`` no more trees are added after the first round
     that does not lower the error on the validation rows by a ten-millionth, a patience of one round.
     """
     trees = GBTRegressor(
@@ -65,6 +66,7 @@ def lap_time_pipeline(
         trees = trees.setParams(
             validationIndicatorCol="is_validation", validationTol=STOP_TOLERANCE
         )
+    filled = [f"{c}Filled" for c in schemas.NUMERIC]
     indexed = [f"{c}Index" for c in schemas.CATEGORICAL]
     encoded = [f"{c}Vector" for c in schemas.CATEGORICAL]
     return Pipeline(
@@ -74,7 +76,8 @@ def lap_time_pipeline(
                 stringOrderType="alphabetAsc",
             ),
             OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),
-            VectorAssembler(inputCols=[*schemas.NUMERIC, *encoded], outputCol="features"),
+            Imputer(inputCols=schemas.NUMERIC, outputCols=filled, strategy="median"),
+            VectorAssembler(inputCols=[*filled, *encoded], outputCol="features"),
             trees,
         ]
     )

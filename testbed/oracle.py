@@ -407,17 +407,23 @@ FROM eras e LEFT JOIN (
  0.0::DOUBLE AS RelativePace,
  concat_ws(',', CASE WHEN LapNumber IS NULL THEN 'LapNumber' END, CASE WHEN TyreLife IS NULL THEN 'TyreLife,TyreLifeKM' END,
   CASE WHEN Stint IS NULL THEN 'Stint' END) AS missing,
- LapNumber IS NOT NULL AND TyreLife IS NOT NULL AND Stint IS NOT NULL AS has_prediction
+ true AS has_prediction
 FROM laps_raw l LEFT JOIN dim_team d ON l.Team = d.alias LEFT JOIN dim_track t ON l.EventName = t.name""",
     "score_laps_by_era": f"""SELECT {KEYS}, Year AS year,
  CASE WHEN Year <= 1997 THEN 'early' WHEN Year <= 1999 THEN 'middle' END AS era,
  concat_ws(',', CASE WHEN LapNumber IS NULL THEN 'LapNumber' END, CASE WHEN TyreLife IS NULL THEN 'TyreLife,TyreLifeKM' END,
   CASE WHEN Stint IS NULL THEN 'Stint' END) AS missing,
- LapNumber IS NOT NULL AND TyreLife IS NOT NULL AND Stint IS NOT NULL AS has_prediction FROM laps_raw""",
+ true AS has_prediction FROM laps_raw""",
     "one_race_model": f"""SELECT 1997 AS Year, 'Event 05' AS EventName, count(*) AS rows,
  CAST(12 + count(DISTINCT Driver) FILTER (fitted) + count(DISTINCT Team) FILTER (fitted)
   + count(DISTINCT Compound) FILTER (fitted) + count(DISTINCT TrackType) FILTER (fitted) AS INT) AS features, true AS has_rmse
 FROM (SELECT *, {NUMBER} % 100 >= 20 AS fitted FROM features WHERE Year = 1997 AND EventName = 'Event 05')""",
+    "one_driver_model": f"""SELECT 1997 AS Year, 'Event 05' AS EventName, count(*) AS rows,
+ CAST(12 + count(DISTINCT Driver) FILTER (fitted) + count(DISTINCT Team) FILTER (fitted)
+  + count(DISTINCT Compound) FILTER (fitted) + count(DISTINCT TrackType) FILTER (fitted) AS INT) AS features, count(*) >= 50 AS has_rmse
+FROM (SELECT *, count(*) OVER () < 50 OR {NUMBER} % 100 >= 20 AS fitted FROM features
+ WHERE Year = 1997 AND EventName = 'Event 05'
+ AND Driver = (SELECT min(Driver) FROM laps_raw WHERE Year = 1997 AND EventName = 'Event 05'))""",
     "lap_and_plan": "SELECT *, true AS has_prediction FROM documents",
 }
 

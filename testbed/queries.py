@@ -386,7 +386,6 @@ def pace_quantiles(t: Tables) -> DataFrame:
 # Models ------------------------------------------------------------------------------------------
 
 
-FEW_ROUNDS = 3
 ONE_RACE = (1997, "Event 05")
 
 
@@ -446,15 +445,17 @@ def score_laps(t: Tables) -> DataFrame:
 def score_laps_by_era(t: Tables) -> DataFrame:
     """Every lap scored once by the model of its era.  Two eras overlap, and one has no model."""
     eras = t.eras.unionByName(dims.literal_table(t.spark, [("middle", 1997, 1999)], t.eras.columns))
-    table = opened(t.spark).table(feature_table(t), "features")
-    fits = [
-        training.fit_lap_times(table.where(years), LAP_KEYS, FEW_ROUNDS).model
-        for years in (F.col("Year") <= 1997, F.col("Year") >= 1998)
-    ]
-    laps = _all_laps_to_score(t, F.col("Year").alias("year"))
-    scored = scoring.score_laps_by_era(
-        {"early": fits[0], "middle": fits[1]}, fits[1], laps, eras, t.teams, t.tracks
+    staging = opened(t.spark)
+    era = F.when(F.col("Year") <= 1997, "early").otherwise("middle")
+    table = staging.table(feature_table(t).withColumn("era", era), "features")
+    nothing = F.array().cast("array<string>")
+    coverage = eras.where(F.col("era").isin("early", "middle")).select(
+        "*", F.lit(0).alias("rows"), F.lit("has_data").alias("status"), nothing.alias("loaded_events"), nothing.alias("failed_events")
     )
+    runs = training.train_eras(t.spark, table, coverage, TEST_AS_OF, staging.path("models"), LAP_KEYS)
+    models = {row["era"]: training.load_model(row["model_path"]) for row in runs.select("era", "model_path").collect()}
+    laps = _all_laps_to_score(t, F.col("Year").alias("year"))
+    scored = scoring.score_laps_by_era(models, models["middle"], laps, eras, t.teams, t.tracks)
     return scored.select(*LAP_KEYS, "year", "era", "missing", F.col("prediction").isNotNull().alias("has_prediction"))
 
 
@@ -470,6 +471,19 @@ def one_race_model(t: Tables) -> DataFrame:
     )
 
 
+@query
+def one_driver_model(t: Tables) -> DataFrame:
+    """A model of one driver's laps in one race: below 50 laps, all are fitted and no error is measured."""
+    laps, weather = load_session(t.laps, t.weather, *ONE_RACE)
+    first = laps.agg(F.min("Driver").alias("Driver"))
+    rows = features.lap_features(laps, weather, t.teams, t.tracks, keep=LAP_KEYS).join(first, "Driver")
+    fit = training.fit_lap_times(rows, LAP_KEYS)
+    return t.spark.createDataFrame(
+        [(*ONE_RACE, fit.rows, fit.features, fit.rmse is not None)],
+        "Year int, EventName string, rows long, features int, has_rmse boolean",
+    )
+
+
 @query
 def lap_and_plan(t: Tables) -> DataFrame:
     """A predicted lap and a plan for every target, in one document, flattened."""

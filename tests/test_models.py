@@ -123,14 +123,23 @@ def test_eras_are_fit_side_by_side(spark, tmp_path):
     assert told["b"] == ("trained", alone.rows, pytest.approx(alone.rmse, abs=1e-9)) and told["c"][0] == "no_data"
 
 
-def test_laps_that_lack_an_input_are_returned_without_a_prediction(spark, fitted):
+def test_laps_that_lack_an_input_are_predicted_as_if_it_were_the_median(spark, fitted):
     laps = spark.createDataFrame(
-        [(1, 15.0, 5.0, None, "Ferrari"), (2, None, None, 1, "Ferrari"), (3, 15.0, 5.0, 1, None)],
+        [(1, 15.0, 5.0, None, "Ferrari"), (2, None, None, 1, "Ferrari"), (3, 15.0, 5.0, 1, None), (4, 15.0, 5.0, 1, "Ferrari")],
         "id int, lap_number double, tyre_life_laps double, stint int, team string",
     ).selectExpr("*", "'SOFT' AS compound", "'D1' AS driver", "'X' AS track_name")
-    scored = scoring.score_laps(fitted.model, laps, dims.team_names(spark), dims.circuits(spark))
-    told = {r["id"]: (r["missing"], r["prediction"] is None, r["LapNumber"]) for r in scored.collect()}
-    assert told == {1: ("Stint", True, 15.0), 2: ("LapNumber,TyreLife,TyreLifeKM", True, None), 3: ("", False, 15.0)}
+    args = (dims.team_names(spark), dims.circuits(spark))
+    told = {r["id"]: r for r in scoring.score_laps(fitted.model, laps, *args).collect()}
+    assert {k: (r["missing"], r["LapNumber"]) for k, r in told.items()} == {
+        1: ("Stint", 15.0), 2: ("LapNumber,TyreLife,TyreLifeKM", None), 3: ("", 15.0), 4: ("", 15.0),
+    }
+    assert told[1]["prediction"] == told[4]["prediction"]  # every training lap has stint 1
+    medians = fitted.model.stages[2].surrogateDF.first().asDict()
+    # Rows 0 to 399 of the fixture, less the test laps: ages spread over 1 to 25 laps.
+    assert 11 <= medians["TyreLife"] <= 15 and medians["TyreLifeKM"] == 5.0 * medians["TyreLife"]
+    full = scoring.scoring_features(laps.where("id = 4"), *args).drop("LapNumber", "TyreLife", "TyreLifeKM")
+    by_hand = full.selectExpr("*", *[f"{medians[c]}D AS {c}" for c in ("LapNumber", "TyreLife", "TyreLifeKM")])
+    assert fitted.model.transform(by_hand).first()["prediction"] == told[2]["prediction"]
 
 
 def test_the_fit_does_not_depend_on_row_count_unless_asked(spark):
