@@ -36,10 +36,14 @@ def _scope_struct(level: str):
     )
 
 
-def _to_scopes(df: DataFrame) -> DataFrame:
-    """Each row once for its driver, once for its team and once for everyone."""
+def _to_scopes(df: DataFrame, *by: str) -> DataFrame:
+    """Each row once for its driver, once for its team and once for everyone.
+
+    Rows are dealt out by race, compound and ``by`` before.  A sum by these and the scope then stays in its
+    partition, so a row crosses the network once and not once for each level.
+    """
     levels = F.array(*[_scope_struct(level) for level in ("driver", "team", "all")])
-    return df.select("*", F.inline(levels))
+    return df.repartition(*schemas.RACE, "Compound", *by).select("*", F.inline(levels))
 
 
 def tyre_age_sums(counts: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -61,7 +65,7 @@ def tyre_age_sums(counts: DataFrame, tracks: DataFrame) -> DataFrame:
         F.when(has_delta, F.col("n")).otherwise(F.lit(0)).alias("n_delta"),
         F.when(has_delta, F.col("_time") - F.col("n") * F.col("_base")).otherwise(F.lit(0.0)).alias("delta_sum"),
     )
-    sums = _to_scopes(per_stint).groupBy(*schemas.RACE, *SCOPE, "Compound", "TyreLife").agg(
+    sums = _to_scopes(per_stint, "TyreLife").groupBy(*schemas.RACE, *SCOPE, "Compound", "TyreLife").agg(
         F.sum("n").alias("n"), F.sum("n_delta").alias("n_delta"), F.sum("delta_sum").alias("delta_sum")
     )
     return add_track_features(sums, tracks)
@@ -71,7 +75,7 @@ def lap_time_counts(counts: DataFrame, tracks: DataFrame) -> DataFrame:
     """Per race, scope, compound, tyre freshness and lap time: rows."""
     fresh = (F.col("TyreLife") <= FRESH_LAPS).alias("fresh")
     per_scope = (
-        _to_scopes(counts.select(*schemas.RACE, "Driver", "Team", "Compound", fresh, "LapTimeSeconds", "n"))
+        _to_scopes(counts.select(*schemas.RACE, "Driver", "Team", "Compound", fresh, "LapTimeSeconds", "n"), "LapTimeSeconds")
         .groupBy(*schemas.RACE, *SCOPE, "Compound", "fresh", "LapTimeSeconds")
         .agg(F.sum("n").alias("n"))
     )

@@ -1,5 +1,7 @@
 """Parquet tables: typed reads, session loads, partitioned writes, profiles."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,3 +147,40 @@ def schema_profile(df: DataFrame, exact: bool = False) -> DataFrame:
         for i, field in enumerate(df.schema.fields)
     ]
     return df.agg(*measures).select(F.inline(F.array(*entries)))
+
+
+#: Size of a sketch as a power of two: an error of 0.8 percent in at most 8 KB.
+SKETCH_POWER = 14
+
+
+def sketched_profile(df: DataFrame, by: Sequence[str] = schemas.SESSION) -> DataFrame:
+    """``by``, column_name, data_type, row_count, null_count and a sketch of the distinct values of every other column.
+
+    Rows are small whatever the number of laps and can be stored, by session for a growing table
+    (``incremental.SessionTable`` builds those of changed sessions alone); ``merged_profile`` adds them up.
+    """
+    fields = [f for f in df.schema.fields if f.name not in by]
+    measures = [F.count(F.lit(1)).alias("row_count")]
+    for i, field in enumerate(fields):
+        column = F.col(f"`{field.name}`")
+        counted = column if field.dataType.typeName() == "binary" else column.cast("string")
+        measures += [F.count_if(column.isNull()).alias(f"n{i}"), F.hll_sketch_agg(counted, SKETCH_POWER).alias(f"d{i}")]
+    entries = [
+        F.struct(
+            F.lit(field.name).alias("column_name"), F.lit(field.dataType.simpleString()).alias("data_type"), "row_count",
+            F.col(f"n{i}").alias("null_count"), F.col(f"d{i}").alias("sketch"),
+        )
+        for i, field in enumerate(fields)
+    ]
+    return df.groupBy(*by).agg(*measures).select(*by, F.inline(F.array(*entries)))
+
+
+def merged_profile(profiles: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The profile of everything that ``sketched_profile`` rows cover, whole or for each ``by`` (a season, say).
+
+    As ``schema_profile`` of the rows themselves, with ``distinct_values`` from the union of the sketches.
+    """
+    return profiles.groupBy(*by, "column_name", "data_type").agg(
+        F.sum("row_count").alias("row_count"), F.sum("null_count").alias("null_count"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_values"),
+    )

@@ -391,6 +391,11 @@ FROM (SELECT *, CAST('0x' || substr(md5({" || '|' || ".join(f"CAST({k} AS VARCHA
         f" count(*) - count({name}) AS null_count, count(DISTINCT {name}) AS distinct_values FROM {source}"
         for table, source, columns in PROFILED for name, kind in columns
     ),
+    "merged_profile": " UNION ALL ".join(
+        f"SELECT Year, '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count,"
+        f" CASE WHEN count(DISTINCT {c}) <= 500 THEN count(DISTINCT {c}) END AS few_values, true AS is_close FROM laps_raw GROUP BY Year"
+        for table, _, columns in PROFILED if table == "laps" for c, _ in columns if c not in ("Year", "RoundNumber")
+    ),
     "ingested_laps": """SELECT Year, RoundNumber, EventName, Driver, Team, LapNumber, Stint, Compound,
  CASE WHEN l_partkey % 7 <> 0 THEN TyreLife END AS TyreLife, Time, round(LapTimeSeconds, 3) AS LapTimeSeconds, IsAccurate, TrackStatus FROM laps_raw""",
     "lap_time_model": """SELECT e.era, CASE WHEN f.n > 0 THEN 'trained' ELSE 'no_data' END AS status, start_year, end_year,

@@ -16,7 +16,8 @@ from lapwise.sources import dims, sliced
 from lapwise.sources.documents import write_json
 from lapwise.sources.incremental import SessionTable, Source
 from lapwise.sources.staging import Staging
-from lapwise.sources.tables import conform, conform_laps, load_session, schema_profile, write_sessions
+from lapwise.sources.tables import conform, conform_laps, load_session, schema_profile, sketched_profile, write_sessions
+from lapwise.sources.tables import merged_profile as merge_profiles
 from testbed.tables import LAP_KEYS, TEST_AS_OF, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,6 +274,33 @@ def refreshed_counts(t: Tables) -> DataFrame:
     return counts.read()
 
 
+#: Distinct values up to here are compared as numbers, beyond by the sketch's error.
+FEW_VALUES = 500
+
+
+@query
+def merged_profile(t: Tables) -> DataFrame:
+    """Profile of the laps by season, from sketches stored by race as the races arrive."""
+    staging = opened(t.spark)
+    path = staging.path("laps")
+    sources = {"laps": Source(path, lambda spark, where: conform(spark.read.parquet(where), schemas.LAPS))}
+    profiles = SessionTable(t.spark, staging.path("profiles"), lambda laps: sketched_profile(laps))
+    for arrived in (F.col("Year") <= 1997, F.col("Year") >= 1998):
+        write_sessions(t.laps.select(*schemas.LAPS.names).where(arrived), path, only_present=True)
+        profiles.refresh(sources)
+    told = merge_profiles(profiles.read(), ["Year"])
+    laps = sources["laps"].read(t.spark, path)
+    names = [c for c in schemas.LAPS.names if c not in schemas.SESSION]
+    counts = laps.groupBy("Year").agg(*[F.count_distinct(F.col(c).cast("string")).alias(c) for c in names])
+    exact = counts.unpivot("Year", names, "column_name", "true_values")
+    error = F.abs(F.col("distinct_values") - F.col("true_values")) / F.greatest("true_values", F.lit(1))
+    return told.join(exact, ["Year", "column_name"]).select(
+        "Year", "column_name", "row_count", "null_count",
+        F.when(F.col("true_values") <= FEW_VALUES, F.col("distinct_values")).alias("few_values"),
+        (error < 0.03).alias("is_close"),
+    )
+
+
 # Degradation -------------------------------------------------------------------------------------
 
 

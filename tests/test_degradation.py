@@ -35,6 +35,22 @@ def models(spark, laps, weights={"E1": 3.0}, level="driver", wet_km=0.0, strict=
     return {r["Compound"]: r for r in degradation.compound_models(profiles, lines, medians).collect()}
 
 
+@pytest.mark.parametrize("summed", [degradation.tyre_age_sums, degradation.lap_time_counts])
+def test_rows_are_shuffled_before_they_are_multiplied(spark, summed):
+    draw = random.Random(2)
+    laps = [
+        lap(f"E{draw.randrange(3)}", draw.choice("ABC"), draw.choice("TU"), "SOFT", float(draw.randrange(3)), float(draw.randrange(9)),
+            90.0 + draw.randrange(40) / 8, draw.randint(1, 4))
+        for _ in range(300)
+    ]
+    counts = spark.createDataFrame(laps, COUNTS).distinct()
+    out = summed(counts, spark.createDataFrame([("E1", "Fast", 4.0)], TRACKS))
+    total = {r["level"]: r["n"] for r in out.groupBy("level").agg(F.sum("n").alias("n")).collect()}
+    assert set(total) == {"driver", "team", "all"} and set(total.values()) == {counts.agg(F.sum("n")).first()[0]}
+    above = out._jdf.queryExecution().executedPlan().toString().split("Generate inline")[0]
+    assert "HashAggregate" in above and "Exchange hashpartitioning" not in above.split("HashAggregate", 1)[1]
+
+
 def test_weights_multiply_residuals(spark):
     times = {"E1": [90.0, 90.4, 91.5], "E2": [90.0, 90.9, 91.0]}
     weights = {"E1": 3.0, "E2": 1.0}
