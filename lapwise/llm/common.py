@@ -116,6 +116,33 @@ def every(df: DataFrame, alias: str | None = None) -> list[Column]:
     return [F.col(f"`{c}`" if alias is None else f"{alias}.`{c}`") for c in df.columns]
 
 
+BITS = 24
+PAGE = 15  # bits of a page that ``bitmap_construct_agg`` fills, as an exponent
+
+
+def _bit(key: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - BITS)
+
+
+def bitmap(keys: DataFrame, key: Column) -> DataFrame:
+    """2^BITS bits that are set at the hashes of ``key``, in pages of 4 KB: two megabytes at most."""
+    at = _bit(key)
+    pages = keys.select(F.shiftright(at, PAGE).alias("page"), at.bitwiseAND((1 << PAGE) - 1).alias("bit"))
+    return pages.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def maybe_in(df: DataFrame, key: Column, pages: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be one of those in the bitmap: all that are, and some others.
+
+    Only spares work: what follows must tell the others apart.  ``df`` has no columns page, bit and bits.
+    """
+    at = _bit(key)
+    placed = df.withColumns({"page": F.shiftright(at, PAGE), "bit": at.bitwiseAND((1 << PAGE) - 1)})
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright("bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, F.col("bit").bitwiseAND(7).cast("int")) == 1
+    return placed.join(F.broadcast(pages), "page").where(is_set).select(*df.columns)
+
+
 def row_key(*columns: str | Column) -> Column:
     """16 bytes by which a row's results are found again: rows of equal columns share them.
 

@@ -10,9 +10,13 @@
   with the templates found, and those that agree with none go through another round.
 - A template that occurs in ``MIN_DOCS`` documents or more is dropped from all of them.
 
-Lines are told apart by a digest of 128 bits, fields by a hash of 32.  Everything is counted by partial sums; a line that stands in a third of
-all documents is one row per partition before it is shuffled, and what a document loses goes back to it by its
-row number, so no group holds more than one document's lines.
+Lines are told apart by a digest of 128 bits, fields by a hash of 64.  Most leaves hold one line, and only the fields
+of lines in other leaves are compared: digests and leaves of all lines are written first, and the texts are read a
+second time for the lines whose leaf has several.  Two bitmaps of fixed size, of leaves and of places, keep most other
+lines out of that second pass; where they fill up, more lines are masked twice and the exact join by leaf drops them.
+Everything is counted by partial sums; a line that stands in a third of all documents is one row per partition before
+it is shuffled, and what a document loses goes back to it by its row key, so no group holds more than one document's
+lines.
 
 Defined results: lines are split at line feeds; null text has no lines, empty text has one; blank lines have no
 template and stay; kept lines are joined by line feeds as they were; rows that share an id count as one document
@@ -23,7 +27,7 @@ one; input columns named like an added one are replaced.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapwise.llm.common import dealt, without, written
+from lapwise.llm.common import bitmap, dealt, every, free_name, maybe_in, row_key, without, written
 
 LEAD = 3
 HEAD = 256
@@ -40,20 +44,44 @@ def fields(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, DIGITS, VARIABLE), BLANKS, " ")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Lines that aren't blank: __row, doc_id, place, digest of the masked line, its leaf, and hashes of its fields
-    where it has a leaf.  Texts of lines go no further."""
-    parts = F.split("masked", " ")
-    deep = F.size(parts) > LEAD
+def _masked(texts: DataFrame) -> DataFrame:
+    """Lines that aren't blank: row, doc_id, place, digest of the masked line, and its leaf if it has one."""
+    deep = F.char_length("masked") - F.char_length(F.replace("masked", F.lit(" "))) >= LEAD
     return (
-        docs.select("__row", "doc_id", F.posexplode(F.split(fields(F.col("text")), "\n")).alias("place", "masked"))
+        texts.select("row", "doc_id", F.posexplode(F.split(fields(F.col("text")), "\n")).alias("place", "masked"))
         .withColumn("masked", F.trim("masked")).where("masked <> ''")
+        .select("row", "doc_id", "place", _digest(F.col("masked")).alias("line"), F.when(deep, _leaf(F.col("masked"))).alias("leaf"))
+    )
+
+
+def _digest(masked: Column) -> Column:
+    return F.unhex(F.md5(masked))
+
+
+def _leaf(masked: Column) -> Column:
+    n = F.char_length(masked) - F.char_length(F.replace(masked, F.lit(" ")))
+    return F.xxhash64(n, F.substring_index(masked, " ", LEAD))
+
+
+def _in_company(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct lines of the leaves that have several: leaf, line, hashes of its fields, how often it is seen."""
+    deep = lines.where("leaf IS NOT NULL")
+    ends = deep.groupBy("leaf").agg(F.min("line").alias("least"), F.max("line").alias("most"))
+    shared = written(ends.where("least <> most").select("leaf"))
+    wanted = maybe_in(deep.select("row", "place", "leaf"), F.col("leaf"), bitmap(shared, F.col("leaf")))
+    at = F.xxhash64("row", "place")
+    raw = texts.select("row", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
+    again = (
+        maybe_in(raw, at, bitmap(wanted, at))
+        .select(F.trim(fields(F.col("raw"))).alias("masked")).where("masked <> ''")
         .select(
-            "__row", "doc_id", "place", F.unhex(F.md5("masked")).alias("line"),
-            F.when(deep, F.xxhash64(F.size(parts), F.slice(parts, 1, LEAD))).alias("leaf"),
-            F.when(deep, F.transform(parts, lambda x: F.hash(x))).alias("fields"),
+            _leaf(F.col("masked")).alias("leaf"), _digest(F.col("masked")).alias("line"),
+            F.transform(F.split("masked", " "), lambda x: F.xxhash64(x)).alias("fields"),
         )
+        .where(F.size("fields") > LEAD)
     )
+    seen = again.groupBy("leaf", "line", "fields").agg(F.count("*").alias("seen"))
+    return written(seen.join(dealt(shared, "leaf"), "leaf", "left_semi"))
 
 
 def _dealt_line(df: DataFrame, key: str) -> DataFrame:
@@ -66,14 +94,12 @@ def _agree(fields: Column, template: Column) -> Column:
     return 10 * F.aggregate(same, F.lit(0), lambda s, x: s + x) >= TENTHS_ALIKE * F.size(fields)
 
 
-def templates(lines: DataFrame) -> DataFrame:
+def templates(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """Lines that join another's template: their digest and the template's, ``t``."""
-    distinct = written(lines.where("leaf IS NOT NULL").groupBy("leaf", "line", "fields").agg(F.count("*").alias("seen")))
-    shared = distinct.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
-    left = distinct.join(dealt(shared, "leaf"), "leaf", "left_semi")
+    left = _in_company(lines, texts)
     first = Window.partitionBy("leaf").orderBy(F.desc("seen"), F.desc("line"))
     one = F.struct("line", "fields")
-    none = F.array().cast("array<struct<line:binary,fields:array<int>>>")
+    none = F.array().cast("array<struct<line:binary,fields:array<bigint>>>")
     joined = None
     while joined is None or not left.isEmpty():
         head = left.withColumn("__at", F.row_number().over(first)).where(F.col("__at") <= HEAD)
@@ -101,21 +127,23 @@ def deduplicate(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The columns of ``docs`` but text, with n_lines, n_dropped and kept_text."""
     docs = without(docs, ["n_lines", "n_dropped", "kept_text"])
     # Rows are told apart by id and text, so that equal rows, which lose the same lines, are one.
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    lines = written(_lines(rows.select("__row", "doc_id", "text")))
-    known = lines.select("__row", "doc_id", "place", "line").join(templates(lines), "line", "left").select(
-        "__row", "doc_id", "place", F.coalesce("t", "line").alias("t")
+    key = free_name(docs, "row")
+    rows = docs.select(*every(docs), row_key("doc_id", "text").alias(key))
+    texts = docs.select(row_key("doc_id", "text").alias("row"), "doc_id", "text")
+    lines = written(_masked(texts))
+    known = lines.select("row", "doc_id", "place", "line").join(templates(lines, texts), "line", "left").select(
+        "row", "doc_id", "place", F.coalesce("t", "line").alias("t")
     )
     common = (
         known.groupBy("t", "doc_id").agg(F.lit(1).alias("one"))
         .groupBy("t").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("t")
     )
-    gone = known.join(_dealt_line(common, "t"), "t", "left_semi").groupBy("__row").agg(F.collect_set("place").alias("__gone"))
-    split = F.split("text", "\n")
-    kept = F.filter(split, lambda x, i: F.col("__gone").isNull() | ~F.array_contains("__gone", i))
-    return rows.join(gone, "__row", "left").select(
-        *[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
+    gone = known.join(_dealt_line(common, "t"), "t", "left_semi").groupBy("row").agg(F.collect_set("place").alias("gone"))
+    split, places = F.split("d.text", "\n"), F.col("g.gone")
+    kept = F.filter(split, lambda x, i: places.isNull() | ~F.array_contains(places, i))
+    return rows.alias("d").join(gone.alias("g"), F.col(f"d.{key}") == F.col("g.row"), "left").select(
+        *[F.col(f"d.`{c}`") for c in docs.columns if c.lower() != "text"],
+        F.when(F.col("d.text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_dropped"),
         F.array_join(F.coalesce(kept, F.array().cast("array<string>")), "\n").alias("kept_text"),
     )

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lapwise.llm import components, embeddings, exact_dedup, lines, minhash, mixing, substrings
+from lapwise.llm import common, components, embeddings, exact_dedup, lines, minhash, mixing, substrings
 
 DOCS = "doc_id long, text string, source string, kept string"
 
@@ -455,3 +455,28 @@ def test_every_template_of_a_leaf_is_found(spark, monkeypatch, head):
     assert told == {
         doc: "\n".join(x for x in text.split("\n") if len(docs[t.get(x, x)]) < 5) for doc, text, *_ in rows
     }
+
+
+def test_lines_with_full_bitmaps_and_columns_of_any_name(spark, monkeypatch):
+    rows = template_rows()
+    plain = lines.deduplicate(frame(spark, rows))
+    kept = {r.doc_id: r.kept_text for r in plain.collect()}
+    # Bitmaps of one page, nearly all bits of which are set by these places, let more lines through, not fewer.
+    monkeypatch.setattr(common, "BITS", 4)
+    clashing = frame(spark, rows).select(
+        "doc_id", "text", F.lit("x").alias("row"), F.lit("y").alias("gone"), F.lit("z").alias("a.b"),
+        F.lit(1).alias("line"), F.lit(2).alias("page"),
+    )
+    out = lines.deduplicate(clashing)
+    assert out.columns == ["doc_id", "row", "gone", "a.b", "line", "page", "n_lines", "n_dropped", "kept_text"]
+    told = out.collect()
+    assert {r.doc_id: r.kept_text for r in told} == kept
+    assert {(r.row, r.gone, r["a.b"], r.line, r.page) for r in told} == {("x", "y", "z", 1, 2)}
+    assert lines.deduplicate(clashing.where("false")).count() == 0
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    shared = "all of these words stand in many texts"
+    rows = [(1, shared, "s", "k"), (1, f"{shared}\nown", "s", "k"), (1, "own as well", "s", "k"), *[(k, shared, "s", "k") for k in range(2, 6)]]
+    told = Counter((r.doc_id, r.n_dropped, r.kept_text) for r in lines.deduplicate(frame(spark, rows)).collect())
+    assert told == Counter([(1, 1, ""), (1, 1, "own"), (1, 0, "own as well"), *[(k, 1, "") for k in range(2, 6)]])
