@@ -71,14 +71,11 @@ def _in_company(lines: DataFrame, texts: DataFrame) -> DataFrame:
     wanted = maybe_in(deep.select("row", "place", "leaf"), F.col("leaf"), bitmap(shared, F.col("leaf")))
     at = F.xxhash64("row", "place")
     raw = texts.select("row", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
-    again = (
-        maybe_in(raw, at, bitmap(wanted, at))
-        .select(F.trim(fields(F.col("raw"))).alias("masked")).where("masked <> ''")
-        .select(
-            _leaf(F.col("masked")).alias("leaf"), _digest(F.col("masked")).alias("line"),
-            F.transform(F.split("masked", " "), lambda x: F.xxhash64(x)).alias("fields"),
-        )
-        .where(F.size("fields") > LEAD)
+    # No filter on what is masked here: it would be pushed below the bitmap's join, to all lines.  Lines of no leaf
+    # find none in the last join.
+    again = maybe_in(raw, at, bitmap(wanted, at)).select(F.trim(fields(F.col("raw"))).alias("masked")).select(
+        _leaf(F.col("masked")).alias("leaf"), _digest(F.col("masked")).alias("line"),
+        F.transform(F.split("masked", " "), lambda x: F.xxhash64(x)).alias("fields"),
     )
     seen = again.groupBy("leaf", "line", "fields").agg(F.count("*").alias("seen"))
     return written(seen.join(dealt(shared, "leaf"), "leaf", "left_semi"))
