@@ -59,23 +59,28 @@ def feature_table(t: Tables) -> DataFrame:
     return features.lap_features(t.laps, t.weather, t.teams, t.tracks, keep=LAP_KEYS)
 
 
-def era_laps(t: Tables) -> DataFrame:
+def era_laps(t: Tables, schedule: DataFrame) -> DataFrame:
     """Measured laps of the eras' completed races alone."""
-    sessions = features.era_events(t.schedule, t.eras, TEST_AS_OF)
+    sessions = features.era_events(schedule, t.eras, TEST_AS_OF)
     return features.measured_laps(t.laps, t.weather, t.teams, t.tracks, LAP_KEYS, sessions)
 
 
-def history_table(t: Tables) -> DataFrame:
-    return history.history_laps(t.laps, t.weather, t.teams, t.tracks, needed(t.schedule, t.targets))
+def history_table(t: Tables, schedule: DataFrame, targets: DataFrame) -> DataFrame:
+    return history.history_laps(t.laps, t.weather, t.teams, t.tracks, needed(schedule, targets))
 
 
 def needed(schedule: DataFrame, targets: DataFrame) -> DataFrame:
     return history.needed_sessions(history.target_races(targets, schedule), schedule)
 
 
+def staged_schedule(t: Tables, staging: Staging) -> DataFrame:
+    """The schedule alone, for what is done by era."""
+    return staging.table(t.schedule, "schedule")
+
+
 def staged_calendar(t: Tables, staging: Staging) -> tuple[DataFrame, DataFrame]:
     """Schedule and targets, both small and read by many steps."""
-    return staging.table(t.schedule, "schedule"), staging.table(t.targets, "targets")
+    return staged_schedule(t, staging), staging.table(t.targets, "targets")
 
 
 def staged_counts(t: Tables, staging: Staging, schedule: DataFrame, targets: DataFrame) -> DataFrame:
@@ -163,18 +168,21 @@ def completed_events(t: Tables) -> DataFrame:
 
 @query
 def era_features(t: Tables) -> DataFrame:
-    rows = features.era_features(features.complete_laps(era_laps(t)), t.schedule, t.eras, TEST_AS_OF)
+    schedule = staged_schedule(t, opened(t.spark))
+    rows = features.era_features(features.complete_laps(era_laps(t, schedule)), schedule, t.eras, TEST_AS_OF)
     return rounded(rows, "TyreLifeKM", "TeamBaselinePace", "FieldBaselinePace", "RelativePace")
 
 
 @query
 def event_status(t: Tables) -> DataFrame:
-    return features.event_status(era_laps(t), t.schedule, t.eras, TEST_AS_OF)
+    schedule = staged_schedule(t, opened(t.spark))
+    return features.event_status(era_laps(t, schedule), schedule, t.eras, TEST_AS_OF)
 
 
 @query
 def era_coverage(t: Tables) -> DataFrame:
-    statuses = features.event_status(era_laps(t), t.schedule, t.eras, TEST_AS_OF)
+    schedule = staged_schedule(t, opened(t.spark))
+    statuses = features.event_status(era_laps(t, schedule), schedule, t.eras, TEST_AS_OF)
     coverage = features.era_coverage(statuses, t.eras)
     return coverage.withColumns(
         {name: joined(name, ";") for name in ("loaded_events", "failed_events")}
@@ -213,7 +221,7 @@ def history_fallback(t: Tables) -> DataFrame:
     schedule, targets = staged_calendar(t, opened(t.spark))
     races = history.target_races(targets, schedule)
     slices = history.race_slices(races, schedule)
-    raced = history.races_with_laps(history_table(t))
+    raced = history.races_with_laps(history_table(t, schedule, targets))
     return history.fallback_slices(races, slices, schedule, raced)
 
 
@@ -221,7 +229,7 @@ def history_fallback(t: Tables) -> DataFrame:
 def weighted_history(t: Tables) -> DataFrame:
     staging = opened(t.spark)
     schedule, targets = staged_calendar(t, staging)
-    laps = staging.table(history_table(t), "history")
+    laps = staging.table(history_table(t, schedule, targets), "history")
     races = history.target_races(targets, schedule)
     slices = history.history_slices(races, schedule, history.races_with_laps(laps))
     rows = history.weighted_history(laps, staging.table(slices, "slices"), keep=LAP_KEYS)
@@ -428,10 +436,11 @@ def _saved_model(t: Tables, path: str):
 def lap_time_model(t: Tables) -> DataFrame:
     """A model per era.  ``better_than_mean``: its error on the test laps is below that of their mean."""
     staging = opened(t.spark)
-    measured = staging.table(era_laps(t), "measured")
-    statuses = features.event_status(measured, t.schedule, t.eras, TEST_AS_OF)
+    schedule = staged_schedule(t, staging)
+    measured = staging.table(era_laps(t, schedule), "measured")
+    statuses = features.event_status(measured, schedule, t.eras, TEST_AS_OF)
     coverage = staging.table(features.era_coverage(statuses, t.eras), "coverage")
-    of_eras = features.era_features(features.complete_laps(measured), t.schedule, t.eras, TEST_AS_OF)
+    of_eras = features.era_features(features.complete_laps(measured), schedule, t.eras, TEST_AS_OF)
     runs = training.train_eras(
         t.spark, of_eras, coverage, TEST_AS_OF, staging.path("models"), LAP_KEYS, early_stop=True
     )
