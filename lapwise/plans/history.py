@@ -19,13 +19,13 @@ SAME_RACE_WEIGHT = 2.5
 FALLBACK_WEIGHT = 1.2
 FALLBACK_RACES = 5
 WET_SHARE = 0.25
-ACCENTS, PLAIN = "áàâãäåçéèêëíìîïñóòôõöúùûü", "aaaaaaceeeeiiiinooooouuuu"
+#: Compares names without case and accents, in any script.
+FOLDED = "UNICODE_CI_AI"
 
 
 def race_key(name: Column) -> Column:
     """A race's name as people type it: without case, accents, outer blanks and "Grand Prix"."""
-    plain = F.translate(F.lower(name), ACCENTS, PLAIN)
-    return F.trim(F.regexp_replace(plain, r"\s+grand prix\s*$", ""))
+    return F.collate(F.trim(F.regexp_replace(name, r"(?i)\s+grand prix\s*$", "")), FOLDED)
 
 
 def resolved_targets(targets: DataFrame, schedule: DataFrame) -> DataFrame:
@@ -36,7 +36,9 @@ def resolved_targets(targets: DataFrame, schedule: DataFrame) -> DataFrame:
     """
     races = season_schedule(schedule).select(
         F.col("Year").alias("year"), F.struct("RoundNumber", "EventName").alias("_race"),
-        F.explode(F.array(race_key(F.col("EventName")), F.col("RoundNumber").cast("string"))).alias("_key"),
+        F.explode(F.array(
+            race_key(F.col("EventName")), F.collate(F.col("RoundNumber").cast("string"), FOLDED)
+        )).alias("_key"),
     )
     answers = races.groupBy("year", "_key").agg(
         F.count_distinct("_race").alias("_n"), F.min("_race").alias("_race")

@@ -197,6 +197,16 @@ def test_targets_are_found_by_the_names_people_type(spark):
     assert [tuple(r) for r in races] == [(2024, 1, "Bahrain Grand Prix"), (2024, 2, "São Paulo Grand Prix")]
 
 
+def test_names_are_found_without_accents_in_any_script(spark):
+    events = ["Việt Nam Grand Prix", "Ōsaka Grand Prix", "Türkiye GRAND PRIX", "Ελλάδα", "Škoda Grand Prix"]
+    schedule = schedule_of(spark, [(2024, n, event, "x") for n, event in enumerate(events, 1)])
+    names = ["viet nam", "OSAKA", "turkiye grand prix", "ελλαδα", "skoda", ""]
+    targets = targets_of(spark, [(i, 2024, n, "VER", "RB", 50, "auto", 21.0) for i, n in enumerate(names)])
+    told = history.resolved_targets(targets, schedule).orderBy("target_id")
+    assert [r["event_name"] for r in told.collect()] == [*events, None]
+    assert dict(told.dtypes)["event_name"] == "string"
+
+
 def test_laps_as_timed_become_seconds_to_the_millisecond(spark):
     raw = laps_of(spark, [{"LapTimeSeconds": 90.0625}, {"LapTimeSeconds": None}]).selectExpr(
         "*", "make_dt_interval(0, 0, 0, cast(LapTimeSeconds as decimal(18,6))) AS LapTime"
