@@ -68,13 +68,15 @@ def _in_company(lines: DataFrame, texts: DataFrame) -> DataFrame:
     deep = lines.where("leaf IS NOT NULL")
     ends = deep.groupBy("leaf").agg(F.min("line").alias("least"), F.max("line").alias("most"))
     shared = written(ends.where("least <> most").select("leaf"))
-    wanted = maybe_in(deep.select("row", "place", "leaf"), F.col("leaf"), bitmap(shared, F.col("leaf")))
+    leaf, leaves = F.col("leaf"), bitmap(shared, F.col("leaf"))
+    wanted = maybe_in(deep.select("row", "place", "leaf"), leaf, leaves)
     at = F.xxhash64("row", "place")
     raw = texts.select("row", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
     # No filter on what is masked here: it would be pushed below the bitmap's join, to all lines.  Lines of no leaf
     # find none in the last join.
-    again = maybe_in(raw, at, bitmap(wanted, at)).select(F.trim(fields(F.col("raw"))).alias("masked")).select(
-        _leaf(F.col("masked")).alias("leaf"), _digest(F.col("masked")).alias("line"),
+    again = maybe_in(raw, at, bitmap(wanted, at)).select(F.trim(fields(F.col("raw"))).alias("masked"))
+    again = maybe_in(again.select("masked", _leaf(F.col("masked")).alias("leaf")), leaf, leaves).select(
+        "leaf", _digest(F.col("masked")).alias("line"),
         F.transform(F.split("masked", " "), lambda x: F.xxhash64(x)).alias("fields"),
     )
     seen = again.groupBy("leaf", "line", "fields").agg(F.count("*").alias("seen"))
