@@ -26,6 +26,10 @@ VALIDATION_TENTHS = 1
 STOP_TOLERANCE = 1e-7
 #: Fits at a time: each keeps its rows on the executors.
 MOST_FITS = 4
+#: Rows of a task while fitting, which passes over them hundreds of times: below the first a task costs more than its
+#: rows, above the second its binned rows (some 400 bytes each) are more than 100 MB.
+FEWEST_TASK_ROWS = 20_000
+MOST_TASK_ROWS = 250_000
 
 NATURAL_KEY = ["Year", "RoundNumber", "Driver", "LapNumber"]
 
@@ -88,6 +92,11 @@ def feature_count(model: PipelineModel) -> int:
     return len(schemas.NUMERIC) + sum(len(labels) for labels in model.stages[0].labelsArray)
 
 
+def fit_tasks(rows: int, cores: int) -> int:
+    """Tasks of a pass over the rows: by their number alone, so that a task's part is bounded and no core is left idle."""
+    return max(1, -(-rows // MOST_TASK_ROWS), min(cores, -(-rows // FEWEST_TASK_ROWS)))
+
+
 @dataclass(frozen=True)
 class Fit:
     model: PipelineModel
@@ -108,16 +117,24 @@ def fit_lap_times(
 
     All training rows and all rounds are used, whatever their number; ``early_stop`` holds a tenth of
     the rows back and may use fewer rounds.  ``always_split`` splits however few rows there are, as for a single race.  Trees pass over the
-    rows many times, so rows are kept on the executors while fitting; lost ones are recomputed.
+    rows many times, so rows are kept on the executors while fitting; lost ones are recomputed.  Once counted they
+    are dealt to ``fit_tasks`` by the hash of their key: the partitions of what made them are by bytes or by a fixed
+    number, which for a few rows is hundreds of empty tasks a pass, and for many a few tasks of gigabytes.
     """
-    used = split_train_test(features, keys).select(
-        *schemas.CATEGORICAL, *schemas.NUMERIC, schemas.TARGET, "is_test", "is_validation"
+    made = split_train_test(features, keys).select(
+        *schemas.CATEGORICAL, *schemas.NUMERIC, schemas.TARGET, "is_test", "is_validation",
+        F.xxhash64(*keys).alias("_key"),
     )
-    used = used.persist(StorageLevel.MEMORY_AND_DISK)
+    made = made.persist(StorageLevel.MEMORY_AND_DISK)
+    used = made
     try:
-        rows = used.count()
+        rows = made.count()
         if rows == 0:
             return None
+        tasks = fit_tasks(rows, made.sparkSession.sparkContext.defaultParallelism)
+        used = made.repartition(tasks, "_key").drop("_key").persist(StorageLevel.MEMORY_AND_DISK)
+        used.count()
+        made.unpersist()
         split = always_split or rows >= MIN_SPLIT_ROWS
         taken = used.where(~F.col("is_test")) if split else used
         model = lap_time_pipeline(iterations, early_stop=early_stop).fit(taken)
@@ -130,6 +147,7 @@ def fit_lap_times(
             spread = tested.agg(F.stddev_pop(schemas.TARGET)).first()[0]
         return Fit(model, rows, feature_count(model), rmse, spread)
     finally:
+        made.unpersist()
         used.unpersist()
 
 

@@ -172,3 +172,21 @@ def test_eras_can_be_picked(spark):
     assert [r["era"] for r in dims.eras(spark, "active").collect()] == ["active_aero_2026_2030"]
     with pytest.raises(ValueError):
         dims.eras(spark, "none")
+
+
+@pytest.mark.parametrize("given,most,tasks", [(50, 250_000, 1), (1, 100, 4)])
+def test_rows_are_dealt_by_their_number_before_they_are_fitted(spark, monkeypatch, given, most, tasks):
+    seen, pipeline = [], training.lap_time_pipeline
+
+    class Spy:
+        def __init__(self, *args, **kwargs):
+            self.pipeline = pipeline(*args, **kwargs)
+
+        def fit(self, taken):
+            seen.append(taken.rdd.getNumPartitions())
+            return self.pipeline.fit(taken)
+
+    monkeypatch.setattr(training, "lap_time_pipeline", Spy)
+    monkeypatch.setattr(training, "MOST_TASK_ROWS", most)
+    fit = training.fit_lap_times(feature_rows(spark, 400).repartition(given), [*training.NATURAL_KEY, "TyreLife"], 1)
+    assert fit.rows == 400 and seen == [tasks]
