@@ -26,10 +26,14 @@ def exact_quantiles(
     """``keys``, ``rows`` and one column for each of ``wanted`` (name to fraction), interpolated between ranks.
 
     Nulls and NaN are left out and groups without a value are absent; a null key is a group of its own.  ``staging``
-    keeps ranges and the rows left in them between rounds, so it is to be deleted after the result was used.  A
-    range shrinks to about a 64th a round, so a billion rows take three.
+    keeps keys and values, ranges, cuts and the rows left between rounds, so it is to be deleted after the result was
+    used.  ``df`` is computed once.  Ranges and cuts, being staged, have a size that Spark knows, and are broadcast to the
+    rows where they are small.  A range shrinks to about a 64th a round, so a billion rows take three.
     """
-    rows = df.select(F.struct(*keys).alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    rows = staging.table(
+        df.select(F.struct(*keys).alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)"),
+        "rows",
+    )
     groups = staging.table(
         rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "groups"
     )
@@ -54,7 +58,7 @@ def exact_quantiles(
         if k:
             inside = staging.table(inside, f"rows{k}")
             live = inside.select("g", "v")
-        state, k = _narrowed(inside, wide), k + 1
+        state, k = _narrowed(inside, wide, staging, k), k + 1
     values = staging.table(_union(found), "values")
     one = lambda name: values.select("g", F.col("rank").alias(name), F.col("v").alias(f"{name}_v"))
     between = F.when((F.col("share") == 0) | (F.col("low_v") == F.col("high_v")), F.col("low_v")).otherwise(
@@ -87,10 +91,13 @@ def _ordered(inside: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def _narrowed(inside: DataFrame, state: DataFrame) -> DataFrame:
+def _narrowed(inside: DataFrame, state: DataFrame, staging: Staging, k: int) -> DataFrame:
     """For every wanted rank the bucket that holds it: between two cuts, or all rows equal to one."""
-    cuts = inside.groupBy(*_RANGE).agg(
-        F.array_distinct(F.percentile_approx("v", [j / CUTS for j in range(1, CUTS)], ACCURACY)).alias("cuts")
+    cuts = staging.table(
+        inside.groupBy(*_RANGE).agg(
+            F.array_distinct(F.percentile_approx("v", [j / CUTS for j in range(1, CUTS)], ACCURACY)).alias("cuts")
+        ),
+        f"cuts{k}",
     )
     # Odd for a row at a cut, even for one between cuts.
     at = lambda test: F.size(F.filter("cuts", test))

@@ -49,3 +49,19 @@ def test_no_rows(spark, tmp_path):
         df = spark.createDataFrame([], "k int, v double")
         out = exact_quantiles(df, ["k"], "v", {"mid": 0.5}, staging)
         assert out.columns == ["k", "rows", "mid"] and out.count() == 0
+
+
+def test_input_is_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(5000, numPartitions=3).selectExpr("id % 3 AS g", "sqrt(id) AS v")
+    df = df.mapInArrow(counted, df.schema)
+    with Staging(spark, str(tmp_path / "staged")) as staging:
+        out = {r.g: r.mid for r in exact_quantiles(df, ["g"], "v", {"mid": 0.5}, staging, 40).collect()}
+    assert out == {g: np.quantile(np.sqrt(np.arange(g, 5000, 3)), 0.5) for g in range(3)}
+    assert seen.value == 5000
