@@ -228,6 +228,22 @@ def test_quality_learns_from_pairs_and_cuts_by_quantile(spark):
     assert kept == {k for k, r in out.items() if r.predicted}
 
 
+def test_quality_is_learnt_from_every_labelled_row(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FIT_ROWS", 20, raising=False)
+    monkeypatch.setattr(quality, "BLOCK", 16, raising=False)
+    rows = labelled(300, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").drop("quality")
+    labels = spark.createDataFrame([(k, q) for k, _, q in rows], "doc_id long, quality int")
+    out = quality.annotate(docs, labels).collect()
+    bad = sum(q == 0 for _, _, q in rows)
+    assert abs(sum(r.predicted == 0 for r in out) - bad) <= 1  # the cut is the quantile of all of them
+    given = [(q == 1, 1.0, [float(v) for v in quality.features(t.encode())]) for _, t, q in rows]
+    table = spark.createDataFrame(given, "good boolean, n double, x array<double>")
+    lists = [r.rows for r in quality.blocks(table, len(rows) - bad, bad).collect()]
+    assert all({r.good for r in block} == {True, False} for block in lists) and max(map(len, lists)) <= 100
+    assert {tuple(r.x) for block in lists for r in block} == {tuple(x) for _, _, x in given}
+
+
 def test_quality_without_both_labels_rejects_nothing(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
