@@ -9,12 +9,12 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from lapwise import schemas
+from lapwise.plans.boosting import BoostedTrees
 
 # Fixed values of training.
 TEST_PERCENT = 20
@@ -52,9 +52,7 @@ def split_train_test(
     return df.withColumns({"is_test": is_test, "is_validation": ~is_test & (tenth < VALIDATION_TENTHS)})
 
 
-def lap_time_pipeline(
-    iterations: int = ITERATIONS, seed: int = SEED, early_stop: bool = False
-) -> Pipeline:
+def lap_time_pipeline(iterations: int = ITERATIONS, early_stop: bool = False) -> Pipeline:
     """Encoders and boosted trees in one pipeline, so scoring needs no list of columns.
 
     An unseen or missing category becomes an all-zero vector: the indexer gives it one extra index
@@ -62,17 +60,14 @@ def lap_time_pipeline(
     that of most rows; whether it was missing is no feature, as training rows are complete.  With ``early_stop`` no more trees are added after the first round
     that does not lower the error on the validation rows by a ten-millionth, a patience of one round.
     """
-    trees = GBTRegressor(
-        labelCol=schemas.TARGET, featuresCol="features", maxIter=iterations,
-        stepSize=LEARNING_RATE, maxDepth=5, maxBins=256, minInstancesPerNode=20, seed=seed,
-    )
-    if early_stop:
-        trees = trees.setParams(
-            validationIndicatorCol="is_validation", validationTol=STOP_TOLERANCE
-        )
     filled = [f"{c}Filled" for c in schemas.NUMERIC]
     indexed = [f"{c}Index" for c in schemas.CATEGORICAL]
     encoded = [f"{c}Vector" for c in schemas.CATEGORICAL]
+    trees = BoostedTrees(
+        numeric=filled, indexed=indexed, label=schemas.TARGET, rounds=iterations, step=LEARNING_RATE,
+        depth=5, bins=256, least=20,
+        held="is_validation" if early_stop else None, tolerance=STOP_TOLERANCE if early_stop else None,
+    )
     return Pipeline(
         stages=[
             StringIndexer(
