@@ -4,8 +4,8 @@ The trees are those of ``GBTRegressor`` with squared error: round after round, a
 what is left of the label; a number is split at a threshold, a category into itself and all others (what a split of
 its one-hot column is).  They are found by other means, as the rows are passed over hundreds of times:
 
-- Rows are binned once, a byte for each column, and kept as one block of arrays a task.  A category is one column,
-  whatever number of one-hot columns it stands for.
+- Rows are binned once and kept as one block of arrays a task.  A category is one column, whatever number of one-hot
+  columns it stands for.  Columns of few bins share a byte: their bins are added up together and told apart afterwards.
 - Thresholds are taken from all rows: midpoints of the distinct values, if they are no more than the bins, else
   quantiles by a mergeable sketch.
 - A level is one job: each task adds up residuals and counts by node, column and bin.  Only the smaller child of a
@@ -38,10 +38,14 @@ QUANTILE_ACCURACY = 10_000
 RESTART_ROUNDS = 25
 #: Rows added up at a time: what is made for them stays in a core's cache.
 SLICE = 32_768
+#: Combinations of the bins of columns that share a code.
+MOST_SHARED = 256
+#: Blocks are bytes already; to serialize them once more took half of a pass.
+KEPT = StorageLevel.MEMORY_AND_DISK_DESER
 #: Tasks whose sums the driver adds itself.
 MOST_SENT = 64
 
-#: Codes and labels (or what is left of them) of the rows to fit, and of the rows held back.
+#: Codes, packed, and labels (or what is left of them) of the rows to fit, and of the rows held back.
 Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 #: For each node, level by level: column, bin, and whether the bin alone goes right (else all above it); None if not split.
 Splits = list[tuple[int, int, bool] | None]
@@ -49,6 +53,51 @@ Splits = list[tuple[int, int, bool] | None]
 Tree = tuple[Splits, list[float]]
 
 
+# Packed codes ------------------------------------------------------------------------------------
+
+
+def _shared(bins: Sequence[int]) -> list[list[int]]:
+    """Columns that share a code, first fit from the most bins down; one with many bins has its own."""
+    groups: list[tuple[int, list[int]]] = []
+    for column in sorted(range(len(bins)), key=lambda c: -bins[c]):
+        for at, (cells, members) in enumerate(groups):
+            if cells * bins[column] <= MOST_SHARED:
+                groups[at] = cells * bins[column], [*members, column]
+                break
+        else:
+            groups.append((bins[column], [column]))
+    return [members for _, members in groups]
+
+
+def _packed(codes: np.ndarray, bins: Sequence[int], kind: str) -> np.ndarray:
+    """A row for each group of columns, in which the last member's bin counts one."""
+    rows = []
+    for members in _shared(bins):
+        row = codes[members[0]].astype(kind)
+        for column in members[1:]:
+            row = row * np.array(bins[column], kind) + codes[column].astype(kind)
+        rows.append(row)
+    return np.stack(rows)
+
+
+def _packed_splits(splits: Splits, bins: Sequence[int]) -> list[tuple | None]:
+    """Splits of packed codes: the row in place of the column, and where it is shared also what ``_bins_of`` needs."""
+    place = {}
+    for row, members in enumerate(_shared(bins)):
+        step = 1
+        for column in reversed(members):
+            shared = len(members) > 1
+            place[column] = row, (step, None if column == members[0] else bins[column]) if shared else ()
+            step *= bins[column]
+    return [None if split is None else (place[split[0]][0], *split[1:], *place[split[0]][1]) for split in splits]
+
+
+def _bins_of(row: np.ndarray, step: int, size: int | None) -> np.ndarray:
+    """A column's bins in a row of packed codes; without a size, those of the row's first column."""
+    above = row // step
+    return above if size is None else above - row // (step * size) * size
+
+
 # In tasks ----------------------------------------------------------------------------------------
 
 
@@ -60,14 +109,14 @@ def _codes(columns: Sequence[np.ndarray], thresholds: Sequence[list[float] | Non
     ])
 
 
-def _blocks(thresholds: Sequence[list[float] | None], kind: str) -> Callable:
+def _blocks(thresholds: Sequence[list[float] | None], bins: Sequence[int], kind: str) -> Callable:
     """Turns a task's rows (columns, label, whether held back) into one block."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, labels, held = [], [], []
         for batch in batches:
             *columns, label, back = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            codes.append(_codes(columns, thresholds, kind))
+            codes.append(_packed(_codes(columns, thresholds, kind), bins, kind))
             labels.append(label)
             held.append(back.astype(bool))
         if labels:
@@ -78,22 +127,26 @@ def _blocks(thresholds: Sequence[list[float] | None], kind: str) -> Callable:
     return packed
 
 
-def _unpacked(row, columns: int, kind: str) -> Block:
+def _arrays(row, groups: int, kind: str) -> Block:
     a, b, c, d = row
     return (
-        np.frombuffer(a, kind).reshape(columns, -1), np.frombuffer(b), np.frombuffer(c, kind).reshape(columns, -1), np.frombuffer(d),
+        np.frombuffer(a, kind).reshape(groups, -1), np.frombuffer(b), np.frombuffer(c, kind).reshape(groups, -1), np.frombuffer(d),
     )
 
 
-def _reached(codes: np.ndarray, splits: Splits, levels: int) -> np.ndarray:
-    """The node of each row among those of a level, from left to right.  Rows of a node without a split keep left."""
+def _reached(codes: np.ndarray, splits: list[tuple | None], levels: int) -> np.ndarray:
+    """The node of each row among those of a level, from left to right.  Rows of a node without a split keep left.
+
+    Splits are of columns, or packed as the codes are.
+    """
     node = np.zeros(codes.shape[1], np.uint8)
     for level in range(levels):
         right = np.zeros(len(node), bool)
         for at, split in enumerate(splits[2**level - 1 : 2 ** (level + 1) - 1]):
             if split is not None:
-                column, bin_, alone = split
-                test = codes[column] == bin_ if alone else codes[column] > bin_
+                row, bin_, alone, *shared = split
+                values = _bins_of(codes[row], *shared) if shared else codes[row]
+                test = values == bin_ if alone else values > bin_
                 right |= test & (node == at) if level else test
         node = node << 1 | right
     return node
@@ -102,35 +155,50 @@ def _reached(codes: np.ndarray, splits: Splits, levels: int) -> np.ndarray:
 def _sums(block: Block, splits: Splits, level: int, wanted: Sequence[int], bins: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     """Sums and counts by wanted node of the level and bin; at the root, also squares and number of the rows held back."""
     codes, left, _, back = block
+    groups = _shared(bins)
+    cells = [int(np.prod([bins[c] for c in members])) for members in groups]
+    packed = _packed_splits(splits, bins)
     slots = np.full(2**level, -1, np.int16)
     slots[list(wanted)] = np.arange(len(wanted))
-    total = [np.zeros((2, len(wanted) * size)) for size in bins]
+    total = [np.zeros((2, len(wanted) * size)) for size in cells]
     for start in range(0, len(left), SLICE):
         part, weight = codes[:, start : start + SLICE], left[start : start + SLICE]
-        slot = np.zeros(len(weight), np.int64)
         if level:
-            slot = slots[_reached(part, splits, level)]
+            slot = slots[_reached(part, packed, level)]
             rows = np.flatnonzero(slot >= 0)
             part, weight, slot = part.take(rows, axis=1), weight[rows], slot[rows].astype(np.int64)
-        for column, size in enumerate(bins):
-            cell = slot * size + part[column] if level else part[column].astype(np.int64)
-            total[column][0] += np.bincount(cell, weight, len(wanted) * size)
-            total[column][1] += np.bincount(cell, minlength=len(wanted) * size)
+        for row, size in enumerate(cells):
+            cell = slot * size + part[row] if level else part[row].astype(np.int64)
+            total[row][0] += np.bincount(cell, weight, len(wanted) * size)
+            total[row][1] += np.bincount(cell, minlength=len(wanted) * size)
+    by_column: list = [None] * len(bins)
+    for members, added in zip(groups, total, strict=True):
+        split_up = added.reshape(2, len(wanted), *[bins[c] for c in members])
+        for at, column in enumerate(members):
+            by_column[column] = split_up.sum(axis=tuple(2 + i for i in range(len(members)) if i != at))
     error = np.array([np.dot(back, back), len(back)]) if level == 0 else np.zeros(2)
-    return np.concatenate([t.reshape(2, len(wanted), -1) for t in total], axis=2), error
+    return np.concatenate(by_column, axis=2), error
 
 
 def _added(one: tuple, two: tuple) -> tuple:
     return one[0] + two[0], one[1] + two[1]
 
 
-def _advanced(block: Block, trees: Sequence[Tree], depth: int) -> Block:
+def _without(codes: np.ndarray, left: np.ndarray, trees: Sequence[Tree], depth: int, bins: Sequence[int]) -> np.ndarray:
+    """What the trees leave."""
+    ready = [(_packed_splits(splits, bins), np.array(values)) for splits, values in trees]
+    after = np.empty(len(left))
+    for start in range(0, len(left), SLICE):
+        part, rest = codes[:, start : start + SLICE], left[start : start + SLICE]
+        for splits, added in ready:
+            rest = rest - added[_reached(part, splits, depth)]
+        after[start : start + SLICE] = rest
+    return after
+
+
+def _advanced(block: Block, trees: Sequence[Tree], depth: int, bins: Sequence[int]) -> Block:
     codes, left, held, back = block
-    for splits, values in trees:
-        added = np.array(values)
-        left = left - added[_reached(codes, splits, depth)]
-        back = back - added[_reached(held, splits, depth)]
-    return codes, left, held, back
+    return codes, _without(codes, left, trees, depth, bins), held, _without(held, back, trees, depth, bins)
 
 
 class _Here:
@@ -146,7 +214,7 @@ class _Here:
         return total
 
     def advance(self, tree: Tree) -> None:
-        self.blocks = [_advanced(block, [tree], self.depth) for block in self.blocks]
+        self.blocks = [_advanced(block, [tree], self.depth, self.bins) for block in self.blocks]
 
 
 # On either side ----------------------------------------------------------------------------------
@@ -259,11 +327,11 @@ class _Spread:
 
     def advance(self, tree: Tree) -> None:
         self.trees.append(tree)
-        depth = self.depth
+        depth, bins = self.depth, self.bins
         anew = len(self.trees) % RESTART_ROUNDS == 0
         trees = list(self.trees) if anew else [tree]
         source = self.first if anew else self.blocks
-        self.blocks = source.map(lambda block: _advanced(block, trees, depth)).persist(StorageLevel.MEMORY_AND_DISK)
+        self.blocks = source.map(lambda block: _advanced(block, trees, depth, bins)).persist(KEPT)
         self.kept.append(self.blocks)
 
     def release(self, most: int) -> None:
@@ -318,9 +386,9 @@ class BoostedTrees(Estimator):
         bins = [len(c) + 1 for c in cuts] + [n + 1 for n in known]
         labels = [None] * len(numeric) + known
         kind = np.min_scalar_type(max(bins) - 1).name
-        thresholds, columns = [*cuts, *[None] * len(indexed)], len(bins)
-        packed = rows.mapInArrow(_blocks(thresholds, kind), "a binary, b binary, c binary, d binary")
-        blocks = packed.rdd.map(lambda row: _unpacked(row, columns, kind)).persist(StorageLevel.MEMORY_AND_DISK)
+        thresholds, groups = [*cuts, *[None] * len(indexed)], len(_shared(bins))
+        packed = rows.mapInArrow(_blocks(thresholds, bins, kind), "a binary, b binary, c binary, d binary")
+        blocks = packed.rdd.map(lambda row: _arrays(row, groups, kind)).persist(KEPT)
         options = (bins, labels, given["rounds"], depth, given["least"], given["step"], given["tolerance"])
         if blocks.getNumPartitions() == 1:
             trees = blocks.mapPartitions(lambda part: _boosted(_Here(list(part), bins, depth), *options)).collect()

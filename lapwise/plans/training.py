@@ -88,8 +88,12 @@ def feature_count(model: PipelineModel) -> int:
 
 
 def fit_tasks(rows: int, cores: int) -> int:
-    """Tasks of a pass over the rows: by their number alone, so that a task's part is bounded and no core is left idle."""
-    return max(1, -(-rows // MOST_TASK_ROWS), min(cores, -(-rows // FEWEST_TASK_ROWS)))
+    """Tasks of a pass over the rows: by their number alone, so that a task's part is bounded and no core is left idle.
+
+    Beyond the cores, a multiple of them: a last task or two would take as long as all cores' tasks before.
+    """
+    tasks = max(1, -(-rows // MOST_TASK_ROWS), min(cores, -(-rows // FEWEST_TASK_ROWS)))
+    return tasks if tasks <= cores else -(-tasks // cores) * cores
 
 
 @dataclass(frozen=True)

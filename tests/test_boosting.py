@@ -89,3 +89,31 @@ def test_missing_categories_are_not_singled_out_and_many_rounds_restart(spark, m
     training.save_model(many, str(tmp_path / "m"))
     frames = [m.transform(split).orderBy(*KEYS).toPandas().prediction for m in (one, many, training.load_model(str(tmp_path / "m")))]
     assert np.abs(frames[0] - frames[1]).max() < 1e-9 and (frames[1] == frames[2]).all()
+
+
+def test_columns_of_few_bins_share_a_code_and_are_told_apart():
+    rng = np.random.default_rng(3)
+    bins = [50, 7, 1, 84, 3, 2, 256, 250, 2, 12, 21, 11, 4]
+    plain = np.stack([rng.integers(0, size, 40_000) for size in bins]).astype("uint8")
+    codes, label, none = boosting._packed(plain, bins, "uint8"), rng.normal(size=40_000), np.zeros((1, 0), "uint8")
+    assert len(codes) <= 7 < len(bins)
+    splits = [(c % 13, bins[c % 13] // 2 - 1 if c % 13 != 2 else 0, c % 13 > 9) for c in range(31)]
+    reached = boosting._reached(plain, splits, 5)
+    assert (boosting._reached(codes, boosting._packed_splits(splits, bins), 5) == reached).all()
+    for level, wanted in [(0, [0]), (2, [1, 2]), (4, [0, 3, 9])]:
+        sums = boosting._sums((codes, label, none, np.zeros(0)), splits, level, wanted, bins)[0]
+        node, start = boosting._reached(plain, splits, level), 0
+        for column, size in enumerate(bins):
+            for slot, at in enumerate(wanted):
+                rows = node == at
+                told = sums[:, slot, start : start + size]
+                assert (told[1] == np.bincount(plain[column][rows], minlength=size)).all()
+                assert np.abs(told[0] - np.bincount(plain[column][rows], label[rows], size)).max() < 1e-9
+            start += size
+    values = rng.normal(size=32)
+    after = boosting._advanced((codes, label, none, np.zeros(0)), [(splits, list(values))], 5, bins)[1]
+    assert (after == label - values[reached]).all()
+
+
+def test_tasks_beyond_the_cores_are_a_multiple_of_them():
+    assert [training.fit_tasks(n, 8) for n in (0, 250_000, 250_001, 8_000_000, 8_000_001, 33_000_000)] == [1, 1, 2, 8, 16, 40]
