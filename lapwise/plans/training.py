@@ -27,9 +27,9 @@ STOP_TOLERANCE = 1e-7
 #: Fits at a time: each keeps its rows on the executors.
 MOST_FITS = 4
 #: Rows of a task while fitting, which passes over them hundreds of times: below the first a task costs more than its
-#: rows, above the second its binned rows (some 30 bytes each) are more than 30 MB.
+#: rows, above the second its binned rows (some 20 bytes each) are more than 60 MB.
 FEWEST_TASK_ROWS = 250_000
-MOST_TASK_ROWS = 1_000_000
+MOST_TASK_ROWS = 3_000_000
 
 NATURAL_KEY = ["Year", "RoundNumber", "Driver", "LapNumber"]
 

@@ -116,4 +116,4 @@ def test_columns_of_few_bins_share_a_code_and_are_told_apart():
 
 
 def test_tasks_beyond_the_cores_are_a_multiple_of_them():
-    assert [training.fit_tasks(n, 8) for n in (0, 250_000, 250_001, 8_000_000, 8_000_001, 33_000_000)] == [1, 1, 2, 8, 16, 40]
+    assert [training.fit_tasks(n, 8) for n in (0, 250_000, 250_001, 24_000_000, 24_000_001, 99_000_000)] == [1, 1, 2, 8, 16, 40]
